@@ -224,4 +224,5 @@ def assemble_result(probe: DataFrame, prompts: DataFrame, responses: DataFrame,
     generation for per-response tables), plus the experiment signature columns (B13)."""
     gen_key = key + ["generation"]
     out = probe.join(prompts, key).join(responses, key).join(raw_scores, gen_key).join(norm_scores, gen_key)
+    # responses carry one row per (key, generation); probe and prompts one per key
     return out.withColumns({k: F.lit(v) for k, v in signature.items()})

@@ -103,13 +103,15 @@ def english_only_reward(completion: Column) -> Column:
 
 def registry(goals: list[str]) -> dict[str, Callable[[], Column]]:
     """J7 names -> reward Column builders (``j_error`` / ``su_error`` have no scorer: skipped)."""
-    c = F.col("completion")
+    def c():
+        return F.col("completion")
+
     return {
         "steerability_error": lambda: steering_reward(goals),
         "miscalibration": lambda: neg_miscalibration(goals),
         "orthogonality": lambda: neg_orthogonality(goals),
-        "think_format": lambda: format_reward(c),
-        "english_only": lambda: english_only_reward(c),
+        "think_format": lambda: format_reward(c()),
+        "english_only": lambda: english_only_reward(c()),
         "rd_error": lambda: neg_abs_error("reading_difficulty"),
         "tl_error": lambda: neg_abs_error("text_length"),
         "td_error": lambda: neg_abs_error("textual_diversity"),

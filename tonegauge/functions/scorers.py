@@ -285,8 +285,11 @@ def pos_percentages(text: Column) -> list[Column]:
     tags = F.transform(alpha_tokens(text), pos_tag)
     total = F.size(tags)
     out = []
+    def equals(tag):
+        return lambda x: x == F.lit(tag)
+
     for tag in POS_TAGS:
-        cnt = F.size(F.filter(tags, lambda x, tag=tag: x == tag))
+        cnt = F.size(F.filter(tags, equals(tag)))
         out.append(F.when(total > 0, cnt / total * F.lit(100.0)).otherwise(F.lit(0.0)).alias(f"pct_{tag.lower()}"))
     return out
 

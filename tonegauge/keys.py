@@ -54,7 +54,8 @@ def text_key(text: Column) -> Column:
 
 def text_key_b64(text: Column) -> Column:
     """URL-safe base64 of the UTF-8 text, the key format of the original JSON cache."""
-    return F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_")
+    plain = F.regexp_replace(F.base64(F.encode(text, "UTF-8")), "[\r\n]", "")  # no MIME line breaks
+    return F.translate(plain, "+/", "-_")
 
 
 def u4(*parts) -> list[Column]:

@@ -42,6 +42,7 @@ def load_all() -> None:
     from tonegauge.plans import (  # noqa: F401
         q_judge,
         q_metrics,
+        q_probe,
         q_rewards_prompts,
         q_text,
     )

@@ -224,10 +224,12 @@ def sql_numeric_result() -> list[tuple[str, str]]:
 
 def with_ctes(ctes: list[tuple[str, str]], final: str) -> str:
     seen = []
-    names = set()
+    names = {}
     for name, body in ctes:
         if name in names:
+            if names[name] != body:
+                raise ValueError(f"CTE name {name} reused with a different body")
             continue
-        names.add(name)
+        names[name] = body
         seen.append(f"{name} AS ({body})")
     return "WITH " + ",\n".join(seen) + "\n" + final

@@ -40,6 +40,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 def load_all() -> None:
     """Import every query module so the registry is complete."""
     from tonegauge.plans import (  # noqa: F401
+        q_flow_sources,
         q_judge,
         q_metrics,
         q_probe,

@@ -45,5 +45,6 @@ def load_all() -> None:
         q_metrics,
         q_probe,
         q_rewards_prompts,
+        q_stream_ml,
         q_text,
     )

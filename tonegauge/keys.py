@@ -29,7 +29,8 @@ def u(*parts, backend: str = "md5") -> Column:
     """Uniform in [0, 1) from key parts (Columns, or literals turned into strings)."""
     if backend == "md5":
         h = F.conv(F.substring(F.md5(F.concat_ws("|", *[_as_col(p) for p in parts])), 1, 8), 16, 10)
-        return h.cast("double") / F.lit(TWO_32)
+        # try_cast: conv of 8 hex digits always parses; no ANSI error path in the generated code
+        return h.try_cast("double") / F.lit(TWO_32)
     if backend == "xxhash":
         h = F.xxhash64(*[_as_col(p) for p in parts]).bitwiseAND(F.lit(0xFFFFFFFF))
         return h.cast("double") / F.lit(TWO_32)
@@ -61,7 +62,7 @@ def text_key_b64(text: Column) -> Column:
 def u4(*parts) -> list[Column]:
     """Four independent uniforms from one md5 (its four 32-bit words); one hash per key."""
     h = F.md5(F.concat_ws("|", *[_as_col(p) for p in parts]))
-    return [F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("double") / F.lit(TWO_32) for k in range(4)]
+    return [F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).try_cast("double") / F.lit(TWO_32) for k in range(4)]
 
 
 def u4_sql(*parts) -> list[str]:
@@ -73,3 +74,13 @@ def u4_sql(*parts) -> list[str]:
             rendered.append("'" + str(p).replace("'", "''") + "'")
     h = f"md5(concat_ws('|', {', '.join(rendered)}))"
     return [f"(CAST('0x' || substr({h}, {1 + 8 * k}, 8) AS UBIGINT) / 4294967296.0)" for k in range(4)]
+
+
+def md5_hex(*parts) -> Column:
+    """The md5 hex digest behind :func:`u4`; bind it to a column once, then slice uniforms."""
+    return F.md5(F.concat_ws("|", *[_as_col(p) for p in parts]))
+
+
+def u_from_hex(h: Column, k: int) -> Column:
+    """The k-th (0-3) 32-bit uniform of an md5 hex digest (same value as ``u4(...)[k]``)."""
+    return F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).try_cast("double") / F.lit(TWO_32)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonegauge.keys import u, u4, u4_sql, u_sql
+from tonegauge.keys import md5_hex, u, u4, u4_sql, u_from_hex, u_sql
 from tonegauge.operators.normalise import clip01, clip01_sql
 
 DELTA_MIN = -0.7
@@ -133,8 +133,10 @@ def with_deltas(df: DataFrame, goals: list[str], key_cols: list[str], seed: int
 
     The uniforms are bound to columns first, so each md5 runs once per row and goal.
     """
-    us = uniforms(key_cols, goals, seed)
-    df = df.withColumns({f"_up_{g}": us[g][0] for g in goals} | {f"_ud_{g}": us[g][1] for g in goals})
+    keys = [f"col:{k}" for k in key_cols]
+    df = df.withColumns({f"_h_{g}": md5_hex(*keys, seed, "probe", g) for g in goals})
+    df = df.withColumns({f"_up_{g}": u_from_hex(F.col(f"_h_{g}"), 0) for g in goals}
+                        | {f"_ud_{g}": u_from_hex(F.col(f"_h_{g}"), 1) for g in goals}).drop(*[f"_h_{g}" for g in goals])
     flags = active_flags({g: F.col(f"_up_{g}") for g in goals}, max_active)
     df = df.withColumns({f"delta_{g}": F.when(flags[g], delta_from_uniform(F.col(f"source_{g}"), F.col(f"_ud_{g}"),
                                                                             delta_min, delta_max, deadzone))

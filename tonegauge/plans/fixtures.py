@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonegauge.functions.scorers import REGISTRY
-from tonegauge.keys import u4, u4_sql
+from tonegauge.keys import md5_hex, u4_sql, u_from_hex
 from tonegauge.operators import normalise as N
 from tonegauge.operators import probe as P
 from tonegauge.schema import DEFAULT_GOALS
@@ -93,11 +93,12 @@ def probe(spark: SparkSession, sf: str, goals=GOALS, reps: int = REPS, seed: int
 def with_outputs(df: DataFrame, goals: list[str], key_cols: list[str], seed: int = SEED) -> DataFrame:
     """Stand-in model outputs (see module docstring); one md5 per row and goal."""
     keys = [f"col:{k}" for k in key_cols]
+    df = df.withColumns({f"_oh_{g}": md5_hex(*keys, seed, "out", g) for g in goals})
     cols = {}
     for g in goals:
-        u1, u2, u3, _ = u4(*keys, seed, "out", g)
-        cols[f"_o1_{g}"], cols[f"_o2_{g}"], cols[f"_o3_{g}"] = u1, u2, u3
-    df = df.withColumns(cols)
+        h = F.col(f"_oh_{g}")
+        cols[f"_o1_{g}"], cols[f"_o2_{g}"], cols[f"_o3_{g}"] = u_from_hex(h, 0), u_from_hex(h, 1), u_from_hex(h, 2)
+    df = df.withColumns(cols).drop(*[f"_oh_{g}" for g in goals])
     outs = {}
     for g in goals:
         s, d = F.col(f"source_{g}"), F.coalesce(F.col(f"delta_{g}"), F.lit(0.0))
@@ -129,7 +130,7 @@ def judged(spark: SparkSession, sf: str, goals=GOALS, generations: int = 1) -> D
 
 
 def numeric_goalspace(spark: SparkSession, sf: str) -> DataFrame:
-    li = read(spark, sf, "lineitem").select(
+    li = spread(read(spark, sf, "lineitem"), "l_orderkey").select(
         "l_orderkey", "l_linenumber",
         F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("extendedprice"),
         F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))

@@ -51,7 +51,7 @@ def test_bin_edges(spark):
 
 def test_delta_generator(spark):
     cases = [(.5, 0, -.5), (.5, .25, -.3), (.5, .5, .1), (.5, .75, .3), (.05, .5, .4), (.95, .5, -.4), (.2, .1, -.13), (.2, .5, .35)]
-    df = spark.createDataFrame([(s, u) for s, u, _ in cases], "s DOUBLE, u DOUBLE")
+    df = spark.createDataFrame([(float(s), float(u)) for s, u, _ in cases], "s DOUBLE, u DOUBLE")
     got = [r[0] for r in df.select(P.delta_from_uniform(F.col("s"), F.col("u"))).collect()]
     for (s, u, want), g in zip(cases, got):
         assert g == pytest.approx(want, abs=1e-9)

@@ -1,23 +1,64 @@
-"""Corpus pipeline: each stage reads what its predecessor wrote."""
+"""Corpus pipeline: each stage reads what its predecessor wrote.
+
+1. toxicity: documents that the classifier rejects go;
+2. line dedup: boilerplate lines go from all documents but the first that holds them;
+3. n-gram Jaccard join: one document of each group of near copies stays;
+4. mixing: each source's documents are taken as often as the mix takes their words, to the nearest
+   whole copy; empty documents carry no words and pass once;
+5. packing: what is left is packed into token windows.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tonegauge.llm import partenum
+from tonegauge.llm import line_spread, mixing, packing, partenum, toxicity
 from tonegauge.llm.store import keep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the threshold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(docs.select(*COLUMNS), labels).filter("predicted = 0").select(*COLUMNS)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that stand on many sites."""
+    rows = line_spread.remove_spread_lines(docs.select(*COLUMNS))
+    return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one whose id names the group."""
-    groups = partenum.jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near copies: the one whose id names the group."""
+    docs = docs.select(*COLUMNS)
+    groups = keep(partenum.jaccard_components(docs).select("doc_id", "component_id"), "components")
+    left = docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    again = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if not again.isEmpty():
+        left = left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return left.select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    docs = docs.select(*COLUMNS)
+    taken = mixing.mix_sources(docs).groupBy("h").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = taken.select("h", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("copies")).filter("copies > 0")
+    return (docs.withColumn("h", F.xxhash64("doc_id", "text")).join(copies, "h")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token windows."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("near_duplicates", near_duplicates)]
-#: The stages score, sketch and search with trained models and hashes, which SQL does not express.
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_boilerplate), ("near_duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
+#: Trained models and token ids are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

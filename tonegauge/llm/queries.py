@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tonegauge.llm import partenum
+from tonegauge.llm import line_spread, mixing, packing, partenum, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +23,46 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @_query
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_spread.remove_spread_lines(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"),
+                       F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+ORACLE["op9_line_dedup"] = f"""
+WITH lines AS (
+  SELECT doc_id, source, trim(x) AS line
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE trim(x) <> ''),
+wide AS (
+  SELECT line, min(doc_id) AS first FROM lines GROUP BY line HAVING count(DISTINCT source) >= {line_spread.SITES}),
+gone AS (
+  SELECT doc_id, list(DISTINCT line) AS drops FROM lines JOIN wide USING (line) WHERE doc_id <> first GROUP BY doc_id),
+cut AS (
+  SELECT doc_id, string_split(text, chr(10)) AS parts,
+         list_filter(string_split(text, chr(10)), x -> trim(x) = '' OR NOT list_contains(coalesce(drops, []), trim(x))) AS kept
+  FROM documents LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(len(parts) AS BIGINT) AS n_lines, CAST(len(parts) - len(kept) AS BIGINT) AS n_removed,
+       CAST(length(array_to_string(kept, chr(10))) AS BIGINT) AS n_chars, md5(array_to_string(kept, chr(10))) AS text_md5
+FROM cut
+"""

@@ -92,3 +92,26 @@ def test_similar_sets_share_a_signature(seed):
             s1, r1, _ = P.signatures(x, full, full, 80, 1)
             s0, r0 = np.concatenate([s0, s1]), np.concatenate([r0, r1])
         assert set(s0[r0 == 0]) & set(s0[r0 == 1])
+
+
+def test_family_of_near_copies_in_blocks(spark, monkeypatch):
+    """Many edits of one text, most of them not similar to the smallest id."""
+    monkeypatch.setattr(P, "BLOCK", 8)
+    monkeypatch.setattr(P, "LARGE", 6)
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randint(1, 6)):
+            w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    assert run(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("n,m", [(5, 6), (30, 36), (64, 65), (100, 130), (1000, 900)])
+def test_parity_maps_bound_the_difference(n, m):
+    r = np.random.default_rng(n)
+    x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+    y = np.unique(np.concatenate([x[: n // 2], r.integers(0, 2**63, m, dtype=np.uint64) * np.uint64(2)]))
+    assert P._differ_in(P.parity_map(x), P.parity_map(y)) <= len(np.setxor1d(x, y))

@@ -17,10 +17,11 @@ Frequent features
 
 The join
     Signatures travel as packed binary blocks per bucket; documents under one signature are linked
-    to the smallest id (a star, never all pairs) and verified on their whole sets.  A second star
-    takes another centre, and at last every pair that shares a signature and still lies in
-    different components is verified, so no link between components is lost.  Identical sets
-    are collapsed before, by a 64-bit key of the set.
+    to the smallest id (a star, never all pairs).  Parity bitmaps, whose difference is a lower
+    bound of the sets' difference, drop most pairs; the rest is verified on whole sets.  A second
+    star takes another centre.  Then what shares a signature and still lies in different
+    components is compared: pairs in small groups, blocks of bitmaps in large ones, so no link
+    between components is lost.  Identical sets are collapsed before, by a 64-bit key of the set.
 
 Defined results: null, empty or blank text has ``n_shingles`` 0 and is its own component; fewer
 words than the width form one shingle; rows with equal ``doc_id`` are one document; rows with
@@ -47,7 +48,9 @@ PERCENT = 80
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 8192, 4, 1 << 17
 #: signatures aimed at per bucket; the number of buckets follows the input.
 BUCKET = 250_000
-_FLUSH = 4_000_000
+#: groups of this many documents are compared in blocks of about ``BLOCK`` documents.
+LARGE, BLOCK = 32, 256
+_FLUSH, _SLICE = 4_000_000, 1 << 15
 
 
 def shingle_sets(column, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -199,70 +202,126 @@ def _signature_blocks(docs: DataFrame, frequent, bits: int, percent: int, width:
 
 
 def _stars(blocks: DataFrame, parts: int) -> DataFrame:
-    """Rows (gid, hub, member): documents under one signature, linked to the smallest id."""
-    schema = pa.schema([("gid", pa.int64()), ("hub", pa.int64()), ("member", pa.int64())])
+    """Rows (gid, hub, member, links): documents under one signature, linked to the smallest id.
 
-    def collapse(bucket, sigs, ids):
+    Equal groups under different signatures get one ``gid``; ``links`` is the group's link count.
+    """
+    schema = pa.schema([("gid", pa.int64()), ("hub", pa.int64()), ("member", pa.int64()), ("links", pa.int64())])
+
+    def collapse(bucket, sigs, ids, part):
         """(distinct signatures, their hubs), and a batch of the links found."""
         s, d = np.concatenate(sigs), np.concatenate(ids)
         order = np.lexsort((d, s))
         s, d = s[order], d[order]
-        new = np.append(True, s[1:] != s[:-1])
-        link = ~new & np.append(False, d[1:] != d[:-1])
-        hub = d[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
-        gid = (np.int64(bucket) << np.int64(32)) | s[link].astype(np.int64)
-        return s[new], d[new], pa.RecordBatch.from_arrays([pa.array(gid), pa.array(hub[link]), pa.array(d[link])], schema=schema)
+        distinct = np.append(True, (s[1:] != s[:-1]) | (d[1:] != d[:-1]))
+        s, d = s[distinct], d[distinct]
+        head = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        count = np.diff(np.append(head, len(s)))
+        group = np.repeat(np.arange(len(head)), count)
+        name = (np.add.reduceat(mix(d.view(U)), head) >> U(2)).view(np.int64)
+        if part:  # more of this bucket follows: name the group by its signature
+            name, count = -1 - ((np.int64(bucket) << np.int64(32)) | s[head].astype(np.int64)), count + _FLUSH
+        first = np.zeros(len(head), bool)
+        first[np.unique(name, return_index=True)[1]] = True
+        link = (np.arange(len(s)) != head[group]) & first[group]
+        g = group[link]
+        return s[head], d[head], pa.RecordBatch.from_arrays(
+            [pa.array(name[g]), pa.array(d[head][g]), pa.array(d[link]), pa.array(count[g] - 1)], schema=schema)
 
     def run(batches):
-        now, sigs, ids, held = None, [], [], 0
+        now, sigs, ids, held, part = None, [], [], 0, False
         for batch in batches:
             for bucket, s, d, kind in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if now is not None and (bucket != now or held > _FLUSH):
-                    s0, d0, out = collapse(now, sigs, ids)
+                    part = part or bucket == now
+                    s0, d0, out = collapse(now, sigs, ids, part)
                     yield out
                     sigs, ids, held = ([s0], [d0], 0) if bucket == now else ([], [], 0)
+                    part = part and bucket == now
                 now = bucket
                 sigs.append(np.frombuffer(s, np.uint32))
                 ids.append(np.frombuffer(d, kind).astype(np.int64))
                 held += len(sigs[-1])
         if now is not None:
-            yield collapse(now, sigs, ids)[2]
+            yield collapse(now, sigs, ids, part)[2]
 
     return (blocks.repartition(parts, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(run, "gid long, hub long, member long"))
+            .mapInArrow(run, "gid long, hub long, member long, links long").distinct())
+
+
+def parity_map(x: np.ndarray) -> bytes:
+    """Parity of the features per hash slot, 8 to 16 slots a feature (a power of two of them).
+
+    Two maps differ in at most as many slots as the sets differ in features.
+    """
+    slots = 8 << max(3, int(len(x) - 1).bit_length())
+    at = (x >> U(64 - (slots.bit_length() - 1))).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=slots) & 1).astype(np.uint8)).tobytes()
+
+
+def _halved(bits: np.ndarray) -> np.ndarray:
+    """The map with half the slots: neighbouring slots share a hash prefix."""
+    return bits[..., 0::2] ^ bits[..., 1::2]
+
 
+def _differ_in(p: bytes, q: bytes) -> int:
+    u, v = (np.unpackbits(np.frombuffer(z, np.uint8)) for z in (p, q))
+    while len(u) > len(v):
+        u = _halved(u)
+    while len(v) > len(u):
+        v = _halved(v)
+    return int((u ^ v).sum())
 
-def _set_table(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, x): each document's sorted set as packed 64-bit hashes."""
+
+def _node_table(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, map, x): parity map and sorted set (packed 64-bit hashes) of each document."""
     def run(batches):
         for batch in batches:
             for b in chunks(batch, "text"):
                 x, n = shingle_sets(b.column("text"), width)
                 at = np.append(0, np.cumsum(n))
+                sets = [x[i:j] for i, j in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array([x[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "x"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x binary").dropDuplicates(["doc_id"])
+                    [b.column("doc_id"), pa.array(n), pa.array([parity_map(z) for z in sets], pa.binary()),
+                     pa.array([z.tobytes() for z in sets], pa.binary())], ["doc_id", "n", "map", "x"])
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, map binary, x binary")
 
 
-def _verified(pairs: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    na = sizes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
-    nb = sizes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"))
-    near = (pairs.join(na, "a").join(nb, "b")
-            .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"))
-    both = (near.join(sets.select(F.col("doc_id").alias("a"), F.col("x").alias("xa")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("x").alias("xb")), "b").select("a", "b", "xa", "xb"))
+def _apart(percent: int, n):
+    return (100 - percent) * n // (100 + percent)
+
+
+def _joined(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    a = nodes.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = nodes.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    return pairs.select("a", "b").join(a, "a").join(b, "b")
+
+
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and parity maps allow the similarity."""
+    sized = _joined(pairs, nodes, "n").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
 
+    def run(batches):
+        for batch in batches:
+            most = _apart(percent, batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy())
+            ok = [_differ_in(p.as_buffer(), q.as_buffer()) <= m for p, q, m in zip(batch.column("map_a"), batch.column("map_b"), most)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return _joined(sized, nodes, "n", "map").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity."""
     def run(batches):
         for batch in batches:
             ok = np.zeros(batch.num_rows, bool)
-            for i, (p, q) in enumerate(zip(batch.column("xa"), batch.column("xb"))):
+            for i, (p, q) in enumerate(zip(batch.column("x_a"), batch.column("x_b"))):
                 s, t = np.frombuffer(p.as_buffer(), U), np.frombuffer(q.as_buffer(), U)
-                both_ = int(_members(s, t).sum()) if len(s) and len(t) else 0
-                ok[i] = both_ > 0 and 100 * both_ >= percent * (len(s) + len(t) - both_)
+                both = int(_members(s, t).sum())
+                ok[i] = both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, "a long, b long")
+    return _joined(pairs, nodes, "x").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -288,20 +347,90 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
-def _cross_pairs(links: DataFrame, comp: DataFrame, tested: DataFrame, star: bool) -> DataFrame:
-    """Pairs under one signature that lie in different components (``star``: only with one centre)."""
-    g = (links.select("gid", F.col("hub").alias("node")).unionByName(links.select("gid", F.col("member").alias("node"))).distinct()
-         .join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    wide = g.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                F.min(F.struct(F.xxhash64("node", F.lit(1)), "node", "comp")).alias("centre")).filter("lo <> hi")
-    g = g.join(wide, "gid")
-    if star:
-        p = g.select(F.col("node").alias("x"), F.col("centre.node").alias("y"), "comp", F.col("centre.comp").alias("other"))
-    else:
-        h = g.select("gid", F.col("node").alias("y"), F.col("comp").alias("other"))
-        p = g.select("gid", F.col("node").alias("x"), "comp").join(h, "gid").filter("x < y").select("x", "y", "comp", "other")
-    p = p.filter("comp <> other").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return p.join(tested, ["a", "b"], "left_anti")
+def _open_groups(groups: DataFrame, comp: DataFrame) -> DataFrame:
+    """(gid, node, comp, size) of the groups that still span several components."""
+    g = groups.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    wide = g.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
+    return g.join(wide.select("gid", "size"), "gid")
+
+
+def _centre_pairs(wide: DataFrame) -> DataFrame:
+    """Each member with one centre of its group that lies in another component."""
+    c = wide.groupBy("gid").agg(F.min(F.struct(F.xxhash64("node"), "node", "comp")).alias("c"))
+    return (wide.join(c, "gid").filter(F.col("comp") != F.col("c.comp"))
+            .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
+
+
+def _small_group_pairs(wide: DataFrame) -> DataFrame:
+    """All pairs across components in groups of fewer than ``LARGE`` documents."""
+    g = wide.filter(F.col("size") < LARGE)
+    h = g.select("gid", F.col("node").alias("b"), F.col("comp").alias("other"))
+    return g.join(h, "gid").filter("node < b and comp <> other").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _family_pairs(wide: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components in the larger groups that the parity maps allow.
+
+    Groups that share documents form a family.  Its documents go into blocks of about ``BLOCK``;
+    each pair of blocks is one row, compared by a matrix product over the maps.  Only what the
+    maps allow comes out.
+    """
+    g = keep(wide.filter(F.col("size") >= LARGE).select("gid", "node", "comp"), "wide")
+    if g.isEmpty():
+        return g.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    # a group's smallest member stands for the group
+    e = g.join(g.groupBy("gid").agg(F.min("node").alias("b")), "gid").select(F.col("node").alias("a"), "b").distinct()
+    family = components(e).select("node", F.col("comp").alias("family"))
+    f = g.select("node", "comp").distinct().join(family, "node")
+    parts = f.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    f = (f.join(parts, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+         .join(nodes.select(F.col("doc_id").alias("node"), "n", "map"), "node"))
+    blocks = f.groupBy("family", "block").agg(F.collect_list(F.struct("node", "comp", "n", "map")).alias("docs"))
+    blocks = keep(blocks, "blocks")
+    two = (blocks.select("family", F.col("block").alias("i"), F.col("docs").alias("p"))
+           .join(blocks.select("family", F.col("block").alias("j"), F.col("docs").alias("q")), "family").filter("i <= j"))
+
+    def run(batches):
+        for batch in batches:
+            for p, q in zip(batch.column("p"), batch.column("q")):
+                a, b = _allowed(p.as_py(), q.as_py(), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return two.repartition("family", "i", "j").select("p", "q").mapInArrow(run, "a long, b long").distinct()
+
+
+def _allowed(p: list[dict], q: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two blocks, in different components, whose sizes and maps allow the similarity."""
+    out_a, out_b = [], []
+
+    def by_slots(docs):
+        out: dict[int, list[dict]] = {}
+        for d in docs:
+            out.setdefault(len(d["map"]), []).append(d)
+        return out
+
+    for slots, x in by_slots(p).items():
+        for others, y in by_slots(q).items():
+            if not slots <= 2 * others <= 4 * slots:
+                continue  # sizes differ too much
+            least = 8 * min(slots, others)
+            apart = np.zeros((len(x), len(y)), np.float32)
+            for at in range(0, least, _SLICE):
+                m = []
+                for docs, own in ((x, 8 * slots), (y, 8 * others)):
+                    fold = own // least
+                    raw = np.stack([np.frombuffer(d["map"], np.uint8)[at * fold // 8: (at + min(_SLICE, least)) * fold // 8] for d in docs])
+                    bits = np.unpackbits(raw, axis=1)
+                    m.append((_halved(bits) if fold == 2 else bits).astype(np.float32))
+                apart += m[0].sum(1)[:, None] + m[1].sum(1)[None, :] - 2 * (m[0] @ m[1].T)
+            n = [np.array([d[c] for d in docs], np.int64) for c in ("n", "comp", "node") for docs in (x, y)]
+            total = n[0][:, None] + n[1][None, :]
+            least_n, most_n = np.minimum(n[0][:, None], n[1][None, :]), np.maximum(n[0][:, None], n[1][None, :])
+            ok = (apart <= _apart(percent, total)) & (100 * least_n >= percent * most_n) & (n[2][:, None] != n[3][None, :])
+            i, j = np.nonzero(ok)
+            out_a.append(np.minimum(n[4][i], n[5][j]))
+            out_b.append(np.maximum(n[4][i], n[5][j]))
+    return (np.concatenate(out_a) if out_a else np.zeros(0, np.int64)), (np.concatenate(out_b) if out_b else np.zeros(0, np.int64))
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -312,28 +441,33 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     real = keys.filter("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("rep"))
     copies = keep(real.join(classes, ["key", "n_shingles"]).filter("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
-    # one representative of each class goes on; what the copies table holds is left out
-    # the smallest set with a different partner has t / (1 - t) features
-    left = keys.filter((F.col("n_shingles") * (100 - percent) >= percent) & F.col("doc_id").isNotNull()).select("doc_id", "n_shingles").distinct()
-    sizes = left.join(copies, "doc_id", "left_anti")
+    # one representative of each class goes on; the smallest set with a different partner has
+    # t / (1 - t) features
+    ids = keys.filter((F.col("n_shingles") * (100 - percent) >= percent) & F.col("doc_id").isNotNull()).select("doc_id")
     reps = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").join(copies.select("doc_id"), "doc_id", "left_anti")
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, sizes.select("doc_id"), width))
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, ids.join(copies, "doc_id", "left_anti").distinct(), width))
     bits = max(4, int(np.ceil(np.log2(max(1, total * 0.7 / BUCKET)))))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 8)
     links = keep(_stars(_signature_blocks(reps, frequent, bits, percent, width), parts), "stars")
-    nodes = links.select(F.col("hub").alias("doc_id")).unionByName(links.select(F.col("member").alias("doc_id"))).distinct()
-    nodes = keep(nodes, "nodes")
-    sets = keep(_set_table(docs.join(nodes, "doc_id", "left_semi"), width), "members")
-    tested = keep(links.select(F.col("hub").alias("a"), F.col("member").alias("b")).distinct(), "pairs")
-    edges = keep(_verified(tested, sizes, sets, percent), "edges")
+    ids = links.select(F.col("hub").alias("doc_id")).unionByName(links.select(F.col("member").alias("doc_id"))).distinct()
+    nodes = keep(_node_table(docs.join(keep(ids, "ids"), "doc_id", "left_semi"), width), "nodes")
+    first = keep(_possible(links.select(F.col("hub").alias("a"), F.col("member").alias("b")).distinct(), nodes, percent), "pairs")
+    edges = keep(_verified(first, nodes, percent), "edges")
     comp = components(edges)
-    for star in (True, False):
-        more = keep(_cross_pairs(links, comp, tested, star), "pairs")
-        if more.isEmpty():
-            continue
-        found = keep(_verified(more, sizes, sets, percent), "edges")
-        tested, edges = tested.unionByName(more), edges.unionByName(found)
+    # groups of two are settled; larger ones may hold links that miss their hub
+    more = links.filter("links > 1")
+    groups = keep(more.select("gid", F.col("hub").alias("node")).unionByName(more.select("gid", F.col("member").alias("node"))).distinct(), "groups")
+    for step in ("centre", "all"):
+        wide = keep(_open_groups(groups, comp), "open")
+        if wide.isEmpty():
+            break
+        if step == "centre":
+            pairs = _possible(_centre_pairs(wide), nodes, percent)
+        else:
+            pairs = _possible(_small_group_pairs(wide), nodes, percent).unionByName(_family_pairs(wide, nodes, percent))
+        found = keep(_verified(keep(pairs, "pairs"), nodes, percent), "edges")
         if not found.isEmpty():
+            edges = edges.unionByName(found)
             comp = components(edges)
     by_rep = comp.select(F.col("node").alias("rep"), "comp")
     return (keys.select("doc_id", "n_shingles").join(copies, "doc_id", "left")

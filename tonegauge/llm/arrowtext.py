@@ -77,20 +77,24 @@ def word_counts(column: pa.Array) -> np.ndarray:
     return np.diff(np.searchsorted(s, off)).astype(np.int64)
 
 
-def word_hashes(column: pa.Array, cls: np.ndarray = NON_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word with A-Z lower-cased, word offsets of each row)."""
-    raw, off = utf8(column)
+def words(raw: np.ndarray, off: np.ndarray, cls: np.ndarray = NON_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word with A-Z lower-cased, word offsets of each row, where each word starts, its bytes)."""
     w, start, s = word_starts(raw, off, cls)
     at = np.flatnonzero(w)
     if not len(at):
-        return np.zeros(0, U), np.zeros(len(off), np.int64)
+        return np.zeros(0, U), np.zeros(len(off), np.int64), s, s
     head = np.flatnonzero(start[at])
     lengths = np.diff(np.append(head, len(at)))
     pos = np.arange(len(at)) - np.repeat(head, lengths)
     part = _TABLE[(pos & (_POSITIONS - 1)) * 256 + _FOLD[raw[at]]]
     if lengths.max() > _POSITIONS:
         part = part * ((pos // _POSITIONS).astype(U) * U(2) + U(1))
-    return mix(np.add.reduceat(part, head)), np.searchsorted(s, off)
+    return mix(np.add.reduceat(part, head)), np.searchsorted(s, off), s, lengths
+
+
+def word_hashes(column: pa.Array, cls: np.ndarray = NON_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word with A-Z lower-cased, word offsets of each row)."""
+    return words(*utf8(column), cls)[:2]
 
 
 def run_hashes(h: np.ndarray, width: int) -> np.ndarray:

@@ -27,30 +27,101 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonegauge.llm.arrowtext import chunks
+from tonegauge.llm.arrowtext import chunks, utf8
+from tonegauge.llm.arrowtext import words as word_spans
 from tonegauge.llm.store import keep
 
 WINDOW, UNIT, DEPTH, END = 2048, 8, 3, 1
-_CACHE = 300_000
-_ODD_SPACE = "\x1c\x1d\x1e\x1f"  # white space to Python, not to the tokenizer
+_WORDS, _CORES = 400_000, 400_000
+#: marks that the tokenizer parts from letters before them
+_MARKS = ".,;:!?%&*#$()[]{}\"/-+=_"
+
+
+class Cache:
+    """A bounded cache of two generations: what is used again moves to the newer one."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def missing(self, keys) -> list[str]:
+        """The keys that are not known; the known ones are in ``new`` afterwards."""
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        out = []
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
+class WordTable:
+    """Ids of words by hash: sorted keys, and each key's stretch of one array of ids.
+
+    Holds at most about ``most`` words besides those of one batch; the longest unused half goes.
+    """
+
+    def __init__(self, most: int, kind: np.dtype):
+        self.most, self.turn = most, 0
+        self.keys, self.ids = np.zeros(0, np.uint64), np.zeros(0, kind)
+        self.begin, self.count, self.used = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        return np.minimum(at, max(0, len(self.keys) - 1))
+
+    def unknown(self, keys: np.ndarray) -> np.ndarray:
+        self.turn += 1
+        if not len(self.keys):
+            return np.arange(len(keys))
+        at = self._find(keys)
+        known = self.keys[at] == keys
+        self.used[at[known]] = self.turn
+        return np.flatnonzero(~known)
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // self.ids.itemsize
+        begin = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.append(self.ids, np.frombuffer(b"".join(ids), self.ids.dtype))
+        every = [np.append(a, b) for a, b in ((self.keys, keys), (self.begin, begin), (self.count, count), (self.used, np.full(len(keys), self.turn)))]
+        if len(every[0]) > self.most:
+            late = every[3] >= min(self.turn, np.median(every[3]) + 1)
+            every = [x[late] for x in every]
+            self.ids, every[1] = stretches(self.ids, every[1], every[2])
+        order = np.argsort(every[0], kind="stable")
+        self.keys, self.begin, self.count, self.used = (x[order] for x in every)
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self._find(keys)
+        return self.begin[at], self.count[at]
+
+
+def stretches(values: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the stretches of an array one after another, where each begins there)."""
+    stop = np.cumsum(count)
+    total = int(stop[-1]) if len(stop) else 0
+    return values[np.arange(total) + np.repeat(begin - (stop - count), count)], stop - count
 
 
 class WordTokenizer:
     """Ids of whole texts, word by word.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its words' ids
-    one after another.  Words, and words without their final stops and commas, are kept in bounded
-    caches.
+    one after another.  Each word of a batch is looked up once, by its 64-bit hash (A-Z lower-cased,
+    as the tokenizer does).  Words, and the letters of words that end in marks, are kept in caches of
+    bounded size; the new words of a batch are encoded together.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.words, self.cores, self.tails = WordTable(_WORDS, self.kind), Cache(_CORES), Cache(_CORES)
         self.ends = np.zeros(size, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
@@ -60,52 +131,50 @@ class WordTokenizer:
 
     def _encode_cores(self, cores: list[str]) -> list[bytes]:
         """Words of letters only: encoded in one text and cut where a word ends."""
-        ids = np.frombuffer(self._encode([" ".join(cores)])[0], self.kind)
-        cut = np.flatnonzero(self.ends[ids]) + 1
+        raw = self._encode([" ".join(cores)])[0]
+        size = self.kind.itemsize
+        cut = ((np.flatnonzero(self.ends[np.frombuffer(raw, self.kind)]) + 1) * size).tolist()
         if len(cut) != len(cores):
             return self._encode(cores)
-        return [ids[i:j].tobytes() for i, j in zip(np.append(0, cut[:-1]), cut)]
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) > _CACHE:
-            self.words.clear()
-        if len(self.cores) > _CACHE:
-            self.cores.clear()
-        split, odd, new = [], [], {}
-        for w in words:
-            core = w.rstrip(".,")
-            if core.isalpha():
-                tail = w[len(core):]
-                split.append((w, core, tail))
-                if core not in self.cores:
-                    new[core] = None
-                if tail and tail not in self.cores:
-                    self.cores[tail] = self._encode([tail])[0]
-            else:
-                odd.append(w)
-        new = list(new)
-        for i in range(0, len(new), 2000):
-            self.cores.update(zip(new[i: i + 2000], self._encode_cores(new[i: i + 2000])))
-        for w, core, tail in split:
-            self.words[w] = self.cores[core] + self.cores[tail] if tail else self.cores[core]
-        self.words.update(zip(odd, self._encode(odd)))
-
-    def ids(self, text: str) -> np.ndarray:
-        if any(c in text for c in _ODD_SPACE):
-            return np.frombuffer(self._encode([text])[0], self.kind)
-        words, known = text.split(), self.words
-        for i in range(0, len(words), _CACHE):
-            part = words[i: i + _CACHE]
-            new = [w for w in dict.fromkeys(part) if w not in known]
-            if new:
-                self._learn(new)
-                # a cleared cache may have lost words of this text
-                lost = [w for w in dict.fromkeys(part) if w not in known]
-                if lost:
-                    self._learn(lost)
-        if len(words) <= _CACHE:
-            return np.frombuffer(b"".join([known[w] for w in words]), self.kind)
-        return np.frombuffer(self._encode([text])[0], self.kind)
+        return [raw[i:j] for i, j in zip([0, *cut], cut)]
+
+    def _parts(self, cache: Cache, texts: list[str], encode) -> None:
+        new = cache.missing(set(texts))
+        for i in range(0, len(new), 1000):
+            cache.new.update(zip(new[i: i + 1000], encode(new[i: i + 1000])))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words: those of their letters and of the marks after them, or of the whole word."""
+        cores = [w.rstrip(_MARKS) for w in words]
+        odd = [i for i, c in enumerate(cores) if not c.isalpha()]
+        for i in odd:
+            cores[i] = ""
+        tails = [w[len(c):] if c else "" for w, c in zip(words, cores)]
+        # ASCII is lower-cased alike everywhere
+        cores = [c.lower() if c.isascii() else c for c in cores]
+        self._parts(self.cores, [c for c in cores if c], self._encode_cores)
+        self._parts(self.tails, [t for t in tails if t], self._encode)
+        core, tail = self.cores.new, self.tails.new
+        out = [core[c] + tail[t] if t else core[c] if c else b"" for c, t in zip(cores, tails)]
+        for i, ids in zip(odd, self._encode([words[i] for i in odd])):
+            out[i] = ids
+        return out
+
+    def ids(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a batch, the same as of encoding it whole."""
+        raw, off = utf8(column)
+        h, wo, start, length = word_spans(raw, off)
+        unique, first, which = np.unique(h, return_index=True, return_inverse=True)
+        new = self.words.unknown(unique)
+        if len(new):
+            at = first[new]
+            text = raw.tobytes()
+            found = [text[i:j].decode() for i, j in zip(start[at].tolist(), (start[at] + length[at]).tolist())]
+            self.words.add(unique[new], self._words(found))
+        begin, count = self.words.of(unique) if len(unique) else (first, first)
+        flat, at = stretches(self.words.ids, begin[which], count[which])
+        cut = np.append(at, len(flat))[wo]
+        return [flat[i:j] for i, j in zip(cut[:-1], cut[1:])]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -133,8 +202,8 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
         for batch in batches:
             for b in chunks(batch, "text"):
                 rows = []
-                for text in b.column("text"):
-                    ids = np.append(t.ids(text.as_py() or ""), END)
+                for ids in t.ids(b.column("text")):
+                    ids = np.append(ids, ids.dtype.type(END))
                     n, r = len(ids) // window, len(ids) % window
                     wide = ids[: n * window].astype("<u4")
                     crcs = [zlib.crc32(wide[i * window: (i + 1) * window].tobytes()) for i in range(n)]

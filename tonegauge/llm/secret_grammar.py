@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonegauge.llm.store import keep
+
 # Patterns, kinds and least lengths of the base spans.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -171,7 +173,7 @@ def labelled_credentials(docs: DataFrame) -> dict[str, list[str]]:
             kinds, values = zip(*sorted(out)) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], ["kind", "value"])
 
-    found = docs.select("text").mapInArrow(run, "kind string, value string").distinct()
+    found = keep(docs.select("text").mapInArrow(run, "kind string, value string").distinct(), "credentials")
     return {k: [r.value for r in found.filter(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(PER_KIND).collect()] for k in KINDS[:3]}
 
 

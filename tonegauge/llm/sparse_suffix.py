@@ -86,7 +86,7 @@ def suffix_contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)], ["key", "doc_id", "pos", "left", "right"])
     rows = docs.select("doc_id", "text").filter("text is not null").join(shared, "doc_id")
-    return rows.mapInArrow(run, "key long, doc_id long, pos int, left binary, right binary").distinct()
+    return rows.mapInArrow(run, "key long, doc_id long, pos int, left binary, right binary")
 
 
 def _padded(column, fill: bytes) -> np.ndarray:

@@ -46,6 +46,8 @@ PERCENT = 80
 #: most frequent shingles kept (8 bytes each in every task): bounds of an optimisation that is
 #: lossless whatever it finds.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 8192, 4, 1 << 17
+#: size of the Bloom filters that spare joins most texts (2 MB)
+FILTER_BITS = 24
 #: signatures aimed at per bucket; the number of buckets follows the input.
 BUCKET = 250_000
 #: groups of this many documents are compared in blocks of about ``BLOCK`` documents.
@@ -172,11 +174,50 @@ def _pack(ids: np.ndarray) -> tuple[bytes, str]:
     return ids.astype(kind).tobytes(), kind
 
 
-def _signature_blocks(docs: DataFrame, frequent, bits: int, percent: int, width: int) -> DataFrame:
-    """Rows (bucket, sigs, ids, kind): packed 32-bit signature remainders and document ids."""
+def id_filter(ids: DataFrame):
+    """A broadcast Bloom filter of ``doc_id``: 2 ** FILTER_BITS bits whatever the number of ids.
+
+    It only spares joins the texts that cannot match; what it lets through is joined exactly.
+    """
+    at = [F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(k)), 64 - FILTER_BITS) for k in range(2)]
+    words = (ids.select(F.explode(F.array(*at)).alias("p")).groupBy(F.shiftright("p", 5).alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 32 AS INT))")).alias("b")).toArrow())
+    table = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
+    return ids.sparkSession.sparkContext.broadcast(table)
+
+
+def _with_places(docs: DataFrame) -> DataFrame:
+    at = [F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(k)), 64 - FILTER_BITS).alias(f"p{k}") for k in range(2)]
+    return docs.select("doc_id", "text", *at)
+
+
+def _passes(table: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    ok = np.ones(batch.num_rows, bool)
+    for c in ("p0", "p1"):
+        p = batch.column(c).to_numpy()
+        ok &= (table[p >> 5] >> (p & 31).astype(np.uint32)) & 1 == 1
+    return ok
+
+
+def possible_rows(docs: DataFrame, table) -> DataFrame:
+    """(doc_id, text) of the rows that pass the filter."""
+    def run(batches):
+        for batch in batches:
+            yield batch.select(["doc_id", "text"]).filter(pa.array(_passes(table.value, batch)))
+    return _with_places(docs).mapInArrow(run, "doc_id long, text string")
+
+
+def _signature_blocks(docs: DataFrame, frequent, bits: int, percent: int, width: int, leave_out=None) -> DataFrame:
+    """Rows (bucket, sigs, ids, kind): packed 32-bit signature remainders and document ids.
+
+    Rows that pass the filter ``leave_out`` are not signed.
+    """
     def run(batches):
         table = frequent.value
         for batch in batches:
+            if leave_out is not None:
+                batch = batch.filter(pa.array(~_passes(leave_out.value, batch)))
             for b in chunks(batch, "text"):
                 ids = b.column("doc_id").to_numpy(zero_copy_only=False)
                 x, full = shingle_sets(b.column("text"), width)
@@ -198,7 +239,8 @@ def _signature_blocks(docs: DataFrame, frequent, bits: int, percent: int, width:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.string()))],
                     ["bucket", "sigs", "ids", "kind"])
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, sigs binary, ids binary, kind string")
+    rows = docs.select("doc_id", "text") if leave_out is None else _with_places(docs)
+    return rows.mapInArrow(run, "bucket long, sigs binary, ids binary, kind string")
 
 
 def _stars(blocks: DataFrame, parts: int) -> DataFrame:
@@ -321,7 +363,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 ok[i] = both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return _joined(pairs, nodes, "x").mapInArrow(run, "a long, b long").distinct()
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    return _joined(pairs, nodes.select("doc_id", "x").join(ids, "doc_id", "left_semi"), "x").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -444,13 +487,18 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     # one representative of each class goes on; the smallest set with a different partner has
     # t / (1 - t) features
     ids = keys.filter((F.col("n_shingles") * (100 - percent) >= percent) & F.col("doc_id").isNotNull()).select("doc_id")
-    reps = docs.select("doc_id", "text").filter("doc_id is not null and text is not null").join(copies.select("doc_id"), "doc_id", "left_anti")
+    docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    again = id_filter(copies)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, ids.join(copies, "doc_id", "left_anti").distinct(), width))
     bits = max(4, int(np.ceil(np.log2(max(1, total * 0.7 / BUCKET)))))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 8)
-    links = keep(_stars(_signature_blocks(reps, frequent, bits, percent, width), parts), "stars")
+    blocks = _signature_blocks(docs, frequent, bits, percent, width, again)
+    doubtful = possible_rows(docs, again).join(copies.select("doc_id"), "doc_id", "left_anti")
+    blocks = blocks.unionByName(_signature_blocks(doubtful, frequent, bits, percent, width))
+    links = keep(_stars(blocks, parts), "stars")
     ids = links.select(F.col("hub").alias("doc_id")).unionByName(links.select(F.col("member").alias("doc_id"))).distinct()
-    nodes = keep(_node_table(docs.join(keep(ids, "ids"), "doc_id", "left_semi"), width), "nodes")
+    ids = keep(ids, "ids")
+    nodes = keep(_node_table(possible_rows(docs, id_filter(ids)).join(ids, "doc_id", "left_semi"), width), "nodes")
     first = keep(_possible(links.select(F.col("hub").alias("a"), F.col("member").alias("b")).distinct(), nodes, percent), "pairs")
     edges = keep(_verified(first, nodes, percent), "edges")
     comp = components(edges)

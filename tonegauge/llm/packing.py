@@ -32,32 +32,11 @@ from tonegauge.llm.arrowtext import words as word_spans
 from tonegauge.llm.store import keep
 
 WINDOW, UNIT, DEPTH, END = 2048, 8, 3, 1
-_WORDS, _CORES = 400_000, 400_000
+_WORDS, _CORES = 400_000, 800_000
 #: marks that the tokenizer parts from letters before them
 _MARKS = ".,;:!?%&*#$()[]{}\"/-+=_"
 
 
-class Cache:
-    """A bounded cache of two generations: what is used again moves to the newer one."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
-
-    def missing(self, keys) -> list[str]:
-        """The keys that are not known; the known ones are in ``new`` afterwards."""
-        if len(self.new) > self.most:
-            self.new, self.old = {}, self.new
-        new, old = self.new, self.old
-        out = []
-        for k in keys:
-            if k not in new:
-                if k in old:
-                    new[k] = old[k]
-                else:
-                    out.append(k)
-        return out
-
-
 class WordTable:
     """Ids of words by hash: sorted keys, and each key's stretch of one array of ids.
 
@@ -121,7 +100,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.words, self.cores, self.tails = WordTable(_WORDS, self.kind), Cache(_CORES), Cache(_CORES)
+        self.words, self.cores, self.tails = (WordTable(n, self.kind) for n in (_WORDS, _CORES, _CORES))
         self.ends = np.zeros(size, bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
@@ -138,26 +117,39 @@ class WordTokenizer:
             return self._encode(cores)
         return [raw[i:j] for i, j in zip([0, *cut], cut)]
 
-    def _parts(self, cache: Cache, texts: list[str], encode) -> None:
-        new = cache.missing(set(texts))
-        for i in range(0, len(new), 1000):
-            cache.new.update(zip(new[i: i + 1000], encode(new[i: i + 1000])))
+    def _parts(self, table: WordTable, texts: list[str], encode) -> list[bytes]:
+        """Ids of each text, new ones encoded by ``encode``."""
+        keys = np.fromiter(map(hash, texts), np.int64, len(texts)).view(np.uint64)
+        unique, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        new = table.unknown(unique)
+        if len(new):
+            some = [texts[i] for i in first[new].tolist()]
+            table.add(unique[new], [x for i in range(0, len(some), 1000) for x in encode(some[i: i + 1000])])
+        if not len(unique):
+            return []
+        begin, count = table.of(unique)
+        flat, at = stretches(table.ids, begin, count)
+        raw, size = flat.tobytes(), self.kind.itemsize
+        each = [raw[i:j] for i, j in zip((at * size).tolist(), ((at + count) * size).tolist())]
+        return [each[i] for i in which.tolist()]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of words: those of their letters and of the marks after them, or of the whole word."""
         cores = [w.rstrip(_MARKS) for w in words]
-        odd = [i for i, c in enumerate(cores) if not c.isalpha()]
-        for i in odd:
-            cores[i] = ""
-        tails = [w[len(c):] if c else "" for w, c in zip(words, cores)]
+        whole = [not c.isalpha() for c in cores]
+        tails = ["" if x else w[len(c):] for w, c, x in zip(words, cores, whole)]
         # ASCII is lower-cased alike everywhere
-        cores = [c.lower() if c.isascii() else c for c in cores]
-        self._parts(self.cores, [c for c in cores if c], self._encode_cores)
-        self._parts(self.tails, [t for t in tails if t], self._encode)
-        core, tail = self.cores.new, self.tails.new
-        out = [core[c] + tail[t] if t else core[c] if c else b"" for c, t in zip(cores, tails)]
+        cores = [w if x else c.lower() if c.isascii() else c for w, c, x in zip(words, cores, whole)]
+        at = [i for i, x in enumerate(whole) if not x]
+        out = [b""] * len(words)
+        for i, ids in zip(at, self._parts(self.cores, [cores[i] for i in at], self._encode_cores)):
+            out[i] = ids
+        odd = [i for i, x in enumerate(whole) if x]
         for i, ids in zip(odd, self._encode([words[i] for i in odd])):
             out[i] = ids
+        tailed = [i for i, t in enumerate(tails) if t]
+        for i, ids in zip(tailed, self._parts(self.tails, [tails[i] for i in tailed], self._encode)):
+            out[i] += ids
         return out
 
     def ids(self, column: pa.Array) -> list[np.ndarray]:

@@ -34,7 +34,7 @@ PER_CLASS, LEAST_DOCS, MOST_WORDS, MOST_BIGRAMS = 4000, 3, 1 << 17, 1 << 17
 DISCOUNT, WINDOW, MOST_EVIDENCE, CHANCE = 0.75, 16, 8.0, 0.05
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
-_MINHASHES = 8
+_MINHASHES, _PART = 8, 1 << 20
 
 
 def remainder():
@@ -69,7 +69,7 @@ def _one_of_each_family(texts: DataFrame) -> DataFrame:
     def run(batches):
         seeds = mix(np.arange(_MINHASHES, dtype=U))
         for batch in batches:
-            for b in chunks(batch, "text"):
+            for b in chunks(batch, "text", _PART):
                 words, wo = word_hashes(b.column("text"), ALNUM)
                 runs = run_hashes(words, 3)
                 out = [[int((mix(x ^ s).min()).view(np.int64)) for s in seeds] if len(x := runs[i: max(i, j - 2)]) else [] for i, j in zip(wo[:-1], wo[1:])]
@@ -96,7 +96,7 @@ def _ngram_counts(texts: DataFrame) -> DataFrame:
     """(h, w, c0, c1, d0, d1): counts and numbers of documents of each word (``h`` alone) and bigram by class."""
     def run(batches):
         for batch in batches:
-            for b in chunks(batch, "text"):
+            for b in chunks(batch, "text", _PART):
                 words, wo = word_hashes(b.column("text"), ALNUM)
                 toxic = b.column("toxic").to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(len(toxic)), np.diff(wo))
@@ -140,7 +140,7 @@ def corpus_counts(docs: DataFrame, vocabulary) -> np.ndarray:
         table = vocabulary.value
         total = np.zeros(len(table) + 1, np.int64)
         for batch in batches:
-            for b in chunks(batch, "text"):
+            for b in chunks(batch, "text", _PART):
                 words, _ = word_hashes(b.column("text"), ALNUM)
                 at, known = _find(table, words)
                 at = np.where(known, at, len(table))
@@ -255,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame):
 
     def run(batches):
         for batch in batches:
-            for b in chunks(batch, "text"):
+            for b in chunks(batch, "text", _PART):
                 yield pa.RecordBatch.from_arrays([pa.array(evidence(model, b.column("text"))), b.column("toxic").cast(pa.int64())], ["x", "toxic"])
 
     rows = texts.filter("fold = 0").select("text", "toxic").mapInArrow(run, "x double, toxic long").collect()
@@ -282,7 +282,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         m = model.value
         a, b = m["line"]
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", _PART):
                 p = 1 / (1 + np.exp(-np.clip(a + b * evidence(m, part.column("text")), -30, 30)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
 
@@ -302,7 +302,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
             m = model.value
             a, b = m["line"]
             for batch in batches:
-                for part in chunks(batch, "text"):
+                for part in chunks(batch, "text", _PART):
                     p = 1 / (1 + np.exp(-np.clip(a + b * evidence(m, part.column("text")), -30, 30)))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))],
                                                      ["doc_id", "score", "predicted"])

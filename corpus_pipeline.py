@@ -15,26 +15,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonegauge.llm import line_spread, mixing, packing, partenum, toxicity
-from tonegauge.llm.store import keep
+from tonegauge.llm.store import keep, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _columns(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.select(*COLUMNS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(docs.select(*COLUMNS), labels).filter("predicted = 0").select(*COLUMNS)
+    return toxicity.score(_columns(docs), labels).filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that stand on many sites."""
-    rows = line_spread.remove_spread_lines(docs.select(*COLUMNS))
+    rows = line_spread.remove_spread_lines(_columns(docs))
     return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one whose id names the group."""
-    docs = docs.select(*COLUMNS)
+    docs = _columns(docs)
     groups = keep(partenum.jaccard_components(docs).select("doc_id", "component_id"), "components")
     left = docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
     again = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
@@ -45,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    docs = docs.select(*COLUMNS)
+    docs = _columns(docs)
     taken = mixing.mix_sources(docs).groupBy("h").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     copies = taken.select("h", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("copies")).filter("copies > 0")
     return (docs.withColumn("h", F.xxhash64("doc_id", "text")).join(copies, "h")
@@ -54,7 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token windows."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(_columns(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_boilerplate), ("near_duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]

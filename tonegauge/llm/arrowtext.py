@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 3 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

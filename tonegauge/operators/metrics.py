@@ -1,4 +1,4 @@
-"""Steerability metrics (H1-H16) as unrolled Column arithmetic.
+"""Metrics of rewrite evaluation (H1-H16) as unrolled Column arithmetic.
 
 Per row and goal: source ``s``, target ``t`` (null -> ``s``), output ``o``, delta ``d``.
 
@@ -259,10 +259,10 @@ def evaluate(spark: SparkSession, df: DataFrame, goals=DEFAULT_GOALS, judged: bo
 
 
 def summary_document(summary: DataFrame, run: dict | None = None) -> DataFrame:
-    """A5 shape: one row ``{steerability: {metric: {...}}, data: {...}, run: {...}}``."""
+    """A5 shape: one row ``{metrics: {metric: {...}}, data: {...}, run: {...}}``."""
     metric_struct = F.struct(*[F.col(k) for k in ["mean", "median", "min", "max", "std", "q1", "q3", "iqr"]])
     doc = summary.agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("metric"), metric_struct))).alias("steerability"),
+        F.map_from_entries(F.collect_list(F.struct(F.col("metric"), metric_struct))).alias("metrics"),
         F.struct(F.first("n_total").alias("n_total"), F.first("n_grounded").alias("n_grounded"),
                  F.first("n_flagged").alias("n_flagged"), F.first("n_overruled").alias("n_overruled")).alias("data"),
     )

@@ -107,7 +107,7 @@ def registry(goals: list[str]) -> dict[str, Callable[[], Column]]:
         return F.col("completion")
 
     return {
-        "steerability_error": lambda: steering_reward(goals),
+        "steering_error": lambda: steering_reward(goals),
         "miscalibration": lambda: neg_miscalibration(goals),
         "orthogonality": lambda: neg_orthogonality(goals),
         "think_format": lambda: format_reward(c()),

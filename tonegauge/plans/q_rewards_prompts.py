@@ -111,11 +111,11 @@ def j5_j6_format_language(spark, sf):
     return c.select(*KEY, RW.format_reward(F.col("completion")).alias("think_format"), RW.english_only_reward(F.col("completion")).alias("english_only"))
 
 
-PLAN = RW.reward_plan(["steerability_error", "orthogonality", "not_a_reward"], ["miscalibration", "think_format"], MODEL, G)
+PLAN = RW.reward_plan(["steering_error", "orthogonality", "not_a_reward"], ["miscalibration", "think_format"], MODEL, G)
 
 
 def _j7_sql():
-    exprs = {"steerability_error": _steer_sql(G), "orthogonality": _neg_ortho_sql(G), "miscalibration": _neg_miscal_sql(G),
+    exprs = {"steering_error": _steer_sql(G), "orthogonality": _neg_ortho_sql(G), "miscalibration": _neg_miscal_sql(G),
              "think_format": f"CASE WHEN regexp_matches(completion, '{RW.THINK_FORMAT}') THEN 1.0 ELSE 0.0 END",
              "english_only": "CASE WHEN regexp_matches(completion, '[\\x{4E00}-\\x{9FFF}]') THEN 0.0 ELSE 1.0 END"}
     cols = [f"({exprs[n]}) AS r{i}_{n}" for i, (n, _) in enumerate(PLAN)]

@@ -358,11 +358,14 @@ def parse_pairwise_verdict(s: Column) -> Column:
 
     def inner(b):
         vals = F.regexp_extract_all(b, _lit(KV_VALUE), 1)
-        ans = F.element_at(F.filter(vals, lambda v: v.isin(CHOICES)), -1)
-        rat = F.element_at(F.filter(vals, lambda v: ~v.isin(CHOICES)), -1)
+        ans = F.try_element_at(F.filter(vals, lambda v: v.isin(CHOICES)), F.lit(-1))
+        rat = F.try_element_at(F.filter(vals, lambda v: ~v.isin(CHOICES)), F.lit(-1))
         return F.struct(ans.alias("answer"), rat.alias("rationale"))
 
-    fallback = F.map_from_arrays(names, F.transform(blocks, inner))
+    entries = F.arrays_zip(names.alias("name"), blocks.alias("block"))
+    # of repeated blocks the last one counts
+    last = F.filter(entries, lambda e, i: F.array_position(F.slice(names, i + 2, F.size(names)), e["name"]) == 0)
+    fallback = F.map_from_entries(F.transform(last, lambda e: F.struct(e["name"], inner(e["block"]))))
     return F.when(parsed.isNotNull(), parsed).otherwise(fallback)
 
 

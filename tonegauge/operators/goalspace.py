@@ -44,7 +44,7 @@ def map_with_cache(df: DataFrame, cache: DataFrame | None, goals: list[str], tex
         complete = F.lit(True)
         for g in goals:
             complete = complete & F.col(g).isNotNull()
-        hits = cache.filter(complete).select("text_key", *goals)
+        hits = cache.filter(complete).select("text_key", *goals).dropDuplicates(["text_key"])
         misses = distinct.join(hits.select("text_key"), "text_key", "left_anti")
     fresh = map_goals(misses, goals, "_text").select("text_key", *goals)
     merged = fresh if hits is None else fresh.unionByName(hits.join(fresh.select("text_key"), "text_key", "left_anti"))

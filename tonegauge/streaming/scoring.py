@@ -54,7 +54,9 @@ def dedup_stream(spark: SparkSession, stream: DataFrame, goals: list[str], cache
     cache (``text_key`` + raw goal columns)."""
     cache_dir = cache_dir or _work_dir(spark, "s2-cache")
     schema = T.StructType([T.StructField("text_key", T.StringType())] + [T.StructField(g, T.DoubleType()) for g in goals])
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(cache_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(cache_dir)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):  # a restart keeps the cache
+        spark.createDataFrame([], schema).write.parquet(cache_dir)
 
     def per_batch(batch: DataFrame, epoch: int) -> None:
         keyed = batch.select(text_key(F.col("text")).alias("text_key"), "text").dropDuplicates(["text_key"])

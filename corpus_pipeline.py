@@ -63,7 +63,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_boilerplate), ("near_duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
-#: Trained models and token ids are beyond SQL; the tests hold each stage against brute force.
+#: Trained models and token ids are beyond SQL; tests/llm holds each stage against its operator on
+#: the stage's own input, and the operators against brute force.
 ORACLE_SQL = None
 
 

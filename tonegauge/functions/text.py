@@ -34,7 +34,7 @@ THINK_MODELS = [
 SECTION_BREAK = "\n---\n\n"
 ERROR_RESPONSE = "<error>"
 NAN_TEXT = "<nan>"
-MAX_JUDGE_TOKENS = 4096
+MAX_JUDGE_TOKENS = 4096  # the usual explicit limit for a judge with a short window
 
 
 def _lit(p: str) -> Column:
@@ -294,15 +294,20 @@ def fill_template_sql(template: str, **values: str) -> str:
     return "(" + " || ".join(parts) + ")"
 
 
-def truncate_tokens(s: Column, max_tokens: int = MAX_JUDGE_TOKENS) -> Column:
-    """C14: missing text -> ``<nan>``; a text of at least ``max_tokens`` whitespace tokens is cut
-    to its first ``max_tokens`` tokens joined by single spaces; shorter texts stay whole."""
+def truncate_tokens(s: Column, max_tokens: int | None = None) -> Column:
+    """C14: missing text -> ``<nan>``; with an explicit ``max_tokens`` a text of at least that many
+    whitespace tokens is cut to its first ``max_tokens`` tokens joined by single spaces.  Other
+    texts, and all texts without a limit, stay whole."""
+    if max_tokens is None:
+        return F.coalesce(s, F.lit(NAN_TEXT))
     toks = F.split(strip(s), WS + "+")
     cut = F.array_join(F.slice(toks, 1, max_tokens), " ")
     return F.when(s.isNull(), F.lit(NAN_TEXT)).when(F.size(toks) >= max_tokens, cut).otherwise(s)
 
 
-def truncate_tokens_sql(e: str, max_tokens: int = MAX_JUDGE_TOKENS) -> str:
+def truncate_tokens_sql(e: str, max_tokens: int | None = None) -> str:
+    if max_tokens is None:
+        return f"coalesce({e}, '{NAN_TEXT}')"
     toks = f"regexp_split_to_array({strip_sql(e)}, '{WS}+')"
     return (f"CASE WHEN {e} IS NULL THEN '{NAN_TEXT}' WHEN len({toks}) >= {max_tokens} "
             f"THEN array_to_string({toks}[1:{max_tokens}], ' ') ELSE {e} END")
@@ -390,7 +395,10 @@ def label_to_ordinal_sql(e: str) -> str:
 # --------------------------------------------------------------------------------------------
 # B15 preview
 
-def wrap_truncate(text: Column, width: int = 100, limit: int = 5000) -> Column:
-    """Newline every ``width`` characters, cut at ``limit`` characters, ``...`` if longer."""
+def wrap_truncate(text: Column, width: int = 100, limit: int | None = None) -> Column:
+    """Newline every ``width`` characters; with an explicit ``limit`` cut at that many
+    characters and ``...`` if the text is longer."""
     wrapped = F.regexp_replace(text, f"(?s)(.{{{width}}})(?=.)", "$1\n")
+    if limit is None:
+        return wrapped
     return F.concat(F.substring(wrapped, 1, limit), F.when(F.length(text) > limit, F.lit("...")).otherwise(F.lit("")))

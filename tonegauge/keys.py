@@ -4,9 +4,9 @@
 task order (unlike ``rand()``), so reruns, retries after executor loss and other engines give
 the same draws.  Two backends:
 
-* ``md5``: first 32 bits of md5 over ``'|'``-joined parts.  DuckDB computes the same number
-  with ``('0x' || substr(md5(...), 1, 8))::UBIGINT / 4294967296.0`` (see :func:`u_sql`).
-* ``xxhash``: low 32 bits of Spark's ``xxhash64``; an order of magnitude cheaper, Spark only.
+* ``md5``: first 52 bits of md5 over ``'|'``-joined parts (exact in a double).  DuckDB computes
+  the same number from the first 13 hex digits (see :func:`u_sql`).
+* ``xxhash``: low 52 bits of Spark's ``xxhash64``; an order of magnitude cheaper, Spark only.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO_32 = 4294967296.0
+TWO_52 = 4503599627370496.0
 
 
 def _as_col(p) -> Column:
@@ -28,12 +29,12 @@ def _as_col(p) -> Column:
 def u(*parts, backend: str = "md5") -> Column:
     """Uniform in [0, 1) from key parts (Columns, or literals turned into strings)."""
     if backend == "md5":
-        h = F.conv(F.substring(F.md5(F.concat_ws("|", *[_as_col(p) for p in parts])), 1, 8), 16, 10)
-        # try_cast: conv of 8 hex digits always parses; no ANSI error path in the generated code
-        return h.try_cast("double") / F.lit(TWO_32)
+        h = F.conv(F.substring(F.md5(F.concat_ws("|", *[_as_col(p) for p in parts])), 1, 13), 16, 10)
+        # try_cast: conv of 13 hex digits always parses; no ANSI error path in the generated code
+        return h.try_cast("double") / F.lit(TWO_52)
     if backend == "xxhash":
-        h = F.xxhash64(*[_as_col(p) for p in parts]).bitwiseAND(F.lit(0xFFFFFFFF))
-        return h.cast("double") / F.lit(TWO_32)
+        h = F.xxhash64(*[_as_col(p) for p in parts]).bitwiseAND(F.lit(0xFFFFFFFFFFFFF))
+        return h.cast("double") / F.lit(TWO_52)
     raise ValueError(f"unknown backend {backend}")
 
 
@@ -45,7 +46,7 @@ def u_sql(*parts) -> str:
             rendered.append(f"CAST({p[4:]} AS VARCHAR)")
         else:
             rendered.append("'" + str(p).replace("'", "''") + "'")
-    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(rendered)})), 1, 8) AS UBIGINT) / 4294967296.0)"
+    return f"(CAST('0x' || substr(md5(concat_ws('|', {', '.join(rendered)})), 1, 13) AS UBIGINT)::DOUBLE / 4503599627370496.0::DOUBLE)"
 
 
 def text_key(text: Column) -> Column:

@@ -40,19 +40,18 @@ def oracle_median(df: DataFrame, goals: list[str], order_key: list[str], compat:
     The rows nearest the median are exactly those holding one of the two middle order statistics
     (one for an odd count; for an even count both are equally near), so no floating median is
     formed: rows whose error equals either middle value compete and the first by key wins.
-    Groups are the N generations of one prompt, bounded by the generation count, so the sorted
-    errors of a group fit one window frame.  (The original's median mode crashed; this is the
-    fixed intent.)"""
+    The middle values come from positions within a group (``row_number``), so no group is held in
+    an array; the windows share one partitioning and spill.  (The original's median mode crashed;
+    this is the fixed intent.)"""
     scored = _prepare(df, goals, compat).withColumn("_tk", text_key(F.col("text")))
-    part = ["_tk"] + [f"target_{g}" for g in goals]
-    w = Window.partitionBy(*part)
-    arr = F.array_sort(F.collect_list(F.col("_err")).over(w))
-    n = F.size(arr)
-    lo = F.element_at(arr, F.floor((n - 1) / 2).cast("int") + 1)
-    hi = F.element_at(arr, F.ceil((n - 1) / 2).cast("int") + 1)
-    mid = scored.withColumns({"_lo": lo, "_hi": hi}).filter((F.col("_err") == F.col("_lo")) | (F.col("_err") == F.col("_hi")))
-    ranked = mid.withColumn("_rn", F.row_number().over(w.orderBy(*order_key)))
-    return ranked.filter(F.col("_rn") == 1).drop("_rn", "_lo", "_hi", "_tk").withColumnRenamed("_err", "steering_error")
+    group = Window.partitionBy("_tk", *[f"target_{g}" for g in goals])
+    err = F.col("_err")
+    placed = scored.withColumns({"_pos": F.row_number().over(group.orderBy(err.asc_nulls_last(), *order_key)),
+                                 "_n": F.count(err).over(group)})
+    middle = [F.max(F.when(F.col("_pos") == F.floor((F.col("_n") + up) / 2), err)).over(group) for up in (1, 2)]
+    near = placed.withColumns({"_lo": middle[0], "_hi": middle[1]}).filter((err == F.col("_lo")) | (err == F.col("_hi")))
+    first = near.withColumn("_rn", F.row_number().over(group.orderBy(*order_key))).filter("_rn = 1")
+    return first.drop("_rn", "_lo", "_hi", "_pos", "_n", "_tk").withColumnRenamed("_err", "steering_error")
 
 
 def undo_sentinel(df: DataFrame, goals: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tonegauge.keys import u
 from tonegauge.operators.metrics import grounded
 
 TIE_THRESHOLD = 0.1
+LEVELS = (-1, 0, 1)
 
 
 def grounded_subset(df: DataFrame, flip: bool = False) -> DataFrame:
@@ -21,35 +23,30 @@ def grounded_subset(df: DataFrame, flip: bool = False) -> DataFrame:
 
 
 def problem_set(df: DataFrame, template: str, key_cols: list[str], source_col: str = "text",
-                response_col: str = "llm_response", seed: int = 42) -> DataFrame:
+                response_col: str = "llm_response", seed: int = 42, max_tokens: int | None = None) -> DataFrame:
     """Blind A/B assignment (``u < 0.5`` puts the source first) and the judge prompt with
-    both versions truncated (C14) and substituted into the ``$version_a`` / ``$version_b`` template."""
+    both versions (whole, or cut at an explicit ``max_tokens``, C14) substituted into the ``$version_a`` / ``$version_b`` template."""
     mask = u(*[f"col:{k}" for k in key_cols], seed, "ab") < F.lit(0.5)
     a = F.when(mask, F.col(source_col)).otherwise(F.col(response_col))
     b = F.when(mask, F.col(response_col)).otherwise(F.col(source_col))
     out = df.withColumns({"source_text_is_a": mask, "version_a": a, "version_b": b})
-    return out.withColumn("prompt", tx.fill_template(template, version_a=tx.truncate_tokens(F.col("version_a")),
-                                                        version_b=tx.truncate_tokens(F.col("version_b"))))
+    return out.withColumn("prompt", tx.fill_template(template, version_a=tx.truncate_tokens(F.col("version_a"), max_tokens),
+                                                        version_b=tx.truncate_tokens(F.col("version_b"), max_tokens)))
 
 
 def answer_key(source: Column, output: Column, source_is_a: Column, tie: float = TIE_THRESHOLD) -> Column:
-    """Which version has more of the attribute.  |diff| < tie -> Tie; otherwise A/B by the
-    direction of ``source - output`` and the assignment; exactly ``tie`` (or a null) -> ``'0'``."""
-    diff = source - output
-    t = abs(tie)
-    greater, less = diff > F.lit(t), diff < F.lit(-t)
-    return (F.when(F.abs(diff) < F.lit(t), F.lit("Tie"))
-            .when((greater & source_is_a) | (less & ~source_is_a), F.lit("A"))
-            .when((less & source_is_a) | (greater & ~source_is_a), F.lit("B"))
-            .otherwise(F.lit("0")))
+    """The version holding more of the attribute.  Closer than ``tie`` is a ``Tie``; beyond it
+    A holds more exactly when "the source is greater" and "the source is A" agree; a gap of just
+    ``tie``, or a null, has no key (``'0'``)."""
+    gap = F.abs(source - output)
+    side = F.when((source > output) == source_is_a, "A").otherwise("B")
+    return F.when(gap < abs(tie), "Tie").when((gap > abs(tie)) & source_is_a.isNotNull(), side).otherwise("0")
 
 
 def answer_key_sql(source: str, output: str, source_is_a: str, tie: float = TIE_THRESHOLD) -> str:
-    d = f"({source} - {output})"
-    t = f"{abs(tie)!r}::DOUBLE"
-    return (f"CASE WHEN abs({d}) < {t} THEN 'Tie' "
-            f"WHEN ({d} > {t} AND {source_is_a}) OR ({d} < -{t} AND NOT {source_is_a}) THEN 'A' "
-            f"WHEN ({d} < -{t} AND {source_is_a}) OR ({d} > {t} AND NOT {source_is_a}) THEN 'B' ELSE '0' END")
+    gap, t = f"abs({source} - {output})", f"{abs(tie)!r}::DOUBLE"
+    return (f"CASE WHEN {gap} < {t} THEN 'Tie' WHEN {gap} > {t} AND {source_is_a} IS NOT NULL "
+            f"THEN if(({source} > {output}) = {source_is_a}, 'A', 'B') ELSE '0' END")
 
 
 def verdict_counts(df: DataFrame, col: str = "answer") -> DataFrame:
@@ -114,36 +111,35 @@ def erfc_approx_sql(x: str) -> str:
 
 
 def kendall_tau(pairs: DataFrame, attr: str = "attribute", x: str = "x", y: str = "y") -> DataFrame:
-    """Tau-b, asymptotic two-sided p and n per attribute from ordinal pairs (nulls dropped).
-
-    The pairs collapse to at most 9 ``(x, y)`` cells per attribute with map-side combine; all
-    pair counting happens on the cell table (cells x cells within an attribute), so the cost
-    is one aggregation over the input whatever its size.
-      P / Q = cell pairs with dx dy > 0 / < 0 weighted by n_i n_j; n0 = n(n-1)/2;
-      n1, n2 = tied pairs in x, y; tau = (P - Q) / sqrt((n0 - n1)(n0 - n2)), null when either side
-      is constant; z = (P - Q) / sqrt(var) with the tie-corrected variance; p = erfc(|z| / sqrt 2).
+    """Tau-b, asymptotic two-sided p and n per attribute from ordinals -1, 0, 1 (C18; rows with
+    a null on either side stay out).
+
+    One aggregate counts the nine ``(x, y)`` cells of each attribute (map-side combine, one row per
+    attribute); the rest is arithmetic on those counts.
+      P / Q = pairs of rows ordered alike / against each other; n0 = n(n-1)/2; n1, n2 = tied pairs
+      in x, y; tau = (P - Q) / sqrt((n0 - n1)(n0 - n2)), null when either side is constant;
+      z = (P - Q) / sqrt(var) with the tie-corrected variance; p = erfc(|z| / sqrt 2).
     """
-    cells = (pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-             .groupBy(attr, x, y).agg(F.count(F.lit(1)).cast("double").alias("c")))
-    a = cells.alias("a")
-    b = cells.alias("b")
-    cross = a.join(b, F.col(f"a.{attr}") == F.col(f"b.{attr}"))
-    s = F.signum(F.col(f"a.{x}") - F.col(f"b.{x}")) * F.signum(F.col(f"a.{y}") - F.col(f"b.{y}"))
-    pq = cross.groupBy(F.col(f"a.{attr}").alias(attr)).agg(
-        (F.sum(F.when(s > 0, F.col("a.c") * F.col("b.c")).otherwise(0.0)) / 2).alias("P"),
-        (F.sum(F.when(s < 0, F.col("a.c") * F.col("b.c")).otherwise(0.0)) / 2).alias("Q"))
-    tx_ = cells.groupBy(attr, x).agg(F.sum("c").alias("t"))
-    ty_ = cells.groupBy(attr, y).agg(F.sum("c").alias("t"))
-
-    def tie_sums(tt):
-        t = F.col("t")
-        return tt.groupBy(attr).agg(F.sum(t * (t - 1) / 2).alias("pairs"), F.sum(t * (t - 1) * (F.lit(2.0) * t + 5)).alias("v1"),
-                                    F.sum(t * (t - 1) * (t - 2)).alias("v2"), F.sum(t * (t - 1)).alias("v3"))
-
-    tsx = tie_sums(tx_).select(attr, *[F.col(c).alias(f"x_{c}") for c in ("pairs", "v1", "v2", "v3")])
-    tsy = tie_sums(ty_).select(attr, *[F.col(c).alias(f"y_{c}") for c in ("pairs", "v1", "v2", "v3")])
-    n = cells.groupBy(attr).agg(F.sum("c").alias("n"))
-    j = n.join(pq, attr).join(tsx, attr).join(tsy, attr)
+    grid = [(i, j) for i in LEVELS for j in LEVELS]
+
+    def name(i, j):
+        return f"_c{LEVELS.index(i)}{LEVELS.index(j)}"
+
+    both = pairs.filter(F.col(x).isin(*LEVELS) & F.col(y).isin(*LEVELS))
+    cells = both.groupBy(attr).agg(*[F.count_if((F.col(x) == i) & (F.col(y) == j)).cast("double").alias(name(i, j)) for i, j in grid])
+    c = {cell: F.col(name(*cell)) for cell in grid}
+
+    def total(terms):
+        return reduce(Column.__add__, terms)
+
+    ties = {"x": [total([c[i, j] for j in LEVELS]) for i in LEVELS], "y": [total([c[i, j] for i in LEVELS]) for j in LEVELS]}
+    sums = {"n": total(list(c.values()))}
+    sums |= {way: total([c[p] * c[q] for p in grid for q in grid if p[0] < q[0] and (q[1] - p[1]) * sign > 0])
+             for way, sign in (("P", 1), ("Q", -1))}
+    for side, counts in ties.items():
+        sums |= {f"{side}_pairs": total([t * (t - 1) / 2 for t in counts]), f"{side}_v1": total([t * (t - 1) * (t * 2.0 + 5) for t in counts]),
+                 f"{side}_v2": total([t * (t - 1) * (t - 2) for t in counts]), f"{side}_v3": total([t * (t - 1) for t in counts])}
+    j = cells.withColumns(sums)
     nn = F.col("n")
     n0 = nn * (nn - 1) / 2
     den = (n0 - F.col("x_pairs")) * (n0 - F.col("y_pairs"))

@@ -271,15 +271,6 @@ def summary_document(summary: DataFrame, run: dict | None = None) -> DataFrame:
     return doc
 
 
-# --------------------------------------------------------------------------------------------
-# H12 - H16
-
-def nearest_rank(values: Column, q: float) -> Column:
-    """H16 helper: value at ``floor(n q)`` (0-based) of the sorted values of a group (aggregate)."""
-    arr = F.array_sort(F.collect_list(values))
-    return F.element_at(arr, F.least(F.floor(F.size(arr) * F.lit(q)).cast("int") + 1, F.size(arr)))
-
-
 # --------------------------------------------------------------------------------------------
 # DuckDB twins (used by the oracle)
 

@@ -19,10 +19,22 @@ from tonegauge.keys import u, u_sql
 NO_EXPLAIN = " Respond with only the rewritten text and do not explain your response."
 DISAMBIG = (" You MUST not change anything else about the other parts of the text, even if it makes "
             "the rewritten text sound unnatural or otherwise awkward.")
-MORE_PHRASES = {"reading_difficulty": "harder to read", "textual_diversity": "use more diverse language",
-                "text_length": "longer", "formality": "more formal"}
-LESS_PHRASES = {"reading_difficulty": "easier to read", "textual_diversity": "use less diverse language",
-                "text_length": "shorter", "formality": "more informal"}
+#: goal -> (direction, strength) -> finished request
+PHRASES = {
+    "reading_difficulty": {
+        ("more", "much"): "much harder to read", ("more", "slightly"): "slightly harder to read", ("more", ""): "harder to read",
+        ("less", "much"): "much easier to read", ("less", "slightly"): "slightly easier to read", ("less", ""): "easier to read"},
+    "textual_diversity": {
+        ("more", "much"): "use much more diverse language", ("more", "slightly"): "use slightly more diverse language",
+        ("more", ""): "use more diverse language", ("less", "much"): "use much less diverse language",
+        ("less", "slightly"): "use slightly less diverse language", ("less", ""): "use less diverse language"},
+    "text_length": {
+        ("more", "much"): "much longer", ("more", "slightly"): "slightly longer", ("more", ""): "longer",
+        ("less", "much"): "much shorter", ("less", "slightly"): "slightly shorter", ("less", ""): "shorter"},
+    "formality": {
+        ("more", "much"): "much more formal", ("more", "slightly"): "slightly more formal", ("more", ""): "more formal",
+        ("less", "much"): "much more informal", ("less", "slightly"): "slightly more informal", ("less", ""): "more informal"},
+}
 BASE = "Please rewrite the following, but make it "
 NOTHING = "as close to the original as possible."
 NULL_BASE = "Please rewrite the following."
@@ -45,37 +57,21 @@ INSTRUCTION_LEAD = " Some ways that you can do so might include:"
 INSTRUCTION_BULLET = "\n\t- "
 
 
-def with_modifier(phrase: str, modifier: str | None) -> str:
-    """Insert ``much`` / ``slightly`` before an inner more/less, else in front of the phrase."""
-    if modifier is None:
-        return phrase
-    if not phrase.startswith("more") and "more" in phrase:
-        return phrase.replace("more", modifier + "more")
-    if not phrase.startswith("less") and "less" in phrase:
-        return phrase.replace("less", modifier + "less")
-    return modifier + phrase
-
-
 def _phrase(g: str, d: Column) -> Column:
-    """Phrase of one active goal: sign picks more/less, |d| > .5 much, |d| < .2 slightly."""
-    if g not in MORE_PHRASES:
-        raise ValueError(f"Goal {g} not supported. Valid goals: {list(MORE_PHRASES)}")
-    out = None
-    for pos, table in ((True, MORE_PHRASES), (False, LESS_PHRASES)):
-        sign = d > 0 if pos else d < 0
-        for cond, mod in ((F.abs(d) > 0.5, "much "), (F.abs(d) < 0.2, "slightly "), (F.lit(True), None)):
-            lit = F.lit(with_modifier(table[g], mod))
-            out = F.when(sign & cond, lit) if out is None else out.when(sign & cond, lit)
-    return out
+    """Request of one active goal, looked up by the sign of its delta and its strength."""
+    if g not in PHRASES:
+        raise ValueError(f"Goal {g} not supported. Valid goals: {list(PHRASES)}")
+    key = F.concat_ws(":", F.when(d > 0, "more").otherwise("less"),
+                      F.when(F.abs(d) > 0.5, "much").when(F.abs(d) < 0.2, "slightly").otherwise(""))
+    table = F.create_map(*[F.lit(x) for (way, how), p in PHRASES[g].items() for x in (f"{way}:{how}", p)])
+    return F.element_at(table, key)
 
 
 def _phrase_sql(g: str, d: str) -> str:
-    parts = []
-    for pos, table in ((True, MORE_PHRASES), (False, LESS_PHRASES)):
-        sign = f"{d} > 0" if pos else f"{d} < 0"
-        for cond, mod in ((f"abs({d}) > 0.5", "much "), (f"abs({d}) < 0.2", "slightly "), ("TRUE", None)):
-            parts.append(f"WHEN {sign} AND {cond} THEN {tx.sql_str(with_modifier(table[g], mod))}")
-    return "CASE " + " ".join(parts) + " END"
+    key = (f"if({d} > 0, 'more', 'less') || ':' || "
+           f"CASE WHEN abs({d}) > 0.5 THEN 'much' WHEN abs({d}) < 0.2 THEN 'slightly' ELSE '' END")
+    rows = " ".join(f"WHEN '{way}:{how}' THEN {tx.sql_str(p)}" for (way, how), p in PHRASES[g].items())
+    return f"CASE {key} {rows} END"
 
 
 def _suffix(no_explain: bool, disambig: bool) -> str:
@@ -138,26 +134,31 @@ def null_instruction(no_explain: bool = True, disambig: bool = False) -> Column:
 
 
 def with_sampled_instructions(df: DataFrame, database: DataFrame, goals: list[str], key_cols: list[str],
-                              prompt: Column, k: int = 3, seed: int = 42) -> DataFrame:
+                              prompt: Column, k: int = 3, seed: int = 42, missing: str = "raise") -> DataFrame:
     """Append up to ``k`` instructions drawn without replacement from the database entry
     whose delta vector equals the row's (null-safe on every goal).
 
-    The database has one row per delta key (G10 guarantees it), so the join multiplies nothing;
-    rows without an entry raise in the original, here they are dropped by the inner join (check
-    with :func:`missing_instruction_keys`).  Draw order is ``u(row key, instruction)``.
+    The database has one row per delta key (G10 guarantees it), so the join multiplies nothing.
+    No row is dropped: one without an entry fails the job (``missing="raise"``) or gets null
+    instructions (``missing="null"``; list such rows with :func:`missing_instruction_keys`).
+    Draw order is ``u(row key, instruction)``.
     """
+    if missing not in ("raise", "null"):
+        raise ValueError(f"missing must be 'raise' or 'null', not {missing!r}")
     keys = [f"col:{c}" for c in key_cols]
-    db = database.select(*[F.col(f"delta_{g}").alias(f"_db_{g}") for g in goals], "edit_instruction")
+    db = database.select(*[F.col(f"delta_{g}").alias(f"_db_{g}") for g in goals], "edit_instruction", F.lit(True).alias("_entry"))
     cond = None
     for g in goals:
         c = df[f"delta_{g}"].eqNullSafe(db[f"_db_{g}"])
         cond = c if cond is None else cond & c
-    j = df.withColumn("_prompt", prompt).join(db, cond, "inner")
+    j = df.withColumn("_prompt", prompt).join(db, cond, "left")
     ranked = F.transform(F.col("edit_instruction"), lambda s: F.struct(u(*keys, seed, "inst", s).alias("o"), s.alias("s")))
     picked = F.transform(F.slice(F.array_sort(ranked), 1, k), lambda x: x["s"])
     text = F.concat(F.col("_prompt"), F.lit(INSTRUCTION_LEAD), F.lit(INSTRUCTION_BULLET),
                     F.array_join(picked, INSTRUCTION_BULLET), F.lit("\n\n"))
-    return j.withColumn("instructions", text).drop("_prompt", "edit_instruction", *[f"_db_{g}" for g in goals])
+    absent = F.raise_error("no instruction database entry for a row's deltas") if missing == "raise" else F.lit(None)
+    text = F.when(F.col("_entry"), text).otherwise(absent.cast("string"))
+    return j.withColumn("instructions", text).drop("_prompt", "_entry", "edit_instruction", *[f"_db_{g}" for g in goals])
 
 
 def missing_instruction_keys(df: DataFrame, database: DataFrame, goals: list[str]) -> DataFrame:

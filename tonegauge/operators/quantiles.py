@@ -13,21 +13,25 @@ inputs of any size, so we select order statistics by histogram refinement:
 3. once a bracket holds at most ``SMALL`` values (or a single distinct value) one pass gathers
    those few values and the rank is read off directly.
 
-Each pass is a scan with a tiny aggregate; typical inputs finish in three passes.  The
+Each pass is a scan with a tiny aggregate; typical inputs finish in three passes.  Bracket ends
+are values of the column and fall in different buckets, so every pass narrows a bracket; a pass
+divides its width by ``BUCKETS``, which bounds the passes for any doubles.  NaN counts as null.
+The
 narrow projection is persisted (MEMORY_AND_DISK) for the passes and released after.
 """
 
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
 SMALL = 4096
-MAX_PASSES = 60
+LARGEST = sys.float_info.max
 
 
 def _rank_targets(n: int, probs: list[float]) -> list[tuple[float, int, int]]:
@@ -40,6 +44,22 @@ def _rank_targets(n: int, probs: list[float]) -> list[tuple[float, int, int]]:
     return out
 
 
+def _bucket(v: Column, lo: float, hi: float) -> Column:
+    """Equal-width bucket of ``v`` in ``[lo, hi]``; the infinities have buckets of their own."""
+    a, z = max(lo, -LARGEST), min(hi, LARGEST)
+    half = 0.5 if math.isinf(z - a) else 1.0  # the span itself may overflow
+    width = z * half - a * half
+    share = (v * F.lit(half) - F.lit(a * half)) / F.lit(width) * F.lit(float(BUCKETS)) if width else F.lit(0.0)
+    b = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(BUCKETS - 1.0))).cast("int")
+    return F.when(v == F.lit(-math.inf), -1).when(v == F.lit(math.inf), BUCKETS).otherwise(b)
+
+
+def _number(c: str) -> Column:
+    """The column as a double, NaN as null."""
+    v = F.col(c).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 def order_statistics(df: DataFrame, columns: list[str], ranks: dict[str, set[int]],
                      stats: dict[str, dict]) -> dict[tuple[str, int], float]:
     """Values at 0-based ``ranks`` (ascending, nulls excluded) of each column."""
@@ -54,11 +74,9 @@ def order_statistics(df: DataFrame, columns: list[str], ranks: dict[str, set[int
                 found[(c, r)] = st["min"]
             else:
                 open_t[(c, r)] = [c, r, st["min"], st["max"], 0, st["n"]]
-    passes = 0
     while open_t:
-        passes += 1
         keys = list(open_t)
-        small = {k for k in keys if open_t[k][5] <= SMALL or passes >= MAX_PASSES}
+        small = {k for k in keys if open_t[k][5] <= SMALL}
         if small:
             # gather the few values inside each small bracket
             structs = []
@@ -85,9 +103,7 @@ def order_statistics(df: DataFrame, columns: list[str], ranks: dict[str, set[int
         for t, k in enumerate(keys):
             c, r, lo, hi, below, cnt = open_t[k]
             v = F.col(f"v{idx[c]}")
-            width = hi - lo
-            b = F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(float(BUCKETS))).cast("int")
-            b = F.least(F.greatest(b, F.lit(0)), F.lit(BUCKETS - 1))
+            b = _bucket(v, lo, hi)
             structs.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)),
                                   F.struct(F.lit(t).alias("t"), b.alias("b"), v.alias("v"))))
         hist = (df.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
@@ -121,7 +137,7 @@ def describe(df: DataFrame, columns: list[str], probs: tuple[float, ...] = (0.25
     Quantile at q uses rank ``h = (n - 1) q`` and ``x[floor h] + (h - floor h)(x[ceil h] - x[floor h])``
     (NumPy ``linear``, DuckDB ``quantile_cont``).  Columns with no non-null value give None.
     """
-    narrow = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    narrow = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(columns)])
     narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         aggs = []
@@ -174,7 +190,7 @@ def describe_by(df: DataFrame, group: str, value: str, probs: tuple[float, ...]
     are then selected for all groups at once with the same histogram refinement, so no group's
     values are ever gathered into one task, however large the group.
     """
-    narrow = df.select(F.col(group).cast("string").alias("g"), F.col(value).cast("double").alias("v"))
+    narrow = df.select(F.col(group).cast("string").alias("g"), _number(value).alias("v"))
     narrow = narrow.filter(F.col("v").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = narrow.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonegauge.functions import text as tx
+
 CJK = r"[\x{4E00}-\x{9FFF}]"
 THINK_FORMAT = r"(?s)^<think>.*?</think>"
 
@@ -87,10 +89,6 @@ def neg_abs_error(goal: str) -> Column:
     return -F.abs(_t(goal) - F.col(f"output_{goal}"))
 
 
-def completion_text(c: Column) -> Column:
-    return c
-
-
 def format_reward(completion: Column) -> Column:
     """1.0 when the completion starts with a ``<think>...</think>`` block."""
     return F.when(completion.rlike(THINK_FORMAT), F.lit(1.0)).otherwise(F.lit(0.0))
@@ -101,17 +99,17 @@ def english_only_reward(completion: Column) -> Column:
     return F.when(completion.rlike(CJK), F.lit(0.0)).otherwise(F.lit(1.0))
 
 
-def registry(goals: list[str]) -> dict[str, Callable[[], Column]]:
-    """J7 names -> reward Column builders (``j_error`` / ``su_error`` have no scorer: skipped)."""
-    def c():
-        return F.col("completion")
-
+def registry(goals: list[str], completion: Column | None = None) -> dict[str, Callable[[], Column]]:
+    """J7 names -> reward Column builders (``j_error`` / ``su_error`` have no scorer: skipped).
+    ``completion`` is the text of the completion; the plain column if not given."""
+    def said():
+        return F.col("completion") if completion is None else completion
     return {
         "steering_error": lambda: steering_reward(goals),
         "miscalibration": lambda: neg_miscalibration(goals),
         "orthogonality": lambda: neg_orthogonality(goals),
-        "think_format": lambda: format_reward(c()),
-        "english_only": lambda: english_only_reward(c()),
+        "think_format": lambda: format_reward(said()),
+        "english_only": lambda: english_only_reward(said()),
         "rd_error": lambda: neg_abs_error("reading_difficulty"),
         "tl_error": lambda: neg_abs_error("text_length"),
         "td_error": lambda: neg_abs_error("textual_diversity"),
@@ -131,14 +129,21 @@ def reward_plan(optimised: list[str], tracked: list[str], model_name: str, goals
 
 
 def with_rewards(df: DataFrame, plan: list[tuple[str, float]], goals: list[str]) -> DataFrame:
-    """One column per reward plus ``reward`` = the weighted sum."""
-    reg = registry(goals)
+    """One column per reward plus ``reward`` = the weighted sum.
+
+    Completions may be strings or chat messages (C10).  Rewards of weight 0 are tracked only: they
+    stay out of the sum, so a null there leaves ``reward`` as it is.
+    """
+    completion = tx.unwrap_chat(df, "completion") if "completion" in df.columns else None
+    reg = registry(goals, completion)
     cols = {}
     for i, (name, _) in enumerate(plan):
         cols[f"r{i}_{name}"] = reg[name]()
     df = df.withColumns(cols)
     total = None
     for i, (name, w) in enumerate(plan):
+        if w == 0:
+            continue
         term = F.col(f"r{i}_{name}") * F.lit(w)
         total = term if total is None else total + term
     return df.withColumn("reward", total if total is not None else F.lit(0.0))

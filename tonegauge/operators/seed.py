@@ -30,8 +30,9 @@ def apply_filters(df: DataFrame, filters: dict | None) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, conds))
 
 
-def word_limits(df: DataFrame, lo: int | None = 50, hi: int | None = 2048, text_col: str = "text") -> DataFrame:
-    """B2: keep texts whose C4 token count is within [lo, hi] (both inclusive; None = open)."""
+def word_limits(df: DataFrame, lo: int | None = None, hi: int | None = None, text_col: str = "text") -> DataFrame:
+    """B2: keep texts whose C4 token count is within [lo, hi] (both inclusive; None = open,
+    the default, so no document goes without an explicit bound)."""
     n = tx.token_count(F.col(text_col))
     cond = F.lit(True)
     if lo is not None:
@@ -65,25 +66,29 @@ def outlier_mask(df: DataFrame, col: str, lo_q: float = 0.025, hi_q: float = 0.9
 
 
 def process_dataset(df: DataFrame, feature_col: str, filters: dict | None = None, paragraph_chunksize: int | None = None,
-                    min_words_per_doc: int | None = 50, max_words_per_doc: int | None = 2048, newlines_are_sentences: bool = False,
+                    min_words_per_doc: int | None = None, max_words_per_doc: int | None = None, newlines_are_sentences: bool = False,
                     sample: int | None = None, select_first: int | None = None, random_state: int = 42,
                     dedup: bool = False, key_col: str | None = None) -> DataFrame:
     """Seed processing: filter (B1), optional sample (F1), chunk (C1), newline rule (C3), word
-    limits (B2), first-N (B3).  ``dedup`` adds exact text de-duplication (off by default)."""
+    limits (B2), first-N (B3).  ``dedup`` adds exact text de-duplication (off by default).
+
+    Word limits are open unless given.  First-N takes rows in ``key_col`` and chunk order (in text
+    order without a key, or after ``dedup``), so reruns agree."""
     from tonegauge.operators.probe import sample_uniform
     out = apply_filters(df, filters).withColumnRenamed(feature_col, "text")
     if sample is not None:
         out = sample_uniform(out, sample, [key_col or "text"], seed=random_state)
+    _key = F.col(key_col) if key_col else F.lit(0)
     if paragraph_chunksize is not None:
-        out = out.select(F.explode(tx.chunk_sentences(F.col("text"), paragraph_chunksize)).alias("text"))
+        out = out.select(_key.alias("_key"), F.posexplode(tx.chunk_sentences(F.col("text"), paragraph_chunksize)).alias("_chunk", "text"))
     else:
-        out = out.select("text")
+        out = out.select(_key.alias("_key"), F.lit(0).alias("_chunk"), "text")
     if newlines_are_sentences:
         out = out.withColumn("text", tx.newlines_as_sentences(F.col("text")))
     if min_words_per_doc is not None or max_words_per_doc is not None:
         out = word_limits(out, min_words_per_doc, max_words_per_doc)
     if dedup:
-        out = out.dropDuplicates(["text"])
+        out = out.select(F.lit(0).alias("_key"), F.lit(0).alias("_chunk"), "text").dropDuplicates(["text"])
     if select_first is not None:
-        out = out.limit(select_first)
-    return out
+        out = out.orderBy("_key", "_chunk", "text").limit(select_first)
+    return out.select("text")

@@ -179,10 +179,10 @@ def sql_probe(goals=GOALS, reps: int = REPS) -> list[tuple[str, str]]:
     return sql_goalspace(goals) + [rep] + _delta_ctes("rep_rows", goals, ["original_index", "rep"])
 
 
-def _output_ctes(src: str, goals, keys, name: str) -> list[tuple[str, str]]:
+def _output_ctes(src: str, goals, keys, name: str, seed: int = SEED) -> list[tuple[str, str]]:
     binds = []
     for g in goals:
-        u1, u2, u3, _ = u4_sql(*[f"col:{k}" for k in keys], SEED, "out", g)
+        u1, u2, u3, _ = u4_sql(*[f"col:{k}" for k in keys], seed, "out", g)
         binds += [f"{u1} AS _o1_{g}", f"{u2} AS _o2_{g}", f"{u3} AS _o3_{g}"]
     outs = []
     for g in goals:

@@ -162,10 +162,10 @@ def b11_outlier_mask(spark, sf):
 def b12_b13_b16_projection(spark, sf):
     """B16 2-goal axis projection, B12 prefix rename, B13 signature literals."""
     from tonegauge.schema import add_prefix
-    r = X.result(spark, sf).select(*KEY, *[f"source_{g}" for g in (G1, G2)], *[f"target_{g}" for g in (G1, G2)])
-    r = r.withColumnsRenamed({f"source_{g}": g for g in (G1, G2)})
-    r = add_prefix(r.select(*KEY, G1, G2), "x_", exclude=tuple(KEY)).join(
-        X.result(spark, sf).select(*KEY, *[F.col(f"target_{g}").alias(f"target_x_{g}") for g in (G1, G2)]), KEY)
+    targets = {f"target_{g}": f"target_x_{g}" for g in (G1, G2)}
+    r = X.result(spark, sf).select(*KEY, *[F.col(f"source_{g}").alias(g) for g in (G1, G2)],
+                                   *[F.col(t).alias(x) for t, x in targets.items()])
+    r = add_prefix(r, "x_", exclude=(*KEY, *targets.values()))
     return rounded(r.withColumns({"llm": F.lit("run-1"), "chat_type": F.lit("direct")}))
 
 
@@ -174,11 +174,12 @@ _WRAP_SQL = (f"(CASE WHEN length(text) > 0 AND length(text) % 100 = 0 THEN left(
 
 
 @query("b15_preview_top_k", W(X.sql_result() + M.metrics_ctes("result", G, "m"),
-                              f"SELECT {KEY_SQL}, md5(substr({_WRAP_SQL}, 1, 5000) || CASE WHEN length(text) > 5000 THEN '...' ELSE '' END) AS preview_md5 "
+                              f"SELECT {KEY_SQL}, md5(substr({_WRAP_SQL}, 1, 5000) || CASE WHEN length(text) > 5000 THEN '...' ELSE '' END) AS preview_md5, md5({_WRAP_SQL}) AS whole_md5 "
                               f"FROM (SELECT * FROM m ORDER BY steering_error ASC NULLS LAST, {KEY_SQL} LIMIT 10)"))
 def b15_preview_top_k(spark, sf):
-    """B15 preview (wrap every 100 characters, cut at 5000) of the K4 top-10 rows."""
+    """B15 preview (wrap every 100 characters; whole, and cut at 5000) of the K4 top-10 rows."""
     from tonegauge.operators.best import top_k
     m = M.with_metrics(X.result(spark, sf), G)
     t = top_k(m, "steering_error", 10, KEY)
-    return t.select(*KEY, F.md5(tx.wrap_truncate(F.col("text"))).alias("preview_md5"))
+    return t.select(*KEY, F.md5(tx.wrap_truncate(F.col("text"), limit=5000)).alias("preview_md5"),
+                    F.md5(tx.wrap_truncate(F.col("text"))).alias("whole_md5"))

@@ -164,13 +164,7 @@ def _run(spark, sf, seed):
 
 def _run_sql(seed, name):
     gen = (f"{name}_g", "SELECT *, CAST(1 AS INTEGER) AS generation FROM probe")
-    saved = X.SEED
-    X.SEED = seed
-    try:
-        outs = X._output_ctes(f"{name}_g", G, KEY, name)
-    finally:
-        X.SEED = saved
-    return [gen] + outs
+    return [gen] + X._output_ctes(f"{name}_g", G, KEY, name, seed)
 
 
 @query("h12_control_compare", _sql(
@@ -190,7 +184,7 @@ def h12_control_compare(spark, sf):
         share = d.agg(*[F.avg(F.when(F.col(m) < 0, 1.0).otherwise(0.0)).alias(m) for m in M.METRICS]).first()
     finally:
         d.unpersist()
-    rows = [(m, st[m]["quantiles"][1], st[m]["quantiles"][2] - st[m]["quantiles"][0], share[m], int(st[m]["n"])) for m in M.METRICS]
+    rows = [(m, q2, None if q2 is None else q3 - q1, share[m], int(st[m]["n"])) for m in M.METRICS for q1, q2, q3 in [st[m]["quantiles"]]]
     return rounded(spark.createDataFrame(rows, "metric STRING, median_diff DOUBLE, iqr_diff DOUBLE, share_improved DOUBLE, n BIGINT"))
 
 
@@ -200,8 +194,8 @@ RUN_SEEDS = [("run_a", 42), ("run_b", 7), ("run_c", 1234)]
 @query("h13_leaderboard", _sql(
     X.sql_judged() + sum((_run_sql(s, n) for n, s in RUN_SEEDS), [])
     + sum((M.metrics_ctes(n, G, f"m_{n}") for n, _ in RUN_SEEDS), [])
-    + [("lab", "SELECT original_index, answer, rationale_approved FROM judged WHERE generation = 1"),
-       ("allm", " UNION ALL ".join(f"SELECT '{n}' AS run, m.*, lab.answer, lab.rationale_approved FROM m_{n} m JOIN lab USING (original_index)" for n, _ in RUN_SEEDS)),
+    + [("lab", f"SELECT {KEY_SQL}, answer, rationale_approved FROM judged"),
+       ("allm", " UNION ALL ".join(f"SELECT '{n}' AS run, m.*, lab.answer, lab.rationale_approved FROM m_{n} m JOIN lab USING ({KEY_SQL})" for n, _ in RUN_SEEDS)),
        ("gm", f"SELECT * FROM allm WHERE {M.grounded_sql()}"),
        ("gl", " UNION ALL ".join(f"SELECT run, '{m}' AS metric, {m} AS v FROM gm" for m in M.METRICS))],
     "SELECT run, metric, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, "
@@ -209,12 +203,12 @@ RUN_SEEDS = [("run_a", 42), ("run_b", 7), ("run_c", 1234)]
 def h13_leaderboard(spark, sf):
     """Several runs (unionByName with a ``run`` label), grounded rows only, median (IQR)
     per run and metric with exact per-group quantiles (no group gathered into one task)."""
-    labels = X.judged(spark, sf).filter(F.col("generation") == 1).select("original_index", "answer", "rationale_approved")
+    labels = X.judged(spark, sf).select(*KEY, "answer", "rationale_approved")
     runs = None
     for name, seed in RUN_SEEDS:
         m = M.with_metrics(_run(spark, sf, seed), G).withColumn("run", F.lit(name))
         runs = m if runs is None else runs.unionByName(m)
-    g = runs.join(labels, "original_index").filter(M.grounded())
+    g = runs.join(labels, KEY).filter(M.grounded())
     long = g.select("run", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in M.METRICS])).alias("x"))
     long = long.select(F.concat_ws("|", "run", "x.metric").alias("grp"), F.col("x.v").alias("v"))
     st = Q.describe_by(long, "grp", "v", (0.25, 0.5, 0.75))

@@ -106,9 +106,11 @@ def j4_goal_abs_error(spark, sf):
 @query("j5_j6_format_language", W(sql_completions(), f"SELECT {KEY_SQL}, CASE WHEN regexp_matches(completion, '{RW.THINK_FORMAT}') THEN 1.0 ELSE 0.0 END AS think_format, "
                                    "CASE WHEN regexp_matches(completion, '[\\x{4E00}-\\x{9FFF}]') THEN 0.0 ELSE 1.0 END AS english_only FROM comp"))
 def j5_j6_format_language(spark, sf):
-    """Reasoning-format reward and the CJK language penalty."""
+    """Reasoning-format reward and the CJK language penalty on chat completions."""
     c = completions(spark, sf)
-    return c.select(*KEY, RW.format_reward(F.col("completion")).alias("think_format"), RW.english_only_reward(F.col("completion")).alias("english_only"))
+    c = c.withColumn("completion", tx.wrap_chat(F.col("completion"), "assistant"))
+    said = tx.unwrap_chat(c, "completion")
+    return c.select(*KEY, RW.format_reward(said).alias("think_format"), RW.english_only_reward(said).alias("english_only"))
 
 
 PLAN = RW.reward_plan(["steering_error", "orthogonality", "not_a_reward"], ["miscalibration", "think_format"], MODEL, G)
@@ -119,7 +121,7 @@ def _j7_sql():
              "think_format": f"CASE WHEN regexp_matches(completion, '{RW.THINK_FORMAT}') THEN 1.0 ELSE 0.0 END",
              "english_only": "CASE WHEN regexp_matches(completion, '[\\x{4E00}-\\x{9FFF}]') THEN 0.0 ELSE 1.0 END"}
     cols = [f"({exprs[n]}) AS r{i}_{n}" for i, (n, _) in enumerate(PLAN)]
-    total = " + ".join(f"r{i}_{n} * {w!r}" for i, (n, w) in enumerate(PLAN))
+    total = " + ".join(f"r{i}_{n} * {w!r}" for i, (n, w) in enumerate(PLAN) if w)
     return W(sql_completions() + [("rw", f"SELECT {KEY_SQL}, {', '.join(cols)} FROM comp")],
              f"SELECT {KEY_SQL}, " + ", ".join(f"round(r{i}_{n}, 6) AS r{i}_{n}" for i, (n, _) in enumerate(PLAN)) + f", round({total}, 6) AS reward FROM rw")
 

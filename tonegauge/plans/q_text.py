@@ -97,28 +97,29 @@ def c8_c9_edit_items(spark, sf):
 
 
 @query("c10_c11_c12_chat_prompt", "SELECT conv_id, turn, 'user' AS role, md5('Rewrite this.' || chr(10) || chr(10) || text) AS content_md5, "
-       "md5('Rewrite this.' || chr(10) || chr(10) || text) = md5('Rewrite this.' || chr(10) || chr(10) || text) AS roundtrip FROM conversations WHERE role = 'user'")
+       "substr('Rewrite this.' || chr(10) || chr(10) || text, 16) = text AS text_kept FROM conversations")
 def c10_c11_c12_chat_prompt(spark, sf):
-    """C12 prompt assembly, C11 chat wrapping and C10 unwrapping back to the content."""
-    c = X.read(spark, sf, "conversations").filter(F.col("role") == "user")
-    wrapped = c.select("conv_id", "turn", tx.wrap_chat(tx.assemble_prompt(F.lit("Rewrite this."), F.col("text"))).alias("prompt"))
+    """C12 prompt assembly, C11 chat wrapping and C10 unwrapping back to the content, of all turns."""
+    c = X.read(spark, sf, "conversations")
+    wrapped = c.select("conv_id", "turn", "text", tx.wrap_chat(tx.assemble_prompt(F.lit("Rewrite this."), F.col("text"))).alias("prompt"))
     content = tx.unwrap_chat(wrapped, "prompt")
     return wrapped.select("conv_id", "turn", F.col("prompt")[0]["role"].alias("role"), F.md5(content).alias("content_md5"),
-                          (content == F.col("prompt")[0]["content"]).alias("roundtrip"))
+                          (F.substr(content, F.lit(16)) == F.col("text")).alias("text_kept"))
 
 
 TEMPLATE = "Turn $turn of $$conversation ${conv}:\n$text"
 
 
 @query("c13_c14_template_truncate", f"SELECT conv_id, turn, md5({tx.fill_template_sql(TEMPLATE, turn='CAST(turn AS VARCHAR)', conv='CAST(conv_id AS VARCHAR)', text=tx.truncate_tokens_sql('text', 64))}) AS filled_md5, "
-       f"CAST(len({tx.truncate_tokens_sql('text', 64)}) AS BIGINT) AS truncated_chars FROM conversations")
+       f"CAST(len({tx.truncate_tokens_sql('text', 64)}) AS BIGINT) AS truncated_chars, md5({tx.truncate_tokens_sql('text')}) AS whole_md5 FROM conversations")
 def c13_c14_template_truncate(spark, sf):
     """C13 ``$name`` template substitution and C14 token truncation (64-token limit here so the
-    cut path is exercised on short turns; the default limit is 4096)."""
+    cut path is exercised on short turns), beside the default, which keeps texts whole."""
     c = X.read(spark, sf, "conversations")
     t = tx.truncate_tokens(F.col("text"), 64)
     filled = tx.fill_template(TEMPLATE, turn=F.col("turn").cast("string"), conv=F.col("conv_id").cast("string"), text=t)
-    return c.select("conv_id", "turn", F.md5(filled).alias("filled_md5"), F.length(t).cast("bigint").alias("truncated_chars"))
+    return c.select("conv_id", "turn", F.md5(filled).alias("filled_md5"), F.length(t).cast("bigint").alias("truncated_chars"),
+                    F.md5(tx.truncate_tokens(F.col("text"))).alias("whole_md5"))
 
 
 def verdicts(spark, sf):

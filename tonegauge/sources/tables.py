@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,37 +41,45 @@ def describe_dataset(name: str, version: str | None = None, split: str | None =
     return label
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists, asked of the file system that holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end (the writer leaves ``_SUCCESS`` last)."""
+    return exists(spark, os.path.join(path, "_SUCCESS"))
+
+
 def collect_datasets(spark: SparkSession, base: str, configs: list[dict], reload: list[str] | None = None,
                      checkpoint_dir: str | None = None) -> DataFrame:
     """A3: process every configured dataset and union them by name with a ``source`` label.
 
     With ``checkpoint_dir`` each processed dataset is written once as Parquet and reused unless
     its name is in ``reload`` (the per-dataset phase checkpoint of the original); a dataset
-    that fails to load is skipped, as in the original."""
+    whose table does not exist is skipped; any other failure is raised, and so is finding none."""
     from tonegauge.operators.seed import process_dataset
     parts = []
     for cfg in configs:
         name = cfg["name"]
         label = describe_dataset(name, cfg.get("version"), cfg.get("split"))
         target = os.path.join(checkpoint_dir, f"_intermediate_{name.replace('/', '_')}") if checkpoint_dir else None
-        try:
-            if target and os.path.exists(target) and name not in (reload or []):
-                part = spark.read.parquet(target)
-            else:
-                raw = spark.read.parquet(os.path.join(base, f"{name}.parquet"))
-                part = process_dataset(raw, cfg["feature_col"], cfg.get("filters"), **cfg.get("kwargs", {}))
-                part = part.withColumn("source", F.lit(label))
-                if target:
-                    part.write.mode("overwrite").parquet(target)
-                    part = spark.read.parquet(target)
-        except Exception as e:  # skip-on-error, as configured datasets may be unavailable
-            print(f"skipping dataset {name}: {e}")
+        table = os.path.join(base, f"{name}.parquet")
+        done = target and name not in (reload or []) and written(spark, target)
+        if not done and not exists(spark, table):
+            print(f"skipping dataset {name}: no table {table}")
             continue
+
+        def compute(table=table, cfg=cfg, label=label):
+            part = process_dataset(spark.read.parquet(table), cfg["feature_col"], cfg.get("filters"), **cfg.get("kwargs", {}))
+            return part.withColumn("source", F.lit(label))
+
+        part = phase(spark, target, compute, redo=not done) if target else compute()
         parts.append(part.select("text", "source"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if not parts:
+        raise ValueError(f"none of the configured datasets exists under {base}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -109,8 +118,8 @@ def result_catalogue(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def phase(spark: SparkSession, path: str, compute, redo: bool = False) -> DataFrame:
-    """A10: reuse a phase's output when it exists, else compute and write it (resume)."""
-    if os.path.exists(path) and not redo:
+    """A10: reuse a phase's output when it was written whole, else compute and write it (resume)."""
+    if not redo and written(spark, path):
         return spark.read.parquet(path)
     df = compute()
     df.write.mode("overwrite").parquet(path)

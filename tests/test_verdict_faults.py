@@ -31,6 +31,17 @@ def test_cache_with_a_repeated_key_does_not_multiply_rows(spark):
     assert out.count() == 2
 
 
+def test_cache_keeps_scores_of_other_goals_and_texts(spark):
+    df = spark.createDataFrame([(1, "one two three."), (2, "four five.")], "id long, text string")
+    _, cache = G.map_with_cache(df.filter("id = 1"), None, ["text_length"])
+    other = spark.createDataFrame([("not here", 7.0, 9.0)], "text_key string, text_length double, mood double")
+    old = cache.unionByName(other, allowMissingColumns=True)
+    out, new = G.map_with_cache(df, old, ["text_length", "reading_difficulty"])
+    assert out.filter("text_length is null or reading_difficulty is null").isEmpty() and out.count() == 2
+    row = new.filter("text_key = 'not here'").first()
+    assert (new.count(), row.mood, row.text_length, row.reading_difficulty) == (3, 9.0, 7.0, None)
+
+
 def test_order_statistics_of_extreme_doubles_and_nan(spark):
     import random
 

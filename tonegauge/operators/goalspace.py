@@ -7,7 +7,9 @@ partitioning of the input and no batching or worker pool is needed (D9).  The co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegauge.functions.scorers import REGISTRY
@@ -30,26 +32,26 @@ def map_with_cache(df: DataFrame, cache: DataFrame | None, goals: list[str], tex
     """Content-addressed scoring.
 
     1. distinct texts by ``sha2`` key (one shuffle of the distinct texts);
-    2. a cache row is a hit only when it holds every requested goal; misses are scored;
-    3. the new cache = misses' scores plus cache rows not re-scored (new entries win);
+    2. the cache is brought to one row per key, column by column; a row is a hit when it holds every
+       requested goal (a goal the cache has no column for is missing), the other texts are scored;
+    3. the new cache holds every key and every column of the old one and the fresh scores (these win);
     4. scores joined back to every input row by key.
     Returns ``(scored rows, new cache)``; persist the new cache by writing it as a new version.
     """
     keyed = df.withColumn("text_key", text_key(F.col(text_col)))
     distinct = keyed.select("text_key", F.col(text_col).alias("_text")).dropDuplicates(["text_key"])
     if cache is None:
-        hits = None
-        misses = distinct
-    else:
-        complete = F.lit(True)
-        for g in goals:
-            complete = complete & F.col(g).isNotNull()
-        hits = cache.filter(complete).select("text_key", *goals).dropDuplicates(["text_key"])
-        misses = distinct.join(hits.select("text_key"), "text_key", "left_anti")
-    fresh = map_goals(misses, goals, "_text").select("text_key", *goals)
-    merged = fresh if hits is None else fresh.unionByName(hits.join(fresh.select("text_key"), "text_key", "left_anti"))
-    out = keyed.join(merged, "text_key", "left")
-    return out, merged
+        merged = map_goals(distinct, goals, "_text").select("text_key", *goals)
+        return keyed.join(merged, "text_key", "left"), merged
+    columns = [c for c in cache.columns if c != "text_key"]
+    known = cache.groupBy("text_key").agg(*[F.max(c).alias(c) for c in columns])
+    known = known.withColumns({g: F.lit(None).cast("double") for g in goals if g not in columns})
+    complete = reduce(Column.__and__, [F.col(g).isNotNull() for g in goals])
+    misses = distinct.join(known.filter(complete).select("text_key"), "text_key", "left_anti")
+    fresh = map_goals(misses, goals, "_text").select("text_key", *[F.col(g).alias(f"_new_{g}") for g in goals])
+    merged = (known.join(fresh, "text_key", "full").withColumns({g: F.coalesce(f"_new_{g}", g) for g in goals})
+              .drop(*[f"_new_{g}" for g in goals]))
+    return keyed.join(merged.select("text_key", *goals), "text_key", "left"), merged
 
 
 def score_endpoint(df: DataFrame, goals: list[str], ranges: dict[str, tuple] | None, text_col: str = "text") -> DataFrame:

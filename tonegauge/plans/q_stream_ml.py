@@ -16,7 +16,7 @@ G = X.GOALS
 
 
 @query("s1_stream_scoring", "SELECT doc_id, " + ", ".join(
-    f"round({N.clip01_sql(f'({S.REGISTRY.sql(g)(chr(116) + chr(101) + chr(120) + chr(116))} - {lo!r}::DOUBLE) / ({hi - lo!r}::DOUBLE)')}, 6) AS output_{g}"
+    f"round({N.clip01_sql(f'({S.REGISTRY.sql(g)("text")} - {lo!r}::DOUBLE) / ({hi - lo!r}::DOUBLE)')}, 6) AS output_{g}"
     for g, (lo, hi) in RANGES.items()) + " FROM documents")
 def s1_stream_scoring(spark, sf):
     """Documents arriving as files, scored and normalised by a streaming query (availableNow)."""

@@ -241,12 +241,13 @@ def d5_d6_cached_goalspace(spark, sf):
     return rounded(out.select("doc_id", *G))
 
 
+# The usual raw goal ranges (they belong to other scorers than ours, so they only scale).
 RANGES = {"reading_difficulty": (2.8, 12.9), "formality": (40.37, 69.121634),
           "textual_diversity": (44.84394871794872, 128.54409583333333), "text_length": (78.0, 1509.0)}
 
 
 @query("d10_e2_fixed_normalised", f"SELECT doc_id, " + ", ".join(
-    f"round({N.clip01_sql(f'({S.REGISTRY.sql(g)(chr(116) + chr(101) + chr(120) + chr(116))} - {lo!r}::DOUBLE) / ({hi - lo!r}::DOUBLE)')}, 6) AS output_{g}"
+    f"round({N.clip01_sql(f'({S.REGISTRY.sql(g)("text")} - {lo!r}::DOUBLE) / ({hi - lo!r}::DOUBLE)')}, 6) AS output_{g}"
     for g, (lo, hi) in RANGES.items()) + " FROM documents")
 def d10_e2_fixed_normalised(spark, sf):
     """D10 scoring endpoint (texts -> normalised goals) with E2 fixed ranges from an A6 table."""

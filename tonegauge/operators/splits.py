@@ -22,6 +22,7 @@ def split_fraction(df: DataFrame, key_cols: list[str], frac: float = 0.5, seed:
     ``by='text'`` splits distinct texts, so no text leaks across.  The cut is the k-th smallest
     ``u`` found with the distributed order-statistic selector (no global sort, no single-task
     window); the units are those with ``u`` at or below it.
+    Rows with equal keys share ``u`` and stay together, so the count is exact for distinct keys.
     """
     unit_cols = key_cols if by == "row" else [text_col]
     keyed = df.withColumn("_u", u(*[f"col:{k}" for k in unit_cols], seed, "split"))

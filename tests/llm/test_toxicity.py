@@ -72,3 +72,32 @@ def test_evidence_without_a_model_is_zero(text, n):
     import pyarrow as pa
     empty = {"words": np.zeros(0, np.uint64), "word_llr": np.zeros(0), "pairs": np.zeros(0, np.uint64), "pair_llr": np.zeros(0)}
     assert T.evidence(empty, pa.array([text])).tolist() == [0.0]
+
+
+def test_expressions_of_few_documents_count(spark):
+    r = random.Random(5)
+    rare = [f"slur{i}" for i in range(60)]
+    docs, labels = [], []
+    for i in range(900):
+        w = [f"w{r.randrange(500)}" for _ in range(40)]
+        toxic = int(r.random() < 0.2)
+        for x in r.sample(rare, 3 * toxic):
+            w.insert(r.randrange(len(w)), x)
+        docs.append((i, " ".join(w), "en", "s", 0.5))
+        labels.append((i, 1, toxic))
+    toxic = {i for i, _, t in labels if t}
+    got = [r for r in T.toxicity_scores(*frames(spark, docs, labels)).collect() if r.held_out]
+    assert sum(r.predicted for r in got if r.doc_id in toxic) > 0.6 * sum(r.doc_id in toxic for r in got)
+    assert sum(r.predicted for r in got if r.doc_id not in toxic) < 0.05 * len(got)
+
+
+def test_every_word_is_scored_by_both_models():
+    h, w = np.array([7, 7], np.uint64), np.array([3, 9], np.uint64)
+    counts = {"words": np.array([3, 9], np.uint64), "k": np.array([[9.0, 1.0], [1.0, 9.0]]), "total": np.array([100.0, 100.0]),
+              "weight": np.array([[0.2] * 4, [0.3] * 4]), "shared": np.array([0.01, 0.01]), "heads": h[:1], "n": np.array([[20.0], [0.0]]),
+              "taken": np.array([[[10.0]] * 4, [[0.0]] * 4]), "pair_head": h[:1], "pair_word": w[:1], "d": np.array([[5.0], [0.0]])}
+    t = T.tables(counts, 0, 0)
+    p = [(8.25 * 0.7 / 0.8 / 100 + 0.3 * 0.01, 0.25 * 0.7 / 0.8 / 100 + 0.3 * 0.01), (0.25 / 100 + 0.3 * 0.01, 8.25 / 100 + 0.3 * 0.01)]
+    assert np.allclose(t["word_llr"], [np.log(p[1][0] / p[0][0]), np.log(p[1][1] / p[0][1])])
+    assert np.allclose(t["head_llr"], np.log(1 / 0.5))
+    assert np.allclose(t["pair_llr"], np.log(p[1][0] / (3 / 20 + 0.5 * p[0][0])))

@@ -1,17 +1,22 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
 Words are runs of letters and digits.  Each class has an interpolated Kneser-Ney bigram model:
-absolute discount on bigram counts, backing off to the class's continuation counts, which back off
-to word frequencies shared by both classes and counted over the whole corpus.  A word's evidence
-is the difference of its two log-likelihoods; expressions that neither model holds fall through to
-the shared counts and so count zero.  The evidence is length-normalised over every window of
-``WINDOW`` words of the whole text, and the highest window is calibrated to a probability on
-labelled documents that the models did not see.
+absolute discount on the documents of a bigram, backing off to the class's continuation counts,
+which back off to word frequencies shared by both classes and counted over the whole corpus.  Every
+word of every text is scored by both models; its evidence is the difference of its two
+log-likelihoods.  A discount ``D`` takes min(count, D) of each count, and what it takes goes to the
+lower order, so rare expressions are smoothed away, not left out.  Both classes hand the same weight
+down to the shared counts: a word that both models leave to them has the same probability in both,
+and its evidence is that of the word before it.
+
+The evidence is averaged over every window of words of the whole text, and the highest window is
+calibrated to a probability on labelled documents that the models did not see.  Their likelihood
+also picks the two discounts and the window (``WORD_DISCOUNTS``, ``PAIR_DISCOUNTS``, ``WINDOWS``).
 
 Bounds (documented parameters): ``PER_CLASS`` labelled documents of each class in hash order, one of
-each family of near copies, of which a quarter calibrates; ``MOST_WORDS`` words and ``MOST_BIGRAMS``
-bigrams found in ``LEAST_DOCS`` documents or more.  The shared counts and the scores cover every
-document.
+each family of near copies, of which a quarter calibrates; of their expressions that a discount does
+not take whole, the ``MOST_WORDS`` and ``MOST_BIGRAMS`` most frequent.  The shared counts and the
+scores cover every document.
 
 Defined results: null or empty text scores as a text without evidence; rows with equal ``doc_id``
 are scored one by one; without labels of both classes every score is 0; labels other than 0 and 1
@@ -20,7 +25,7 @@ and null ids teach nothing.
 
 from __future__ import annotations
 
-import math
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +35,9 @@ from pyspark.sql import functions as F
 from tonegauge.llm.arrowtext import ALNUM, U, chunks, mix, run_hashes, word_hashes
 from tonegauge.llm.store import keep
 
-PER_CLASS, LEAST_DOCS, MOST_WORDS, MOST_BIGRAMS = 4000, 3, 1 << 17, 1 << 17
-DISCOUNT, WINDOW, MOST_EVIDENCE, CHANCE = 0.75, 16, 8.0, 0.05
+PER_CLASS, MOST_WORDS, MOST_BIGRAMS = 4000, 1 << 20, 1 << 18
+WORD_DISCOUNTS, PAIR_DISCOUNTS, WINDOWS = (0.75, 2.0, 4.0, 8.0), (2.0, 4.0, 8.0, 16.0), (1, 2, 4, 16)
+MOST_EVIDENCE = 8.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 _MINHASHES, _PART = 8, 1 << 20
@@ -80,34 +86,25 @@ def _one_of_each_family(texts: DataFrame) -> DataFrame:
     return signed.select("key").join(shared.filter("low < key").select("key").distinct(), "key", "left_anti")
 
 
-#: in place of a previous word, marks a row about a word alone
-_ALONE = U(2**64 - 1)
-
-
 def _distinct(row, h, w):
-    """Places of the distinct (row, h, w) in sorted order, their counts, and the order."""
+    """The distinct (row, h, w) in sorted order."""
     order = np.lexsort((w, h, row))
     r, h, w = row[order], h[order], w[order]
     new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1]))) if len(r) else np.zeros(0, int)
-    return r[new], h[new], w[new], np.diff(np.append(new, len(r)))
+    return r[new], h[new], w[new]
 
 
-def _ngram_counts(texts: DataFrame) -> DataFrame:
-    """(h, w, c0, c1, d0, d1): counts and numbers of documents of each word (``h`` alone) and bigram by class."""
+def _pair_counts(texts: DataFrame) -> DataFrame:
+    """(h, w, d0, d1): numbers of documents of each bigram by class."""
     def run(batches):
         for batch in batches:
             for b in chunks(batch, "text", _PART):
                 words, wo = word_hashes(b.column("text"), ALNUM)
                 toxic = b.column("toxic").to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(toxic)), np.diff(wo))
-                two, one = _distinct(row, _heads(words, wo), words), _distinct(row, np.full(len(words), _ALONE), words)
-                r, h, w, n = (np.concatenate(x) for x in zip(two, one))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(n), pa.array(toxic[r].astype(np.int64))],
-                                                 ["h", "w", "n", "toxic"])
-    rows = texts.mapInArrow(run, "h long, w long, n long, toxic long")
-    of = {c: F.col("toxic") == c for c in (0, 1)}
-    return rows.groupBy("h", "w").agg(*[F.sum(F.when(of[c], F.col("n")).otherwise(0)).alias(f"c{c}") for c in of],
-                                      *[F.count_if(of[c]).alias(f"d{c}") for c in of])
+                r, h, w = _distinct(np.repeat(np.arange(len(toxic)), np.diff(wo)), _heads(words, wo), words)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(toxic[r].astype(np.int64))], ["h", "w", "toxic"])
+    rows = texts.mapInArrow(run, "h long, w long, toxic long")
+    return rows.groupBy("h", "w").agg(*[F.count_if(F.col("toxic") == c).alias(f"d{c}") for c in (0, 1)])
 
 
 def _heads(words: np.ndarray, wo: np.ndarray) -> np.ndarray:
@@ -117,19 +114,9 @@ def _heads(words: np.ndarray, wo: np.ndarray) -> np.ndarray:
     return head
 
 
-def significant(n: int) -> float:
-    """Likelihood ratio statistic that one of ``n`` expressions without a preference exceeds with a
-    probability of at most ``CHANCE`` (Chernoff's bound)."""
-    return 2 * math.log(max(n, 1) / CHANCE)
-
-
-def _log_part(d, n, share: float):
-    return F.when(d > 0, d * F.log(d / (n * F.lit(share)))).otherwise(0.0)
-
-
 def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
-    rows = df.select(*names).collect()
-    return [np.array([r[i] for r in rows], np.int64) for i in range(len(names))]
+    rows = df.select(*names).toArrow()
+    return [rows.column(c).to_numpy() for c in names]
 
 
 def corpus_counts(docs: DataFrame, vocabulary) -> np.ndarray:
@@ -155,47 +142,62 @@ def corpus_counts(docs: DataFrame, vocabulary) -> np.ndarray:
 
 
 def fit(docs: DataFrame, texts: DataFrame) -> dict[str, np.ndarray]:
-    """Evidence tables: ``words`` with ``word_llr`` and ``pairs`` with ``pair_llr``, sorted."""
+    """Counts of the expressions that the least discounts leave something of, for ``tables``."""
     spark = docs.sparkSession
-    counts = keep(_ngram_counts(texts.filter("fold <> 0")), "ngrams")
-    alone = int(np.array(_ALONE).view(np.int64))
-    # an expression's preference: the likelihood ratio statistic of its documents by class; what
-    # shows none goes to the shared counts
-    of = {r.toxic: r["count"] for r in texts.filter("fold <> 0").groupBy("toxic").count().collect()}
-    share = min(max(of.get(1, 0) / max(1, sum(of.values())), 1e-6), 1 - 1e-6)
-    d0, d1 = F.col("d0").cast("double"), F.col("d1").cast("double")
-    prefers = 2 * (_log_part(d1, d0 + d1, share) + _log_part(d0, d0 + d1, 1 - share))
-    enough = counts.filter(F.col("d0") + F.col("d1") >= LEAST_DOCS)
-    tried = {r.one: r["count"] for r in enough.groupBy((F.col("h") == alone).alias("one")).count().collect()}
-    bigrams = counts.filter(F.col("h") != alone)
-    total = bigrams.agg(*[F.count_if(F.col(f"c{c}") > 0) for c in (0, 1)]).first()
-    types = counts.filter(F.col("h") == alone).agg(*[F.count_if(F.col(f"c{c}") > 0) for c in (0, 1)]).first()
-    chosen = (enough.filter((F.col("h") == alone) & (prefers >= significant(tried.get(True, 0))))
-              .orderBy(F.desc(prefers), "w").limit(MOST_WORDS).select("w"))
-    by_word = (bigrams.join(F.broadcast(chosen), "w").groupBy("w")
-               .agg(*[F.count_if(F.col(f"c{c}") > 0).alias(f"k{c}") for c in (0, 1)]))
-    w, k0, k1 = _columns(by_word, "w", "k0", "k1")
-    order = np.argsort(w.view(U))
-    w, k = w.view(U)[order], np.stack([k0, k1])[:, order]
+    pairs = keep(_pair_counts(texts.filter("fold <> 0")), "pairs")
+    words = keep(pairs.groupBy("w").agg(*[F.count_if(F.col(f"d{c}") > 0).alias(f"k{c}") for c in (0, 1)]), "words")
+
+    def taken(column, discounts):
+        return [F.coalesce(F.sum(F.least(F.col(f"{column}{c}").cast("double"), F.lit(d))), F.lit(0.0)).alias(f"{column}{c}_{i}")
+                for c in (0, 1) for i, d in enumerate(discounts)]
+
+    sums = words.agg(*[F.coalesce(F.sum(f"k{c}"), F.lit(0)).alias(f"k{c}") for c in (0, 1)], *taken("k", WORD_DISCOUNTS)).first()
+    total = np.maximum([sums.k0, sums.k1], 1).astype(float)
+    weight = np.array([[sums[f"k{c}_{i}"] for i in range(len(WORD_DISCOUNTS))] for c in (0, 1)]) / total[:, None]
+
+    many = F.greatest("d0", "d1")
+    chosen = pairs.filter(many > min(PAIR_DISCOUNTS)).orderBy(F.desc(many), "h", "w").limit(MOST_BIGRAMS)
+    ph, pw, d0, d1 = (x.astype(np.int64) for x in _columns(chosen, "h", "w", "d0", "d1"))
+    of = spark.createDataFrame(pa.table({"h": np.unique(ph)})) if len(ph) else pairs.select("h").limit(0)
+    heads = (pairs.join(F.broadcast(of), "h").groupBy("h")
+             .agg(*[F.sum(f"d{c}").alias(f"n{c}") for c in (0, 1)], *taken("d", PAIR_DISCOUNTS)))
+    h, *rest = _columns(heads, "h", "n0", "n1", *[f"d{c}_{i}" for c in (0, 1) for i in range(len(PAIR_DISCOUNTS))])
+    order = np.argsort(h.view(U))
+    rest = [x.astype(float)[order] for x in rest]
+
+    most = F.greatest("k0", "k1")
+    of = spark.createDataFrame(pa.table({"w": np.unique(pw)})) if len(pw) else words.select("w").limit(0)
+    known = words.filter(most > min(WORD_DISCOUNTS)).orderBy(F.desc(most), "w").limit(MOST_WORDS)
+    known = known.unionByName(words.join(F.broadcast(of), "w", "left_semi")).distinct()
+    w, k0, k1 = _columns(known, "w", "k0", "k1")
+    by = np.argsort(w.view(U))
+    w, k = w.view(U)[by], np.stack([k0, k1]).astype(float)[:, by]
     shared = corpus_counts(docs, spark.sparkContext.broadcast(w))
-    p_shared = (shared[:-1] + 1) / (shared.sum() + len(shared))
-    total, types = np.maximum(np.array(total), 1)[:, None], np.maximum(np.array(types), 1)[:, None]
-    p = (np.maximum(k - DISCOUNT, 0) + DISCOUNT * types * p_shared) / total
-    word_llr = np.log(p[1]) - np.log(p[0])
-
-    pairs = (enough.filter((F.col("h") != alone) & (prefers >= significant(tried.get(False, 0))))
-             .orderBy(F.desc(prefers), "h", "w").limit(MOST_BIGRAMS))
-    heads = (bigrams.join(F.broadcast(pairs.select("h").distinct()), "h").groupBy("h")
-             .agg(*[F.sum(f"c{c}").alias(f"n{c}") for c in (0, 1)], *[F.count_if(F.col(f"c{c}") > 0).alias(f"t{c}") for c in (0, 1)]))
-    ph, pw, b0, b1, n0, n1, t0, t1 = _columns(pairs.join(heads, "h"), "h", "w", "c0", "c1", "n0", "n1", "t0", "t1")
-    at, known = _find(w, pw.view(U))
-    b, n, t = (np.stack(x) for x in ((b0, b1), (n0, n1), (t0, t1)))
-    # a word without a preference of its own is as likely in either class
-    lower = np.where(known, p[:, at], 1.0 / np.maximum(types, 1)) if len(w) else np.full(b.shape, 1.0) / types
-    q = np.where(n > 0, (np.maximum(b - DISCOUNT, 0) + DISCOUNT * t * lower) / np.maximum(n, 1), lower)
-    key = _bigram(ph.view(U), pw.view(U))
+    return {"words": w, "k": k, "total": total, "weight": weight, "shared": (shared[:-1] + 1) / (shared.sum() + len(shared)),
+            "heads": h.view(U)[order], "n": np.stack(rest[:2]), "taken": np.stack(rest[2:]).reshape(2, len(PAIR_DISCOUNTS), -1),
+            "pair_head": ph.view(U), "pair_word": pw.view(U), "d": np.stack([d0, d1]).astype(float)}
+
+
+def tables(counts: dict[str, np.ndarray], i: int, j: int) -> dict[str, np.ndarray]:
+    """Evidence by the i-th discount of words and the j-th of bigrams: ``words`` with ``word_llr``, ``heads``
+    with ``head_llr`` and ``pairs`` with ``pair_llr``, sorted.  A bigram that its discount takes whole has the
+    evidence of its word and of its head."""
+    own = counts["weight"][:, i, None]
+    weight = own.max()
+    left = np.maximum(counts["k"] - WORD_DISCOUNTS[i], 0) / counts["total"][:, None]
+    p = left * np.where(own < 1, (1 - weight) / np.maximum(1 - own, 1e-12), 0.0) + weight * counts["shared"]
+    # a class without the head hands everything down
+    n = counts["n"]
+    hand = np.where(n > 0, counts["taken"][:, j] / np.maximum(n, 1), 1.0)
+    at, _ = _find(counts["heads"], counts["pair_head"])
+    to, _ = _find(counts["words"], counts["pair_word"])
+    some = (counts["d"] > PAIR_DISCOUNTS[j]).any(axis=0)
+    at, to, d = at[some], to[some], counts["d"][:, some]
+    q = np.maximum(d - PAIR_DISCOUNTS[j], 0) / np.maximum(n[:, at], 1) + hand[:, at] * p[:, to]
+    key = _bigram(counts["pair_head"][some], counts["pair_word"][some])
     order = np.argsort(key)
-    return {"words": w, "word_llr": word_llr, "pairs": key[order], "pair_llr": (np.log(q[1]) - np.log(q[0]))[order]}
+    return {"words": counts["words"], "word_llr": np.log(p[1] / p[0]), "heads": counts["heads"], "head_llr": np.log(hand[1] / hand[0]),
+            "pairs": key[order], "pair_llr": np.log(q[1] / q[0])[order]}
 
 
 def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,67 +209,94 @@ def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == x
 
 
-def evidence(model: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
-    """Per text, the highest mean difference of log-likelihoods in any window of words."""
+def _looked_up(table: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    at, known = _find(table, x)
+    return np.where(known, values[at], 0.0) if len(table) else np.zeros(len(x))
+
+
+def evidence(model: dict[str, np.ndarray], column: pa.Array, windows: tuple[int, ...] = ()) -> np.ndarray:
+    """Per text, the highest mean difference of log-likelihoods in any window of words.
+
+    By the model's own window, or a row for each of ``windows``.
+    """
     words, wo = word_hashes(column, ALNUM)
-    n = len(wo) - 1
-    out = np.zeros(n)
-    if not len(words):
-        return out
-    at, known = _find(model["words"], words)
-    llr = np.where(known, model["word_llr"][at] if len(model["words"]) else 0.0, 0.0)
-    at, pair = _find(model["pairs"], _bigram(_heads(words, wo), words))
-    if pair.any():
-        llr = np.where(pair, model["pair_llr"][at], llr)
-    llr = np.clip(llr, -MOST_EVIDENCE, MOST_EVIDENCE)
-    run = np.append(0.0, np.cumsum(llr))
-    # windows that end at each word and begin in the same text
-    end = np.arange(1, len(words) + 1)
-    begin = np.maximum(end - WINDOW, np.repeat(wo[:-1], np.diff(wo)))
-    mean = (run[end] - run[begin]) / WINDOW
-    full = np.flatnonzero(np.diff(wo))
-    out[full] = np.maximum.reduceat(mean, wo[:-1][full])
-    return out
+    out = np.zeros((max(1, len(windows)), len(wo) - 1))
+    if len(words):
+        head = _heads(words, wo)
+        llr = _looked_up(model["words"], model["word_llr"], words)
+        if "heads" in model:
+            llr = llr + _looked_up(model["heads"], model["head_llr"], head)
+        at, pair = _find(model["pairs"], _bigram(head, words))
+        if pair.any():
+            llr = np.where(pair, model["pair_llr"][at], llr)
+        run = np.append(0.0, np.cumsum(np.clip(llr, -MOST_EVIDENCE, MOST_EVIDENCE)))
+        # windows that end at each word and begin in the same text
+        end, first = np.arange(1, len(words) + 1), np.repeat(wo[:-1], np.diff(wo))
+        full = np.flatnonzero(np.diff(wo))
+        for i, window in enumerate(windows or (int(model.get("window", 1)),)):
+            mean = (run[end] - run[np.maximum(end - window, first)]) / window
+            out[i, full] = np.maximum.reduceat(mean, wo[:-1][full])
+    return out if windows else out[0]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope (not negative) of a weighted logistic fit, by Newton steps with a light ridge."""
-    a, b = 0.0, 1.0
+    """Intercept and slope (not negative) of a weighted logistic fit, by halved Newton steps with a light ridge."""
+    a, b = 0.0, 0.0
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
         g = np.array([(weight * (y - p)).sum(), (weight * (y - p) * x).sum() - 1e-4 * b])
         s = weight * p * (1 - p)
         m = np.array([[s.sum() + 1e-6, (s * x).sum()], [(s * x).sum(), (s * x * x).sum() + 1e-4]])
-        step = np.clip(np.linalg.solve(m, g), -5, 5)
+        step = np.linalg.solve(m, g)
+        here = log_loss(x, y, weight, a, b)
+        while np.abs(step).max() >= 1e-9 and log_loss(x, y, weight, a + step[0], b + step[1]) > here:
+            step = step / 2
         a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-9:
             break
-    return float(a), float(max(b, 0.0))
+    return (float(a), float(b)) if b > 0 else (float(np.log((weight * y).sum() / (weight * (1 - y)).sum())), 0.0)
+
+
+def log_loss(x: np.ndarray, y: np.ndarray, weight: np.ndarray, a: float, b: float) -> float:
+    z = a + b * x
+    return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5e-4 * b * b)
 
 
 def train(docs: DataFrame, labels: DataFrame):
     """Evidence tables and calibration, broadcast; None without labels of both classes."""
+    spark = docs.sparkSession
     texts, totals = labelled_sample(docs, labels)
     texts = keep(texts, "sample")
     if texts.select("toxic").distinct().count() < 2:
         return None
-    model = fit(docs, texts)
+    counts = fit(docs, texts)
+    sent = spark.sparkContext.broadcast(counts)
+    grid = list(itertools.product(range(len(WORD_DISCOUNTS)), range(len(PAIR_DISCOUNTS))))
 
     def run(batches):
+        models = None
         for batch in batches:
             for b in chunks(batch, "text", _PART):
-                yield pa.RecordBatch.from_arrays([pa.array(evidence(model, b.column("text"))), b.column("toxic").cast(pa.int64())], ["x", "toxic"])
+                models = models or [tables(sent.value, *ij) for ij in grid]
+                x = np.concatenate([evidence(m, b.column("text"), WINDOWS) for m in models])
+                yield pa.RecordBatch.from_arrays([pa.array(list(x.T), pa.list_(pa.float64())), b.column("toxic").cast(pa.int64())], ["x", "toxic"])
 
-    rows = texts.filter("fold = 0").select("text", "toxic").mapInArrow(run, "x double, toxic long").collect()
+    rows = texts.filter("fold = 0").select("text", "toxic").mapInArrow(run, "x array<double>, toxic long").collect()
     y = np.array([r.toxic for r in rows], float)
-    x = np.array([r.x for r in rows], float)
     if len(set(y)) < 2:
-        model["line"] = np.array([-1.0, 1.0])
+        best, line = len(grid) * len(WINDOWS) - 1, (-1.0, 1.0)
     else:
+        x = np.array([r.x for r in rows], float)
+        order = np.lexsort((*x.T, y))
+        x, y = x[order], y[order]
         share = {c: totals[c] / max(1, (y == c).sum()) for c in (0, 1)}
         weight = np.where(y == 1, share[1], share[0])
-        model["line"] = np.array(calibrate(x, y, weight * len(y) / weight.sum()))
-    return docs.sparkSession.sparkContext.broadcast(model)
+        weight = weight * len(y) / weight.sum()
+        lines = [calibrate(column, y, weight) for column in x.T]
+        best = int(np.argmin([round(log_loss(column, y, weight, *ab), 9) for column, ab in zip(x.T, lines)]))
+        line = lines[best]
+    model = tables(counts, *grid[best // len(WINDOWS)]) | {"window": np.array(WINDOWS[best % len(WINDOWS)]), "line": np.array(line)}
+    return spark.sparkContext.broadcast(model)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

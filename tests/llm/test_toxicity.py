@@ -101,3 +101,16 @@ def test_every_word_is_scored_by_both_models():
     assert np.allclose(t["word_llr"], [np.log(p[1][0] / p[0][0]), np.log(p[1][1] / p[0][1])])
     assert np.allclose(t["head_llr"], np.log(1 / 0.5))
     assert np.allclose(t["pair_llr"], np.log(p[1][0] / (3 / 20 + 0.5 * p[0][0])))
+
+
+def test_shared_counts_hold_every_word_of_the_corpus(spark):
+    from tonegauge.llm.arrowtext import ALNUM, word_hashes
+    import pyarrow as pa
+    r = random.Random(9)
+    texts = [" ".join(f"v{r.randrange(3000)}" for _ in range(r.randrange(200))) for _ in range(80)] + [None, "", "v1 V1, v1"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    want = {}
+    for w in word_hashes(pa.array(texts), ALNUM)[0].view(np.int64).tolist():
+        want[w] = want.get(w, 0) + 1
+    rows = T.corpus_counts(df).collect()
+    assert len(rows) == len(want) and {x.w: x.n for x in rows} == want

@@ -2,7 +2,8 @@
 
 Words are runs of letters and digits.  Each class has an interpolated Kneser-Ney bigram model:
 absolute discount on the documents of a bigram, backing off to the class's continuation counts,
-which back off to word frequencies shared by both classes and counted over the whole corpus.  Every
+which back off to word frequencies shared by both classes: a written table with the count of every
+word of all documents.  Every
 word of every text is scored by both models; its evidence is the difference of its two
 log-likelihoods.  A discount ``D`` takes min(count, D) of each count, and what it takes goes to the
 lower order, so rare expressions are smoothed away, not left out.  Both classes hand the same weight
@@ -40,7 +41,7 @@ WORD_DISCOUNTS, PAIR_DISCOUNTS, WINDOWS = (0.75, 2.0, 4.0, 8.0), (2.0, 4.0, 8.0,
 MOST_EVIDENCE = 8.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
-_MINHASHES, _PART = 8, 1 << 20
+_MINHASHES, _PART, _HELD = 8, 1 << 20, 1 << 20
 
 
 def remainder():
@@ -119,26 +120,31 @@ def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [rows.column(c).to_numpy() for c in names]
 
 
-def corpus_counts(docs: DataFrame, vocabulary) -> np.ndarray:
-    """How often each word of the (sorted, bounded) vocabulary stands in all documents; last, all others."""
-    size = len(vocabulary.value)
+def corpus_counts(docs: DataFrame) -> DataFrame:
+    """(w, n): how often each word stands in all documents."""
+    def rows(keys, counts):
+        keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return keys, np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
 
     def run(batches):
-        table = vocabulary.value
-        total = np.zeros(len(table) + 1, np.int64)
+        keys, counts, held = [], [], 0
         for batch in batches:
             for b in chunks(batch, "text", _PART):
-                words, _ = word_hashes(b.column("text"), ALNUM)
-                at, known = _find(table, words)
-                at = np.where(known, at, len(table))
-                total += np.bincount(at, minlength=len(table) + 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], ["i", "n"])
-
-    out = np.zeros(size + 1, np.int64)
-    for r in docs.select("text").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        out[r.i] = r.n
-    return out
+                k, n = np.unique(word_hashes(b.column("text"), ALNUM)[0], return_counts=True)
+                keys.append(k)
+                counts.append(n)
+                held += len(k)
+                if held > _HELD:
+                    keys, counts = ([x] for x in rows(keys, counts))
+                    held = len(keys[0])
+                    if held > _HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], ["w", "n"])
+                        keys, counts, held = [], [], 0
+        if held:
+            k, n = rows(keys, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["w", "n"])
+
+    return docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, texts: DataFrame) -> dict[str, np.ndarray]:
@@ -169,11 +175,12 @@ def fit(docs: DataFrame, texts: DataFrame) -> dict[str, np.ndarray]:
     of = spark.createDataFrame(pa.table({"w": np.unique(pw)})) if len(pw) else words.select("w").limit(0)
     known = words.filter(most > min(WORD_DISCOUNTS)).orderBy(F.desc(most), "w").limit(MOST_WORDS)
     known = known.unionByName(words.join(F.broadcast(of), "w", "left_semi")).distinct()
-    w, k0, k1 = _columns(known, "w", "k0", "k1")
+    corpus = keep(corpus_counts(docs), "corpus")
+    size = corpus.agg(F.count("*").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
+    w, k0, k1, n = _columns(corpus.join(F.broadcast(known), "w"), "w", "k0", "k1", "n")
     by = np.argsort(w.view(U))
     w, k = w.view(U)[by], np.stack([k0, k1]).astype(float)[:, by]
-    shared = corpus_counts(docs, spark.sparkContext.broadcast(w))
-    return {"words": w, "k": k, "total": total, "weight": weight, "shared": (shared[:-1] + 1) / (shared.sum() + len(shared)),
+    return {"words": w, "k": k, "total": total, "weight": weight, "shared": (n[by] + 1) / (size.words + size.types),
             "heads": h.view(U)[order], "n": np.stack(rest[:2]), "taken": np.stack(rest[2:]).reshape(2, len(PAIR_DISCOUNTS), -1),
             "pair_head": ph.view(U), "pair_word": pw.view(U), "d": np.stack([d0, d1]).astype(float)}
 

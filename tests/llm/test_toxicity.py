@@ -114,3 +114,15 @@ def test_shared_counts_hold_every_word_of_the_corpus(spark):
         want[w] = want.get(w, 0) + 1
     rows = T.corpus_counts(df).collect()
     assert len(rows) == len(want) and {x.w: x.n for x in rows} == want
+
+
+def test_only_near_copies_of_one_class_are_a_family(spark):
+    r = random.Random(4)
+    words = lambda n: [f"x{r.randrange(10**6)}" for _ in range(n)]
+    passage = words(40)
+    shared = [" ".join(words(60) + passage + words(60)) for _ in range(30)]
+    base = words(400)
+    copies = [" ".join(base[:i] + ["other"] + base[i + 1:]) for i in range(0, 400, 40)]
+    rows = [(i, t, 0) for i, t in enumerate(shared)] + [(100 + i, t, 1) for i, t in enumerate(copies)] + [(50, " ".join(base), 0), (51, "a b", 0), (52, "", 1)]
+    kept = sorted(x.key for x in T._one_of_each_family(spark.createDataFrame(rows, "key long, text string, toxic int")).collect())
+    assert kept == [*range(30), 50, 51, 52, 100]

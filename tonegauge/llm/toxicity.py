@@ -30,7 +30,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonegauge.llm.arrowtext import ALNUM, U, chunks, mix, run_hashes, word_hashes
@@ -41,7 +41,8 @@ WORD_DISCOUNTS, PAIR_DISCOUNTS, WINDOWS = (0.75, 2.0, 4.0, 8.0), (2.0, 4.0, 8.0,
 MOST_EVIDENCE = 8.0
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
-_MINHASHES, _PART, _HELD = 8, 1 << 20, 1 << 20
+_MINHASHES, _BAND, _ALIKE = 32, 4, 0.8
+_PART, _HELD = 1 << 20, 1 << 20
 
 
 def remainder():
@@ -69,9 +70,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict
 
 
 def _one_of_each_family(texts: DataFrame) -> DataFrame:
-    """Keys of sampled texts that share no minhash with a text of a smaller key.
+    """Keys of sampled texts that are no near copy of a text of their class with a smaller key.
 
-    Near copies would pass for independent evidence of whatever words they share.
+    Near copies would pass for independent evidence of whatever words they share.  Texts that agree on
+    all minhashes of a band are compared, those that agree on ``_ALIKE`` of all minhashes are near copies.
     """
     def run(batches):
         seeds = mix(np.arange(_MINHASHES, dtype=U))
@@ -80,11 +82,15 @@ def _one_of_each_family(texts: DataFrame) -> DataFrame:
                 words, wo = word_hashes(b.column("text"), ALNUM)
                 runs = run_hashes(words, 3)
                 out = [[int((mix(x ^ s).min()).view(np.int64)) for s in seeds] if len(x := runs[i: max(i, j - 2)]) else [] for i, j in zip(wo[:-1], wo[1:])]
-                yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(out, pa.list_(pa.int64()))], ["key", "m"])
-
-    signed = texts.select("key", "text").mapInArrow(run, "key long, m array<long>")
-    shared = signed.select("key", F.explode("m").alias("v")).withColumn("low", F.min("key").over(Window.partitionBy("v")))
-    return signed.select("key").join(shared.filter("low < key").select("key").distinct(), "key", "left_anti")
+                yield pa.RecordBatch.from_arrays([b.column("key"), b.column("toxic").cast(pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["key", "toxic", "m"])
+
+    signed = keep(texts.select("key", "text", "toxic").mapInArrow(run, "key long, toxic long, m array<long>"), "signed")
+    bands = F.array(*[F.xxhash64(F.lit(i), F.slice("m", i + 1, _BAND)) for i in range(0, _MINHASHES, _BAND)])
+    each = signed.filter(F.size("m") > 0).withColumn("band", F.explode(bands))
+    first = each.groupBy("toxic", "band").agg(F.min_by(F.struct("key", "m"), "key").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    alike = F.aggregate(F.zip_with("m", "low.m", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    copies = each.join(F.broadcast(first), ["toxic", "band"]).filter((F.col("low.key") < F.col("key")) & (alike >= _ALIKE * _MINHASHES))
+    return signed.select("key").join(copies.select("key").distinct(), "key", "left_anti")
 
 
 def _distinct(row, h, w):

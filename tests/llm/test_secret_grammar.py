@@ -72,3 +72,17 @@ def test_automaton_merges_and_scores():
 def test_no_credentials_and_empty_table(spark):
     assert [(x.n_hex, x.spans) for x in run(spark, [(1, "nothing here at all")])] == [(0, "")]
     assert run(spark, []) == []
+
+
+def test_parts_of_runs_and_short_values_are_scored(spark):
+    r = random.Random(11)
+    of = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    hexes, digits, letters = "0123456789abcdef", "0123456789", "QXZJKVW"
+    data = [(i, f"token={of(letters, 8)}" if i % 3 else f"api_key: {of(digits, 12)}") for i in range(400)]
+    data += [(1000 + i, of(hexes, r.choice([32, 40]))) for i in range(400)]
+    key, pin, word = of(hexes, 30), of(digits, 12), of(letters, 8)
+    texts = {f"auth={key}": (5, 35), f"path/{key} x": (5, 35), f"ends with {key}.": (10, 40), f"see {key}- or": (4, 34), f"pin {pin} here": (4, 16),
+             f"so {word}.": (3, 11), "plainwords anotherword only.here and/there": None}
+    got = {x.doc_id: x.spans for x in run(spark, data + [(5000 + i, t) for i, t in enumerate(texts)])}
+    for i, (t, want) in enumerate(texts.items()):
+        assert got[5000 + i] == (f"format:{want[0]}:{want[1]}" if want else ""), t

@@ -7,10 +7,13 @@ states are merged where their futures are statistically compatible (Hoeffding bo
 transition and ending, the ALERGIA test).  The first ``HEAD`` characters of a value are symbols of
 their own, later ones stand for their character class.
 
-Then every candidate of every whole text, a run of ``SHORTEST`` or more credential characters with
-a letter and a digit that touches no base span, is scored by its likelihood under each automaton,
-in bits a character over a random character.  A candidate becomes a ``format`` span if it scores
-as the labelled values do (at least their ``QUANTILE``).
+Then every candidate of every whole text is scored by its likelihood under each automaton, in bits a
+character over a random character.  Candidates are the runs of credential characters and their parts:
+a part begins at the run's beginning, after a cut (``CUTS``) or after leading marks, and ends at its
+end, at a cut, after ``=`` or before trailing marks.  They touch no base span and have ``SHORTEST``
+characters, the least of any labelled value, or more.  A candidate becomes a ``format`` span if it
+scores as the labelled values do (at least their ``QUANTILE``) and at least that share of them is like
+it in holding letters, digits or both.  Of candidates that overlap, the longest counts, then the first.
 
 Defined results: null text is empty and has no spans; rows with equal ``doc_id`` are scanned one
 by one; without labelled credentials only base spans (none) are returned.
@@ -21,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +39,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the longest runs of [0-9a-f]+ with 32 characters or more
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
+SHORTEST = min(LEAST_ASSIGN, LEAST_ACCESS)
 KINDS = ("assign", "access", "hex", "format")
 
-PER_KIND, LONGEST, HEAD, SHORTEST, ALPHA, QUANTILE = 1000, 256, 4, 20, 0.05, 0.02
+PER_KIND, LONGEST, HEAD, ALPHA, QUANTILE = 1000, 256, 4, 0.05, 0.02
+CUTS, MARKS = "=/.", "=/.+_-"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 _ALPHABET = 68
 _CLASSES = {"d": 10, "h": 6, "l": 20, "u": 26}
@@ -53,13 +60,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs that may be credentials and touch none of the spans."""
+def composition(value: str) -> tuple[bool, bool]:
+    """(holds letters, holds digits)."""
+    if value.isalpha():
+        return True, False
+    if value.isdigit():
+        return False, True
+    return any(c.isalpha() for c in value), any(c.isdigit() for c in value)
+
+
+def formats(text: str, spans: list[tuple[int, int, int]], known: list[Grammar]) -> list[tuple[int, int]]:
+    """Candidates outside the spans that one of the grammars takes."""
     out = []
+    plain = set().union(*(g.like for g in known))
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(s < m.end() and m.start() < e for s, _, e in spans):
-            out.append((m.start(), m.end()))
+        run, at = m[0], m.start()
+        if (run.isalpha() and (True, False) not in plain) or (run.isdigit() and (False, True) not in plain):
+            continue
+        near = [(s - at, e - at) for s, _, e in spans if s < m.end() and at < e]
+        starts, ends = [0], {len(run)}
+        if not run.isalnum():
+            starts = sorted({0, len(run) - len(run.lstrip(MARKS)), *(i + 1 for i, c in enumerate(run) if c in CUTS)})
+            ends |= {len(run.rstrip(MARKS)), *(i for i, c in enumerate(run) if c in CUTS), *(i + 1 for i, c in enumerate(run) if c == "=")}
+        found = []
+        for i in starts:
+            # up to the next base span
+            stop = min((max(s, i) for s, e in near if e > i), default=len(run))
+            if stop - i >= SHORTEST:
+                for g in known:
+                    found += [(i, j) for j, bits in g.automaton.ends(run, i, stop, ends) if j - i >= SHORTEST and bits >= g.least and composition(run[i:j]) in g.like]
+        taken: list[tuple[int, int]] = []
+        for i, j in sorted(set(found), key=lambda x: (x[0] - x[1], x[0])):
+            if all(j <= s or e <= i for s, e in taken):
+                taken.append((i, j))
+        out += [(at + i, at + j) for i, j in taken]
     return out
 
 
@@ -72,6 +106,10 @@ def symbols(value: str) -> list[str]:
     return [s if i < HEAD else "<" + s for i, s in enumerate(out)]
 
 
+#: symbols of the characters behind the head
+_SYMBOL = {c: symbols("0" * HEAD + c)[-1] for c in map(chr, range(128))}
+
+
 class Automaton:
     """A probabilistic automaton inferred from strings of symbols."""
 
@@ -157,6 +195,30 @@ class Automaton:
             n = self.next[n][s]
         return total / max(1, len(value)) if self.ended[n] else -math.inf
 
+    def ends(self, run: str, start: int, stop: int, ends: set[int]) -> list[tuple[int, float]]:
+        """(end, ``bits``) of the values that begin at ``start`` and end at one of ``ends``."""
+        out, n, total = [], 0, 0.0
+        for i in range(start, stop):
+            c = run[i]
+            if i - start >= HEAD:
+                c = _SYMBOL[c]
+            to = self.next[n].get(c)
+            if to is None:
+                break
+            total += math.log2(self.passed[n][c] / self.count[n] / _CLASSES.get(c[1:], 1) * _ALPHABET)
+            n = to
+            if i + 1 in ends and self.ended[n]:
+                out.append((i + 1, total / (i + 1 - start)))
+        return out
+
+
+class Grammar(NamedTuple):
+    """An automaton, the least score, and what labelled values hold."""
+
+    automaton: Automaton
+    least: float
+    like: set[tuple[bool, bool]]
+
 
 def labelled_credentials(docs: DataFrame) -> dict[str, list[str]]:
     """Sampled values of the base spans by kind."""
@@ -177,8 +239,8 @@ def labelled_credentials(docs: DataFrame) -> dict[str, list[str]]:
     return {k: [r.value for r in found.filter(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(PER_KIND).collect()] for k in KINDS[:3]}
 
 
-def infer(labelled: dict[str, list[str]]) -> list[tuple[Automaton, float]]:
-    """(automaton, least score) of each kind, from an automaton's own and a held-out half."""
+def infer(labelled: dict[str, list[str]]) -> list[Grammar]:
+    """The grammar of each kind; its least score is from an automaton of one half and the other half."""
     out = []
     for kind in KINDS[:3]:
         values = labelled.get(kind, [])
@@ -187,7 +249,9 @@ def infer(labelled: dict[str, list[str]]) -> list[tuple[Automaton, float]]:
         half = Automaton([symbols(v) for v in values[::2]])
         held = [s for s in (half.bits(v) for v in values[1::2]) if s > -math.inf]
         if held:
-            out.append((Automaton([symbols(v) for v in values]), float(np.quantile(held, QUANTILE))))
+            like = Counter(composition(v) for v in values)
+            out.append(Grammar(Automaton([symbols(v) for v in values]), float(np.quantile(held, QUANTILE)),
+                               {k for k, n in like.items() if n >= QUANTILE * len(values)}))
     return out
 
 
@@ -205,7 +269,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                more = [(s, 3, e) for s, e in candidates(text, base) if any(a.bits(text[s:e]) >= least for a, least in known)] if known else []
+                more = [(s, 3, e) for s, e in formats(text, base, known)] if known else []
                 kinds = [k for _, k, _ in base]
                 out.append((*(kinds.count(k) for k in range(3)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more))))
             cols = list(zip(*out)) if out else [()] * 5

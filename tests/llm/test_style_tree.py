@@ -68,3 +68,20 @@ def test_articles_of_the_test_pages_stay_whole(spark):
         body = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         plain = unescape(re.sub(r"<[^>]*>", " ", body))
         assert got[r.page_id].split() == plain.split()
+
+
+@pytest.mark.parametrize("source,want", [
+    ("<div class=page-header>h</div><div class=text>t</div><div class='page-sidebar x'>s</div><div id=page-nav>n</div><div class=\"page-footer\">f</div>", "t"),
+    ("<div class='has-sidebar no-comments'><div class=page-nav>n</div><article><p>a</p></article></div>", "a"),
+    ("<div class=page-header>h<div>i</div></div><div class=page-with-sidebar><main><p>m</p></main></div>", "m"),
+])
+def test_layout_words_count_on_wrappers_only(source, want):
+    assert text(source) == want
+
+
+def test_hosts_of_few_pages_lose_what_repeats(spark):
+    r = random.Random(2)
+    rows = [(100 * n + i, f"http://h{n}.example/{i}", page(r, i)) for n in (4, 5, 7) for i in range(n)]
+    got = run(spark, rows)
+    for k, (x, _) in got.items():
+        assert x.startswith(f"n {k % 100}\n0.") and "visit" not in x and "rights" not in x

@@ -10,7 +10,8 @@ Kinds of element that are never main text (menus, forms, scripts, ...) go by tag
 whatever their entropy.  If a page has an ``article`` or ``main`` element, what lies outside goes.
 
 Pages and counts are merged by aggregation, so no host is ever in one task.  Nodes are counted on
-different pages only (copies of a page are one), and a node needs ``LEAST_PAGES`` of them to go.
+different pages only (copies of a page are one).  Importance shrinks towards 1, what a node seen once
+has, by ``PRIOR`` pages, so it falls smoothly with the pages that repeat a branch.
 
 Defined results: null or empty html gives an empty text; unclosed and stray tags, comments and
 attributes without end are read as browsers do, roughly; a null or odd url makes a host of its own;
@@ -31,13 +32,15 @@ from pyspark.sql import functions as F
 
 from tonegauge.llm.store import keep
 
-LEAST_PAGES, LEAST_IMPORTANCE, CONTENT_SHARE = 8, 0.15, 0.7
+PRIOR, LEAST_IMPORTANCE, CONTENT_SHARE = 0.6, 0.15, 0.7
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
     |<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>)|[^>]*+)(?:>|\Z)""", re.S | re.X)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-#: class names that tell what a page has, not what an element is
-_LAYOUT = re.compile(r"(?:has|with|without|no|page|is)[-_]")
+#: class names that tell what a page has, not what an element is; read so on wrappers only
+_LAYOUT = re.compile(r"(?:(?:has|with|without|no|page|is)[-_])+")
+_LAYOUT_WORD = re.compile(r"\b(?:has|with|without|no|page|is)[-_]", re.I)
+_OUTLINE = re.compile(r"<(/?)(?:(article|main)|div|section|center)\b", re.I)
 _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]+)")
 
@@ -64,6 +67,24 @@ NEVER_WORDS = frozenset("""ad ads advert adverts advertisement advertisements ad
 OUTSIDE_WORDS = frozenset(("header", "topbar", "top"))
 
 
+def _wrappers(source: str) -> set[int]:
+    """Where the elements begin that hold an article."""
+    out: set[int] = set()
+    opened: list[int] = []
+    done = 0
+    for m in _OUTLINE.finditer(source):
+        if m[2]:
+            if not m[1]:
+                out.update(opened[done:])
+                done = len(opened)
+        elif not m[1]:
+            opened.append(m.start())
+        elif opened:
+            opened.pop()
+            done = min(done, len(opened))
+    return out
+
+
 class Page:
     """Blocks of a page in order: (path of style nodes, text, lies in the article)."""
 
@@ -100,6 +121,8 @@ class Page:
                 parts.append(html.unescape(x) if "&" in x else x)
 
         end = len(source)
+        wrappers = _wrappers(source) if _LAYOUT_WORD.search(source) else ()
+
         while at < end:
             m = _TAG.search(source, at)
             if m is None:
@@ -130,7 +153,7 @@ class Page:
                 flush()
             elif name == "br":
                 parts.append(" ")
-            node, never = self._style(name, m["rest"], bool(inside and inside[-1]))
+            node, never = self._style(name, m["rest"], bool(inside and inside[-1]), m.start() in wrappers)
             if name in BLOCKS:
                 self.tags.setdefault(tuple(x for n, x in zip(names, nodes) if n in BLOCKS), []).append(name)
             if name in VOID:
@@ -152,14 +175,14 @@ class Page:
         flush()
 
     @staticmethod
-    def _style(name: str, rest: str, inside: bool) -> tuple[str, bool]:
+    def _style(name: str, rest: str, inside: bool, wrapper: bool) -> tuple[str, bool]:
         """(style node, is it never main text)."""
         never = name in NEVER or (name == "header" and not inside)
         if "=" not in rest:
             return name, never
         found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(rest)}
         if name not in ("html", "body"):
-            words = {w for k in ("class", "id") for x in found.get(k, "").lower().split() if not _LAYOUT.match(x) for w in re.split(r"[^a-z]+", x)}
+            words = {w for k in ("class", "id") for x in found.get(k, "").lower().split() if not (wrapper and _LAYOUT.match(x)) for w in re.split(r"[^a-z]+", x)}
             if name not in MAIN or words & {"comment", "comments", "related", "ad", "sponsored"}:
                 never = never or bool(words & NEVER_WORDS) or (not inside and bool(words & OUTSIDE_WORDS))
             never = never or found.get("role", "").lower() in NEVER_ROLES
@@ -219,7 +242,8 @@ def unimportant(pages: DataFrame) -> DataFrame:
     content = _entropy(nodes, "content").withColumnRenamed("e", "content")
     tags = _entropy(nodes, "tags").select("host", "node", F.col("e").alias("tags"))
     score = F.col("content") * CONTENT_SHARE + F.col("tags") * (1 - CONTENT_SHARE)
-    low = content.filter(F.col("n") >= LEAST_PAGES).join(tags, ["host", "node"]).filter(score < LEAST_IMPORTANCE)
+    shrunk = (F.col("n") * score + PRIOR) / (F.col("n") + PRIOR)
+    low = content.join(tags, ["host", "node"]).filter(shrunk < LEAST_IMPORTANCE)
     return low.groupBy("host").agg(F.collect_list("node").alias("low"))
 
 

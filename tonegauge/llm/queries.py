@@ -14,11 +14,14 @@ from tonegauge.llm import (
     mixing,
     packing,
     partenum,
+    periodic_runs,
     rpforest,
     secret_grammar,
     sparse_suffix,
     style_tree,
     toxicity,
+    warc_store,
+    whitening,
 )
 from tonegauge.llm.store import small_batches
 
@@ -106,6 +109,31 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_suffix.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_store.archived(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op11_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest, max(page_id) OVER (PARTITION BY body) AS first FROM p),
+r AS (SELECT *, payload_bytes >= {warc_store.SMALL} AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to
+FROM r
+"""
+
+
+@_query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"))
+
+
 #: Integer products of floored components, exact in DuckDB too (vectors of one length in the tables).
 ORACLE["op3_exact_topk"] = """
 WITH v AS (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonegauge.keys import u
 from tonegauge.operators import quantiles as Q
+from tonegauge.operators.ordered import positions
 from tonegauge.operators.probe import sample_uniform
 
 
@@ -62,24 +63,34 @@ def first_groups(df: DataFrame, k: int, n_groups: int, group: str, order_cols: l
 
 
 def with_position(df: DataFrame, order_cols: list[str], name: str = "pos") -> DataFrame:
-    """Global 0-based position by a unique ``order_cols`` key without a single-partition window:
-    range-partition and sort, count rows per partition (one small row per partition), turn the
-    counts into offsets, and add ``offset + index within partition``."""
-    from pyspark import StorageLevel
-
-    spark = df.sparkSession
-    n_parts = max(1, spark.sparkContext.defaultParallelism)
-    ordered = (df.repartitionByRange(n_parts, *order_cols).sortWithinPartitions(*order_cols)
-               .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
-               .persist(StorageLevel.MEMORY_AND_DISK))
-    parts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0")).collect()
-    offsets, acc = [], 0
-    for r in sorted(parts, key=lambda r: r["_pid"]):
-        offsets.append((r["_pid"], acc, r["_m0"]))
-        acc += r["_n"]
-    off = spark.createDataFrame(offsets, "_pid INT, _off BIGINT, _m0 BIGINT")
-    out = ordered.join(F.broadcast(off), "_pid")  # one row per partition: bounded by construction
-    return out.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0")).drop("_pid", "_mid", "_off", "_m0")
+    """Global 0-based position by a unique ``order_cols`` key (see :func:`ordered.positions`).
+
+    Only the key columns are sorted and written; the rows meet their positions by the key."""
+    return df.join(positions(df.select(*order_cols), order_cols, name), order_cols)
+
+
+def paired_keys(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """The k-th key of ``a`` beside the k-th key of ``b`` (``_a_<key>``, ``_b_<key>``), in the order of the unique
+    key, as far as both go: two narrow sorts and one join of positions."""
+    left = positions(a.select(*[F.col(k).alias(f"_a_{k}") for k in key]), [f"_a_{k}" for k in key], "_pos")
+    right = positions(b.select(*[F.col(k).alias(f"_b_{k}") for k in key]), [f"_b_{k}" for k in key], "_pos")
+    return left.join(right, "_pos").drop("_pos")
+
+
+def crossed(source_df: DataFrame, inst_df: DataFrame, pairs: DataFrame, goals: list[str], key: list[str],
+            copy_cols: tuple[str, ...], source: str = "a", inst: str = "b") -> DataFrame:
+    """The paired rows of ``source_df`` with the deltas and ``copy_cols`` of their partners in ``inst_df``.
+
+    Targets are recomputed, filled from the source where no delta is asked, and clipped to [0, 1]."""
+    taken = [f"delta_{g}" for g in goals] + list(copy_cols)
+    own, other = [f"_{source}_{k}" for k in key], [f"_{inst}_{k}" for k in key]
+    partner = inst_df.select(*[F.col(k).alias(o) for k, o in zip(key, other)], *taken).join(pairs, other).drop(*other)
+    rows = source_df.drop(*taken).join(partner.withColumnsRenamed(dict(zip(own, key))), key)
+    targets = {}
+    for g in goals:
+        t = F.coalesce(F.col(f"source_{g}") + F.col(f"delta_{g}"), F.col(f"source_{g}"))
+        targets[f"target_{g}"] = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    return rows.withColumns(targets)
 
 
 def cross_probe(source_df: DataFrame, inst_df: DataFrame, goals: list[str], order_cols: list[str],
@@ -87,18 +98,7 @@ def cross_probe(source_df: DataFrame, inst_df: DataFrame, goals: list[str], orde
     """texts of one split paired by position with the deltas (and instructions) of another,
     truncated to the shorter side; targets recomputed, null-filled from source, clipped to [0, 1].
     The prompt is rebuilt by the caller from the row's own text (the original copied it, Q13)."""
-    a = with_position(source_df, order_cols)
-    b = with_position(inst_df.select(*order_cols, *[f"delta_{g}" for g in goals], *copy_cols), order_cols)
-    b = b.select("pos", *[F.col(f"delta_{g}").alias(f"_d_{g}") for g in goals], *[F.col(c).alias(f"_c_{c}") for c in copy_cols])
-    j = a.drop(*[f"delta_{g}" for g in goals], *copy_cols).join(b, "pos")
-    cols = {f"delta_{g}": F.col(f"_d_{g}") for g in goals}
-    cols |= {c: F.col(f"_c_{c}") for c in copy_cols}
-    j = j.withColumns(cols)
-    targets = {}
-    for g in goals:
-        t = F.coalesce(F.col(f"source_{g}") + F.col(f"delta_{g}"), F.col(f"source_{g}"))
-        targets[f"target_{g}"] = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-    return j.withColumns(targets).drop(*[f"_d_{g}" for g in goals], *[f"_c_{c}" for c in copy_cols])
+    return crossed(source_df, inst_df, paired_keys(source_df, inst_df, order_cols), goals, order_cols, copy_cols)
 
 
 def label_union(parts: list[tuple[str, DataFrame]]) -> DataFrame:

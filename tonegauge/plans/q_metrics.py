@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonegauge.operators import metrics as M
 from tonegauge.operators import quantiles as Q
+from tonegauge.operators import resummary as RS
 from tonegauge.plans import fixtures as X
 from tonegauge.plans.registry import query, rounded
 
@@ -209,15 +210,39 @@ def h13_leaderboard(spark, sf):
         m = M.with_metrics(_run(spark, sf, seed), G).withColumn("run", F.lit(name))
         runs = m if runs is None else runs.unionByName(m)
     g = runs.join(labels, KEY).filter(M.grounded())
-    long = g.select("run", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in M.METRICS])).alias("x"))
-    long = long.select(F.concat_ws("|", "run", "x.metric").alias("grp"), F.col("x.v").alias("v"))
-    st = Q.describe_by(long, "grp", "v", (0.25, 0.5, 0.75))
-    rows = []
-    for grp, s in st.items():
-        run, metric = grp.split("|")
-        q1, med, q3 = s["quantiles"]
-        rows.append((run, metric, med, q3 - q1, int(s["n"])))
-    return rounded(spark.createDataFrame(rows, "run STRING, metric STRING, median DOUBLE, iqr DOUBLE, n BIGINT"))
+    return rounded(RS.quartiles(RS.long_metrics(g, ["run"], M.METRICS), ["run", "metric"], "v").select("run", "metric", "median", "iqr", "n"))
+
+
+# ---------------------------------------------------------------- A11 / B14 many runs
+RUNS = 1000
+
+
+def _run_configs(spark, sf):
+    """A legacy configuration of every run, derived from the order keys that make the runs."""
+    no = X.read(spark, sf, "orders").select((F.col("o_orderkey") % RUNS).alias("no")).distinct()
+    return no.select(F.concat(F.lit("run-"), "no").alias("run"), F.struct(F.concat(F.lit("model-"), (F.col("no") % 7)).alias("llm_name")).alias("llm_settings"),
+                     F.when(F.col("no") % 3 == 0, "cot").otherwise("direct").alias("prompt_strategy"),
+                     F.when(F.col("no") % 5 > 0, F.struct((F.col("no") % 2 == 0).alias("disambig"))).alias("inst_addons"),
+                     F.concat(F.lit("probe-"), (F.col("no") % 4)).alias("probe"))
+
+
+@query("a11_convert_runs", _sql(
+    _numeric_judged_sql() + M.metrics_ctes("njudged", X.NUM_GOALS, "rm")
+    + [("rr", f"SELECT *, l_orderkey % {RUNS} AS no, {M.grounded_sql()} AS ok FROM rm"),
+       ("rc", "SELECT no, count(*) AS n_total, count(*) FILTER (WHERE ok) AS n_grounded, count(*) FILTER (WHERE answer = 'No') AS n_flagged, "
+              "count(*) FILTER (WHERE NOT coalesce(rationale_approved, TRUE)) AS n_overruled FROM rr GROUP BY no"),
+       ("rl", " UNION ALL ".join(f"SELECT no, '{m}' AS metric, {m} AS v FROM rr WHERE ok" for m in M.METRICS)),
+       ("rs", "SELECT no, metric, " + ", ".join(f"round({e}, 6) AS {n}" for n, e in {
+           "mean": "avg(v)", "median": "quantile_cont(v, 0.5)", "min": "min(v)", "max": "max(v)", "std": "stddev_pop(v)", "q1": "quantile_cont(v, 0.25)",
+           "q3": "quantile_cont(v, 0.75)", "iqr": "quantile_cont(v, 0.75) - quantile_cont(v, 0.25)"}.items()) + ", count(v) AS n FROM rl GROUP BY no, metric")],
+    "SELECT 'run-' || no AS run, m.metric, " + ", ".join(f"rs.{c}" for c in RS.STATS) + ", coalesce(rs.n, 0) AS n, " + ", ".join(RS.COUNTS)
+    + ", 'model-' || (no % 7) AS model_id, CASE WHEN no % 3 = 0 THEN 'cot' ELSE 'direct' END AS prompt_strategy, no % 5 > 0 AND no % 2 = 0 AS negprompt, "
+      "'probe-' || (no % 4) AS probe_path, 'judge-1' AS judge, TRUE AS legacy_converted "
+      "FROM rc CROSS JOIN (SELECT unnest([" + ", ".join(f"'{m}'" for m in M.METRICS) + "]) AS metric) m LEFT JOIN rs USING (no, metric)"))
+def a11_convert_runs(spark, sf):
+    """A11 (with B14): a thousand judged runs summarised again in one plan, under their renamed configurations."""
+    runs = numeric_judged(spark, sf).withColumn("run", F.concat(F.lit("run-"), F.col("l_orderkey") % RUNS))
+    return rounded(RS.convert_runs(runs, _run_configs(spark, sf), X.NUM_GOALS, "judge-1"))
 
 
 # ---------------------------------------------------------------- H14 - H16

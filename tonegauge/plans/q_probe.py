@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tonegauge.keys import u_sql
+from tonegauge.operators import normalise as N
 from tonegauge.operators import probe as P
 from tonegauge.operators import prompts as PR
 from tonegauge.operators import splits as SP
+from tonegauge.operators import training as TR
 from tonegauge.plans import fixtures as X
 from tonegauge.plans.registry import query, rounded
+from tonegauge.session import checkpoint_dir
 
 G = X.GOALS
 PKEY = ["original_index", "rep"]
@@ -148,6 +153,53 @@ def f13_f14_f15_eval_sets(spark, sf):
     return ev.select("split", *PKEY, F.md5("instructions").alias("inst_md5"))
 
 
+TRAINING = TR.TrainingConfig(n_source_texts=64, instructions_per_text=2, num_train_prompts_for_eval=48, num_test_prompts_for_eval=64,
+                             insts_per_probe_source_text=2, clip_min=0.6, clip_max=1.4)
+
+
+def _drawn_sql(src, n, k, seed, name):
+    uu = u_sql("col:original_index", "col:rep", seed, "pergroup")
+    return _f9_sql(src, n, seed, f"{name}9") + [
+        (f"{name}d", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY original_index ORDER BY {uu}, rep) AS draw FROM {name}9) WHERE draw <= {k}"),
+        (name, "SELECT *, " + PR.direct_instruction_sql(G, PKEY, disambig=True) + " AS instructions FROM "
+               f"(SELECT * REPLACE ({', '.join(f'coalesce(target_{g}, source_{g}) AS target_{g}' for g in G)}) FROM {name}d)")]
+
+
+def _f15_sql():
+    c = TRAINING
+    probe = sql_weighted() + [("rep_w", "SELECT * EXCLUDE (row_id, sampling_weights), row_id AS original_index, sampling_weights * count(*) OVER () AS sampling_weights_mean, "
+                               f"CAST(unnest(generate_series(1, {X.REPS})) AS INTEGER) AS rep FROM wgs")] + X._delta_ctes("rep_w", G, PKEY, prefix="w")
+    k = c.insts_per_probe_source_text
+    own = "delta_{g}, target_{g}"
+    cross = ("b.delta_{g} AS delta_{g}, least(greatest(coalesce(a.source_{g} + b.delta_{g}, a.source_{g}), 0.0::DOUBLE), 1.0::DOUBLE) AS target_{g}")
+    cols = lambda t: ", ".join(t.format(g=g) for g in G)
+    prompt = "{i}.instructions || chr(10) || chr(10) || {i}.text"
+    return probe + _split_sql(src="wrobe") + [("tr", "SELECT * FROM sp WHERE in_first"), ("te", "SELECT * FROM sp WHERE NOT in_first")] \
+        + _drawn_sql("tr", c.n_source_texts, c.instructions_per_text, c.train_seed, "trk") \
+        + _drawn_sql("te", c.num_test_prompts_for_eval // k, k, c.test_seed, "tek") + [
+        ("trc", f"SELECT * REPLACE (least(greatest(sampling_weights_mean, {c.clip_min!r}::DOUBLE), {c.clip_max!r}::DOUBLE) AS sampling_weights_mean) FROM trk"),
+        ("tre", f"SELECT * FROM trc WHERE draw <= {k} AND original_index IN (SELECT DISTINCT original_index FROM trc ORDER BY original_index LIMIT {c.num_train_prompts_for_eval // k})"),
+        ("a", "SELECT *, row_number() OVER (ORDER BY original_index, draw) AS pos FROM tre"),
+        ("b", "SELECT *, row_number() OVER (ORDER BY original_index, draw) AS pos FROM tek"),
+        ("ev", f"SELECT 'train' AS split, {PKEY_SQL}, sampling_weights_mean AS w, {prompt.format(i='a')} AS prompt, {cols(own)} FROM a UNION ALL "
+               f"SELECT 'test', {PKEY_SQL}, sampling_weights_mean, {prompt.format(i='b')}, {cols(own)} FROM b UNION ALL "
+               f"SELECT 'train_source_test_inst', a.original_index, a.rep, a.sampling_weights_mean, {prompt.format(i='b')}, {cols(cross)} FROM a JOIN b USING (pos) UNION ALL "
+               f"SELECT 'test_source_train_inst', a.original_index, a.rep, a.sampling_weights_mean, {prompt.format(i='b')}, {cols(cross)} FROM b AS a JOIN a AS b USING (pos)")]
+
+
+@query("f15_prepare_probe", W(_f15_sql(), f"SELECT split, {PKEY_SQL}, round(w, 6) AS w, md5(prompt) AS prompt_md5, "
+                              + ", ".join(f"round(delta_{g}, 6) AS delta_{g}, round(target_{g}, 6) AS target_{g}" for g in G) + " FROM ev"))
+def f15_prepare_probe(spark, sf):
+    """Halves, sampled texts and draws, chat prompts, clipped weights, the four labelled evaluation splits
+    with both cross-probes, written as one phase and read back."""
+    gs = N.mean_weights(weighted_goalspace(spark, sf)).withColumnRenamed("row_id", "original_index")
+    p = P.with_deltas(P.repeat_rows(gs, X.REPS), G, PKEY, X.SEED, X.MAX_ACTIVE)
+    folder = f"{checkpoint_dir(spark)}/training-{uuid.uuid4().hex}"
+    ev = TR.prepare(p, G, TRAINING, "stand-in", folder, "run")["eval"]
+    return rounded(ev.select("split", *PKEY, F.col("sampling_weights_mean").alias("w"), F.md5(F.col("prompt")[0]["content"]).alias("prompt_md5"),
+                             *[c for g in G for c in (f"delta_{g}", f"target_{g}")]))
+
+
 @query("f16_meta_exclusion", W(X.sql_probe() + _split_sql(42, name="s1") + _split_sql(7, name="s2") + _split_sql(99, name="s3"),
                                f"SELECT {PKEY_SQL} FROM s3 WHERE NOT in_first AND original_index NOT IN "
                                "(SELECT original_index FROM s1 WHERE in_first UNION SELECT original_index FROM s2 WHERE in_first)"))

@@ -10,8 +10,8 @@ owns boundaries ``S`` words apart and carries the words around them, so neighbou
 2. *Solve.* Each tile stands alone: Z-functions of the words right and left of a boundary give, for all
    periods of the octave at once, how far each repetition reaches inside the boundary's window.
 3. *Stitch.* Fragments meet by document and period; those that share a whole period are one repetition.
-   A repetition with a smaller period fills the same interval (the two periods' sum fits into it), so
-   the smallest period of an interval names the run.
+   Should a repetition have a smaller period too, that one fills the same interval (the two periods'
+   sum fits into it), so the smallest period of an interval names the run.
 
 A tile has ``max(TILE, 8 * S)`` words and a margin, whatever the document's length, and tiles are dealt
 out one by one: a very long document is solved by many tasks.  A document's runs are gathered only
@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -41,7 +42,7 @@ SHORTEST, REPEATS = 24, 3
 #: spacing of the first octave's boundaries (it takes all periods below ``2 * FIRST``), words in a tile
 FIRST, TILE = 8, 512
 _PART = 1 << 20
-_DOC = "kind string, doc_id long, doc string, n long, plain string, words binary"
+_DOC = "kind string, doc_id long, doc binary, n long, plain string, words binary"
 _SPAN = "octave long, lo long, ids binary, bytes long, at array<long>, salt long"
 
 
@@ -106,11 +107,27 @@ def z_function(x: list[int]) -> list[int]:
     return z
 
 
+@lru_cache(1 << 16)
+def prime_factors(p: int) -> tuple[int, ...]:
+    out, r = [], 2
+    while r * r <= p:
+        if p % r == 0:
+            out.append(r)
+            while p % r == 0:
+                p //= r
+        r += 1
+    return tuple(out + [p] * (p > 1))
+
+
 def solve_boundary(x: list[int], b: int, s: int) -> Iterator[tuple[int, int, int]]:
-    """(period, start, end) of the repetitions around ``x[b]``, as far as the boundary's window shows them."""
+    """(period, start, end) of the repetitions around ``x[b]``, as far as the boundary's window shows them.
+
+    A period whose first block is itself a repetition, by the same Z-function, is left to the smaller period.
+    """
     lo, hi = max(0, b - s), min(len(x), b + 4 * s)
     right = z_function(x[b: hi])
-    periods = [p for p in range(1 if s == FIRST else s, 2 * s) if b + p < hi and right[p] >= s]
+    periods = [p for p in range(1 if s == FIRST else s, 2 * s)
+               if b + p < hi and right[p] >= s and not any(right[p // r] >= p - p // r for r in prime_factors(p))]
     if not periods:
         return
     most = periods[-1]
@@ -154,7 +171,7 @@ def _explode(batches: Iterator[pa.RecordBatch], change) -> Iterator[pa.RecordBat
                 words = change(doc_id, (text or b"").split())
                 joined = b" ".join(words)
                 plain = hashlib.sha256(joined).hexdigest()
-                doc = f"{doc_id}:{plain}"
+                doc = hashlib.sha256(f"{doc_id}:{plain}".encode()).digest()[:16]
                 ids, n, spans = word_ids(words), len(words), 0
                 for s, bounds in suspects(ids):
                     size = max(TILE, 8 * s)
@@ -181,7 +198,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.frombuffer(r["ids"], np.uint16 if r["bytes"] == 2 else np.int64).tolist()
             found = solve_tile(ids, r["at"], r["octave"], (r["lo"] == 0, r["lo"] + len(ids) == r["n"]))
             p, start, end = (np.array(x, np.int64) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array([r["doc"]] * len(p), pa.string()), pa.array(p), pa.array(start + r["lo"]), pa.array(end + r["lo"])],
+            yield pa.RecordBatch.from_arrays([pa.array([r["doc"]] * len(p), pa.binary()), pa.array(p), pa.array(start + r["lo"]), pa.array(end + r["lo"])],
                                              ["doc", "period", "start", "end"])
 
 
@@ -206,9 +223,10 @@ def parts_of(docs: DataFrame, change=reshape) -> DataFrame:
 def runs_of(parts: DataFrame) -> DataFrame:
     """(doc, start, length, period) of all runs."""
     tiles = parts.filter("kind = 'tile'").select("doc", "n", "octave", "lo", "ids", "bytes", "at", "salt")
-    # one row per tile: dealt by tile, so that repeated documents and long ones spread
-    tiles = tiles.repartition("doc", "octave", "lo", "salt")
-    return stitch(tiles.mapInArrow(_solve, "doc string, period long, start long, end long"))
+    # dealt by tile, so that repeated documents and long ones spread; few bytes can be much work, so the
+    # session's number of partitions stands
+    tiles = tiles.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc", "octave", "lo", "salt")
+    return stitch(tiles.mapInArrow(_solve, "doc binary, period long, start long, end long"))
 
 
 def strongest(runs: list[tuple[int, int, int]]) -> tuple[int, int, int]:

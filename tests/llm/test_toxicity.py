@@ -32,7 +32,7 @@ def frames(spark, docs, labels):
 def test_held_out_accuracy(spark):
     docs, labels = corpus()
     toxic = {i for i, t, *_ in docs if any(b in t.lower() for b in BAD)}
-    docs += [(5000, None, "", "", 0.0), (5001, "", "", "", 0.0), (5002, "w1 " * 60000 + "idiot", "", "", 0.0), (5003, "w1 " * 60000, "", "", 0.0), (None, "idiot moron", "", "", 0.0), (5002, "w1 " * 60000 + "idiot", "", "", 0.0)]
+    docs += [(5000, None, "", "", 0.0), (5001, "", "", "", 0.0), (5002, "w1 " * 60000 + " ".join(BAD), "", "", 0.0), (5003, "w1 " * 60000, "", "", 0.0), (None, "idiot moron clown w1 w2 w3 w4 w5", "", "", 0.0), (5002, "w1 " * 60000 + " ".join(BAD), "", "", 0.0)]
     labels += [(None, 1, 1), (3, 1, None)]
     got = T.toxicity_scores(*frames(spark, docs, labels)).collect()
     assert len(got) == len(docs)
@@ -61,17 +61,99 @@ def test_without_labels_or_rows(spark):
 
 
 def test_calibration_separates():
-    x = np.array([0.0] * 80 + [0.4] * 20)
-    a, b = T.calibrate(x, (x > 0.2).astype(float), np.ones(100))
-    p = 1 / (1 + np.exp(-(a + b * np.array([0.0, 0.4]))))
-    assert p[0] < 0.05 and p[1] > 0.95
+    x = np.array([[0.0, 1.0]] * 80 + [[0.4, 1.0]] * 20)
+    line = T.calibrate(x, (x[:, 0] > 0.2).astype(float), np.ones(100))
+    p = 1 / (1 + np.exp(-(line[0] + np.array([[0.0, 1.0], [0.4, 1.0]]) @ line[1:])))
+    assert p[0] < 0.1 and p[1] > 0.9
 
 
-@pytest.mark.parametrize("text,n", [("a b", 2), ("", 0)])
+EMPTY = {"words": np.zeros(0, np.uint64), "word_llr": np.zeros(0), "pairs": np.zeros(0, np.uint64), "pair_llr": np.zeros(0),
+         "grams": np.zeros(0, np.uint64), "gram_llr": np.zeros(0), "ctxs": np.zeros(0, np.uint64), "ctx_llr": np.zeros(0)}
+
+
+@pytest.mark.parametrize("text,n", [("a b", 2), ("", 0), (None, 0)])
 def test_evidence_without_a_model_is_zero(text, n):
     import pyarrow as pa
-    empty = {"words": np.zeros(0, np.uint64), "word_llr": np.zeros(0), "pairs": np.zeros(0, np.uint64), "pair_llr": np.zeros(0)}
-    assert T.evidence(empty, pa.array([text])).tolist() == [0.0]
+    llr, _, wo = T.evidence(EMPTY, pa.array([text], pa.string()))
+    assert llr.tolist() == [0.0] * n and wo.tolist() == [0, n]
+    got = T.features(EMPTY, pa.array([text], pa.string()))
+    assert got[0, :-1].tolist() == [0.0] * (got.shape[1] - 1) and got[0, -1] == np.log1p(n)
+
+
+def test_features_against_loops():
+    import pyarrow as pa
+    from tonegauge.llm.arrowtext import ALNUM, word_hashes
+    r = random.Random(2)
+    vocab = [f"w{i}" for i in range(40)]
+    h = np.unique(word_hashes(pa.array([" ".join(vocab)]), ALNUM)[0])
+    model = EMPTY | {"words": h, "word_llr": np.random.default_rng(1).normal(0, 2, len(h))}
+    texts = [" ".join(r.choice(vocab) for _ in range(r.choice([0, 1, 3, 30, 200]))) for _ in range(60)]
+    got = T.features(model, pa.array(texts))
+    for t, row in zip(texts, got):
+        words = word_hashes(pa.array([t]), ALNUM)[0]
+        e = [float(np.clip(model["word_llr"][np.searchsorted(h, w)], -8, 8)) for w in words]
+        want = [sum(e) / max(len(e), 4)]
+        want += [max((sum(e[max(0, i - n): i]) / n for i in range(1, len(e) + 1)), default=0.0) for n in T.WINDOWS]
+        best = sorted({w: x for w, x in zip(words.tolist(), e) if x > T._STRONG}.values(), reverse=True)
+        want += [sum(best[:k]) / k for k in T.STRONGEST] + [np.log1p(len(e))]
+        assert np.allclose(row, want)
+
+
+def test_spelling_against_recursion():
+    """Interpolated Kneser-Ney by the book, over Python dictionaries."""
+    from collections import Counter
+    r = random.Random(3)
+    types = [["".join(r.choice("abc") for _ in range(r.randrange(1, 9))) for _ in range(60)] for _ in (0, 1)]
+    types[1] += [f"abb{x}" for x in "abccabca"]
+    table = Counter()
+    for c in (0, 1):
+        for w in types[c]:
+            x = "\x01" + w + "\x02"
+            for t in range(1, len(x)):
+                for m in range(1, min(T.SPELL, t + 1) + 1):
+                    table[m, x[t - m + 1: t + 1], c] += 1
+
+    def pack(m, x):
+        return int.from_bytes(x.encode(), "big") | m << 56
+
+    keys = sorted({(m, g) for m, g, _ in table})
+    m = np.array([k[0] for k in keys])
+    grams = np.array([pack(*k) for k in keys], np.uint64)
+    ctx = np.array([pack(k[0] - 1, k[1][:-1]) if k[0] > 1 else 0 for k in keys], np.uint64)
+    g = np.array([[table[(*k, c)] for k in keys] for c in (0, 1)])
+    model = T.spelling(m, grams, ctx, g)
+    d = {(o, c): T.discounts(g[c][m == o]) for o in range(2, T.SPELL + 1) for c in (0, 1)}
+    ones = [k for k in keys if k[0] == 1]
+    shared = sum(table[(*k, c)] for k in ones for c in (0, 1))
+
+    def p(x, c):
+        if len(x) == 1:
+            return (table[1, x, 0] + table[1, x, 1] + 0.5) / (shared + 0.5 * len(ones))
+        seen = [n for (o, y, k), n in table.items() if o == len(x) and k == c and y[:-1] == x[:-1]]
+        lower = p(x[1:], c)
+        if not sum(seen):
+            return lower
+        less = lambda n: max(n - d[len(x), c][min(n, 3)], 0) if n else 0.0
+        return less(table[len(x), x, c]) / sum(seen) + (1 - sum(map(less, seen)) / sum(seen)) * lower
+
+    for w in ["abba", "cab", "a", "abbcc", "ccccccccc", *types[1][:10]]:
+        x = "\x01" + w + "\x02"
+        want = sum(np.log(p(x[max(0, t - T.SPELL + 1): t + 1], 1) / p(x[max(0, t - T.SPELL + 1): t + 1], 0)) for t in range(1, len(x)))
+        raw = np.frombuffer(w.encode(), np.uint8)
+        assert T.spelled(model, raw, np.array([0]), np.array([len(raw)]))[0] == pytest.approx(np.clip(want, -T.MOST_SPELLING, T.MOST_SPELLING))
+
+
+def test_words_and_pairs_hand_down_evenly():
+    k = np.array([[400, 1, 0, 3, 1] + [1, 2, 3, 4] * 20, [420, 0, 9, 3, 0] + [1, 2, 3, 4] * 20])
+    p = T.word_model(k, np.ones(85, int), 1000, np.zeros(85))
+    llr = np.log(p[1] / p[0])
+    assert abs(llr[3]) < 0.1 and llr[2] > 1.5 and -1.5 < llr[1] < 0 and llr[1] == llr[4]
+    assert np.log(np.divide(*T.word_model(k, np.ones(85, int), 1000, np.array([0.0, 2.0] + [0.0] * 83))[::-1]))[1] > llr[1] + 0.5
+    head = np.repeat(np.arange(20, dtype=np.uint64), 4)
+    d = np.array([[5, 1, 0, 0] * 20, [5, 0, 1, 12] * 20])
+    lower = np.full((2, 80), 1e-3)
+    got = T.pair_model(head, d, lower).reshape(20, 4)
+    assert np.allclose(got, got[0]) and got[0, 3] > 1 and abs(got[0, 1]) < 1.5 and abs(got[0, 2]) < 1.5
 
 
 def test_expressions_of_few_documents_count(spark):
@@ -91,16 +173,44 @@ def test_expressions_of_few_documents_count(spark):
     assert sum(r.predicted for r in got if r.doc_id not in toxic) < 0.05 * len(got)
 
 
-def test_every_word_is_scored_by_both_models():
-    h, w = np.array([7, 7], np.uint64), np.array([3, 9], np.uint64)
-    counts = {"words": np.array([3, 9], np.uint64), "k": np.array([[9.0, 1.0], [1.0, 9.0]]), "total": np.array([100.0, 100.0]),
-              "weight": np.array([[0.2] * 4, [0.3] * 4]), "shared": np.array([0.01, 0.01]), "heads": h[:1], "n": np.array([[20.0], [0.0]]),
-              "taken": np.array([[[10.0]] * 4, [[0.0]] * 4]), "pair_head": h[:1], "pair_word": w[:1], "d": np.array([[5.0], [0.0]])}
-    t = T.tables(counts, 0, 0)
-    p = [(8.25 * 0.7 / 0.8 / 100 + 0.3 * 0.01, 0.25 * 0.7 / 0.8 / 100 + 0.3 * 0.01), (0.25 / 100 + 0.3 * 0.01, 8.25 / 100 + 0.3 * 0.01)]
-    assert np.allclose(t["word_llr"], [np.log(p[1][0] / p[0][0]), np.log(p[1][1] / p[0][1])])
-    assert np.allclose(t["head_llr"], np.log(1 / 0.5))
-    assert np.allclose(t["pair_llr"], np.log(p[1][0] / (3 / 20 + 0.5 * p[0][0])))
+def test_rare_words_of_one_form(spark):
+    """Every toxic word is nearly unique; only its beginning recurs."""
+    r = random.Random(6)
+    syllables = ["ba", "ke", "lo", "mi", "nu", "pe", "ra", "si", "to", "vu"]
+
+    def word():
+        return "".join(r.choice(syllables) for _ in range(r.randrange(2, 5)))
+
+    docs, labels = [], []
+    for i in range(1200):
+        w = [word() for _ in range(60)]
+        toxic = int(r.random() < 0.2)
+        for _ in range(3 * toxic):
+            w.insert(r.randrange(len(w)), r.choice(["zogr", "quax"]) + word() + word())
+        docs.append((i, " ".join(w), "en", "s", 0.5))
+        labels.append((i, 1, toxic))
+    toxic = {i for i, _, t in labels if t}
+    got = [r for r in T.toxicity_scores(*frames(spark, docs, labels)).collect() if r.held_out]
+    assert sum(r.predicted for r in got if r.doc_id in toxic) > 0.8 * sum(r.doc_id in toxic for r in got)
+    assert sum(r.predicted for r in got if r.doc_id not in toxic) < 0.03 * len(got)
+
+
+def test_toxic_pairs_of_ordinary_words(spark):
+    """Words say nothing alone: the same two stand in clean texts the other way round."""
+    r = random.Random(8)
+    pairs = [(f"w{2 * i}", f"w{2 * i + 1}") for i in range(8)]
+    docs, labels = [], []
+    for i in range(1500):
+        w = [f"w{r.randrange(300)}" for _ in range(40)]
+        toxic = int(r.random() < 0.25)
+        for a, b in r.sample(pairs, 3):
+            w[r.randrange(len(w)):0] = [a, b] if toxic else [b, a]
+        docs.append((i, " ".join(w), "en", "s", 0.5))
+        labels.append((i, 1, toxic))
+    toxic = {i for i, _, t in labels if t}
+    got = [r for r in T.toxicity_scores(*frames(spark, docs, labels)).collect() if r.held_out]
+    assert sum(r.predicted for r in got if r.doc_id in toxic) > 0.7 * sum(r.doc_id in toxic for r in got)
+    assert sum(r.predicted for r in got if r.doc_id not in toxic) < 0.05 * len(got)
 
 
 def test_shared_counts_hold_every_word_of_the_corpus(spark):

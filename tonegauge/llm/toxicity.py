@@ -1,23 +1,26 @@
-"""Toxicity by two class-conditional Kneser-Ney models.
-
-Words are runs of letters and digits.  Each class has an interpolated Kneser-Ney bigram model:
-absolute discount on the documents of a bigram, backing off to the class's continuation counts,
-which back off to word frequencies shared by both classes: a written table with the count of every
-word of all documents.  Every
-word of every text is scored by both models; its evidence is the difference of its two
-log-likelihoods.  A discount ``D`` takes min(count, D) of each count, and what it takes goes to the
-lower order, so rare expressions are smoothed away, not left out.  Both classes hand the same weight
-down to the shared counts: a word that both models leave to them has the same probability in both,
-and its evidence is that of the word before it.
-
-The evidence is averaged over every window of words of the whole text, and the highest window is
-calibrated to a probability on labelled documents that the models did not see.  Their likelihood
-also picks the two discounts and the window (``WORD_DISCOUNTS``, ``PAIR_DISCOUNTS``, ``WINDOWS``).
-
-Bounds (documented parameters): ``PER_CLASS`` labelled documents of each class in hash order, one of
-each family of near copies, of which a quarter calibrates; of their expressions that a discount does
-not take whole, the ``MOST_WORDS`` and ``MOST_BIGRAMS`` most frequent.  The shared counts and the
-scores cover every document.
+"""Toxicity by class-conditional Kneser-Ney models.
+
+Words are runs of letters and digits.  Each class (toxic, ordinary) has an interpolated Kneser-Ney model:
+
+* bigrams: documents of the pair in the class, less a discount, over those of its first word; what the
+  discounts take goes to the pair's shared counts (in how many classes it stands), and these hand on to
+* words: number of different words before the word in the class, less a discount; what that takes goes to the
+  word's shared counts (in how many classes it stands, and how often in all documents: a written table with every
+  word of the corpus), tilted by
+* spelling: byte n-grams of the class's different words, each order backing off to the next shorter one and
+  the shortest to counts that both classes share.  So a word that no labelled text holds is judged by its form.
+
+Discounts are the modified Kneser-Ney ones, from each class's counts of counts; no expression is left out and no
+count is cut.  Both classes hand the same weight down, so whatever they leave to shared counts is even between them.
+
+The difference of the two log-likelihoods, divided by the number of words, is taken over the whole text, over its
+strongest windows of ``WINDOWS`` words and over its ``STRONGEST`` different words (never one alone; a shorter text
+counts as filled up with even words).  A logistic fit of these means and the logarithm of the length, on labelled
+documents that the models did not see, gives the probability.
+
+Bounds (documented parameters): ``PER_CLASS`` labelled documents of each class in hash order teach (one of each
+family of near copies), a quarter of them calibrates.  Tables of that sample go to every task.  The corpus counts and
+the scores cover every document.
 
 Defined results: null or empty text scores as a text without evidence; rows with equal ``doc_id``
 are scored one by one; without labels of both classes every score is 0; labels other than 0 and 1
@@ -26,19 +29,20 @@ and null ids teach nothing.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonegauge.llm.arrowtext import ALNUM, U, chunks, mix, run_hashes, word_hashes
+from tonegauge.llm.arrowtext import _FOLD, ALNUM, U, chunks, mix, run_hashes, utf8, word_hashes, words
 from tonegauge.llm.store import keep
 
-PER_CLASS, MOST_WORDS, MOST_BIGRAMS = 4000, 1 << 20, 1 << 18
-WORD_DISCOUNTS, PAIR_DISCOUNTS, WINDOWS = (0.75, 2.0, 4.0, 8.0), (2.0, 4.0, 8.0, 16.0), (1, 2, 4, 16)
-MOST_EVIDENCE = 8.0
+PER_CLASS, WINDOWS, STRONGEST = 4000, (4, 16, 64), (2, 4, 8)
+#: evidence from which a word counts among a text's strongest
+_STRONG = 0.25
+#: bytes of the longest spelling n-gram, and the most that spelling and any one word may say
+SPELL, MOST_SPELLING, MOST_EVIDENCE = 6, 4.0, 8.0
+RIDGE = 0.3
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 _MINHASHES, _BAND, _ALIKE = 32, 4, 0.8
@@ -79,8 +83,8 @@ def _one_of_each_family(texts: DataFrame) -> DataFrame:
         seeds = mix(np.arange(_MINHASHES, dtype=U))
         for batch in batches:
             for b in chunks(batch, "text", _PART):
-                words, wo = word_hashes(b.column("text"), ALNUM)
-                runs = run_hashes(words, 3)
+                h, wo = word_hashes(b.column("text"), ALNUM)
+                runs = run_hashes(h, 3)
                 out = [[int((mix(x ^ s).min()).view(np.int64)) for s in seeds] if len(x := runs[i: max(i, j - 2)]) else [] for i, j in zip(wo[:-1], wo[1:])]
                 yield pa.RecordBatch.from_arrays([b.column("key"), b.column("toxic").cast(pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["key", "toxic", "m"])
 
@@ -106,17 +110,17 @@ def _pair_counts(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for b in chunks(batch, "text", _PART):
-                words, wo = word_hashes(b.column("text"), ALNUM)
+                all_words, wo = word_hashes(b.column("text"), ALNUM)
                 toxic = b.column("toxic").to_numpy(zero_copy_only=False)
-                r, h, w = _distinct(np.repeat(np.arange(len(toxic)), np.diff(wo)), _heads(words, wo), words)
+                r, h, w = _distinct(np.repeat(np.arange(len(toxic)), np.diff(wo)), _heads(all_words, wo), all_words)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(toxic[r].astype(np.int64))], ["h", "w", "toxic"])
     rows = texts.mapInArrow(run, "h long, w long, toxic long")
     return rows.groupBy("h", "w").agg(*[F.count_if(F.col("toxic") == c).alias(f"d{c}") for c in (0, 1)])
 
 
-def _heads(words: np.ndarray, wo: np.ndarray) -> np.ndarray:
+def _heads(hashes: np.ndarray, wo: np.ndarray) -> np.ndarray:
     """The word before each word, 0 at a text's beginning."""
-    head = np.append(U(0), words[:-1])[: len(words)]
+    head = np.append(U(0), hashes[:-1])[: len(hashes)]
     head[wo[:-1][wo[:-1] < wo[1:]]] = U(0)
     return head
 
@@ -153,64 +157,178 @@ def corpus_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
+def _types(texts: DataFrame) -> DataFrame:
+    """(w, word, c0, c1): the different words, their bytes and whether a class holds them."""
+    def run(batches):
+        for batch in batches:
+            for b in chunks(batch, "text", _PART):
+                raw, off = utf8(b.column("text"))
+                h, wo, start, length = words(raw, off, ALNUM)
+                toxic = np.repeat(b.column("toxic").to_numpy(zero_copy_only=False), np.diff(wo))
+                _, first = np.unique(np.stack([h, toxic.astype(U)]), axis=1, return_index=True) if len(h) else (None, np.zeros(0, np.int64))
+                low = _FOLD[raw].tobytes()
+                spelled = [low[i: i + n] for i, n in zip(start[first].tolist(), length[first].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(spelled, pa.binary()), pa.array(toxic[first].astype(np.int64))], ["w", "word", "toxic"])
+
+    rows = texts.mapInArrow(run, "w long, word binary, toxic long")
+    return rows.groupBy("w", "word").agg(*[F.max((F.col("toxic") == c).cast("long")).alias(f"c{c}") for c in (0, 1)])
+
+
+def ngrams(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(per order 1 to ``SPELL`` the n-gram that ends at each byte, how many bytes it may reach back, its word).
+
+    A word's bytes stand between 1 and 2; an n-gram is its bytes packed into a number, under its order."""
+    size = length + 2
+    off = np.append(0, np.cumsum(size))
+    x = np.full(off[-1], 2, U)
+    x[off[:-1]] = 1
+    owner = np.repeat(np.arange(len(size)), size)
+    place = np.arange(off[-1]) - off[owner]
+    inner = (place > 0) & (place < size[owner] - 1)
+    x[inner] = _FOLD[raw[start[owner[inner]] + place[inner] - 1]]
+    out, packed = [], np.zeros(len(x), U)
+    for m in range(1, SPELL + 1):
+        back = np.append(np.zeros(m - 1, U), x)[: len(x)]
+        packed = packed | (back << U(8 * (m - 1)))
+        out.append(packed | U(m << 56))
+    return out, place, owner
+
+
+def _gram_counts(types: DataFrame) -> DataFrame:
+    """(order, gram, ctx, g0, g1): different words of each class that hold a spelling n-gram, with repeats."""
+    def run(batches):
+        for batch in batches:
+            raw, off = utf8(batch.column("word"))
+            flags = [batch.column(f"c{c}").to_numpy(zero_copy_only=False) for c in (0, 1)]
+            grams, place, owner = ngrams(raw, off[:-1], np.diff(off))
+            for m in range(1, SPELL + 1):
+                at = np.flatnonzero(place >= max(1, m - 1))
+                ctx = grams[m - 2][at - 1] if m > 1 else np.zeros(len(at), U)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), m)), pa.array(grams[m - 1][at].view(np.int64)), pa.array(ctx.view(np.int64)),
+                     *[pa.array(f[owner[at]].astype(np.int64)) for f in flags]], ["m", "gram", "ctx", "g0", "g1"])
+
+    rows = types.mapInArrow(run, "m long, gram long, ctx long, g0 long, g1 long")
+    return rows.groupBy("m", "gram", "ctx").agg(F.sum("g0").alias("g0"), F.sum("g1").alias("g1"))
+
+
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more, from the counts of counts."""
+    n = np.bincount(np.minimum(counts.astype(np.int64), 5), minlength=6)[:6].astype(float) + 0.5
+    y = n[1] / (n[1] + 2 * n[2])
+    d = [0.0, *[i - (i + 1) * y * n[i + 1] / n[i] for i in (1, 2, 3)]]
+    return np.clip(d, [0.0, 0.1, 0.1, 0.1], [0.0, 0.95, 1.9, 2.8])
+
+
+def _less(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.maximum(counts - d[np.minimum(counts, 3).astype(np.int64)], 0)
+
+
+def spelling(m: np.ndarray, gram: np.ndarray, ctx: np.ndarray, g: np.ndarray) -> dict[str, np.ndarray]:
+    """``grams`` with ``gram_llr`` and contexts ``ctxs`` with ``ctx_llr`` (what leaving the context says)."""
+    one = m == 1
+    shared = g[:, one].sum(axis=0)
+    keys, by = gram[one], np.argsort(gram[one])
+    keys, p = keys[by], np.tile((shared[by] + 0.5) / (shared.sum() + 0.5 * len(by)), (2, 1))
+    out = {"grams": [keys], "gram_llr": [np.zeros(len(keys))], "ctxs": [], "ctx_llr": []}
+    for order in range(2, SPELL + 1):
+        here = m == order
+        by = np.argsort(gram[here])
+        k, c, n = gram[here][by], ctx[here][by], g[:, here][:, by]
+        ctxs, at = np.unique(c, return_inverse=True)
+        left = np.stack([_less(x, discounts(x)) for x in n])
+        total = np.stack([np.bincount(at, weights=x, minlength=len(ctxs)) for x in n])
+        kept = np.stack([np.bincount(at, weights=x, minlength=len(ctxs)) for x in left])
+        hand = np.where(total > 0, 1 - kept / np.maximum(total, 1), 1.0)
+        # the n-gram without its first byte, under the order before
+        short = (k & U((1 << 8 * (order - 1)) - 1)) | U(order - 1 << 56)
+        p = left / np.maximum(total[:, at], 1) + hand[:, at] * p[:, _find(keys, short)[0]]
+        keys = k
+        for name, value in (("grams", k), ("gram_llr", np.log(p[1] / p[0])), ("ctxs", ctxs), ("ctx_llr", np.log(np.maximum(hand[1], 1e-3) / np.maximum(hand[0], 1e-3)))):
+            out[name].append(value)
+    return {name: np.concatenate(parts) if parts else np.zeros(0) for name, parts in out.items()}
+
+
+def spelled(model: dict[str, np.ndarray], raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """What the spelling of each word says: the difference of its two log-likelihoods."""
+    if not len(start):
+        return np.zeros(0)
+    grams, place, owner = ngrams(raw, start, length)
+    llr, open_ = np.zeros(len(place)), place > 0
+    for m in range(SPELL, 0, -1):
+        at = np.flatnonzero(open_ & (place >= m - 1))
+        if m > 1:
+            to, known = _find(model["grams"], grams[m - 1][at])
+            llr[at[known]] += model["gram_llr"][to[known]]
+            open_[at[known]] = False
+            rest = at[~known]
+            to, known = _find(model["ctxs"], grams[m - 2][rest - 1])
+            llr[rest[known]] += model["ctx_llr"][to[known]]
+    return np.clip(np.bincount(owner, weights=llr, minlength=len(start)), -MOST_SPELLING, MOST_SPELLING)
+
+
+def _even(left: np.ndarray, own: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Interpolation in which both classes (first axis) hand down the larger of their two weights."""
+    hand = own.max(axis=0)
+    return left * np.where(own < 1, (1 - hand) / np.maximum(1 - own, 1e-12), 0.0) + np.where(own < 1, hand, 1.0) * lower
+
+
+def word_model(k: np.ndarray, n: np.ndarray, size: int, spell: np.ndarray) -> np.ndarray:
+    """Probability of each known word by class: ``k`` continuation counts by class, ``n`` and ``size`` its and all
+    words' counts in the corpus, ``spell`` what its spelling says."""
+    total = np.maximum(k.sum(axis=1), 1)[:, None]
+    left = np.stack([_less(x, discounts(x)) for x in k]) / total
+    own = 1 - left.sum(axis=1, keepdims=True)
+    shared = ((k > 0).sum(axis=0) + n / max(size, 1)) / ((k > 0).sum() + 1)
+    tilt = 2 / (1 + np.exp(np.stack([spell, -spell])))
+    return _even(left, own, shared * tilt)
+
+
+def pair_model(head: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Evidence of each pair: ``d`` documents by class, ``lower`` its word's probability by class."""
+    heads, at = np.unique(head, return_inverse=True)
+
+    def per_head(x):
+        return np.bincount(at, weights=x, minlength=len(heads))[at]
+
+    classes = (d > 0).sum(axis=0)
+    cut = discounts(classes)[1:3].min()
+    common = (classes - cut) / per_head(classes) + cut * per_head(np.ones(len(head))) / per_head(classes) * lower
+    left = np.stack([_less(x, discounts(x)) for x in d])
+    total = np.stack([per_head(x) for x in d])
+    kept = np.stack([per_head(x) for x in left])
+    own = np.where(total > 0, 1 - kept / np.maximum(total, 1), 1.0)
+    p = _even(left / np.maximum(total, 1), own, common)
+    return np.log(p[1] / p[0])
+
+
 def fit(docs: DataFrame, texts: DataFrame) -> dict[str, np.ndarray]:
-    """Counts of the expressions that the least discounts leave something of, for ``tables``."""
-    spark = docs.sparkSession
-    pairs = keep(_pair_counts(texts.filter("fold <> 0")), "pairs")
-    words = keep(pairs.groupBy("w").agg(*[F.count_if(F.col(f"d{c}") > 0).alias(f"k{c}") for c in (0, 1)]), "words")
-
-    def taken(column, discounts):
-        return [F.coalesce(F.sum(F.least(F.col(f"{column}{c}").cast("double"), F.lit(d))), F.lit(0.0)).alias(f"{column}{c}_{i}")
-                for c in (0, 1) for i, d in enumerate(discounts)]
-
-    sums = words.agg(*[F.coalesce(F.sum(f"k{c}"), F.lit(0)).alias(f"k{c}") for c in (0, 1)], *taken("k", WORD_DISCOUNTS)).first()
-    total = np.maximum([sums.k0, sums.k1], 1).astype(float)
-    weight = np.array([[sums[f"k{c}_{i}"] for i in range(len(WORD_DISCOUNTS))] for c in (0, 1)]) / total[:, None]
-
-    many = F.greatest("d0", "d1")
-    chosen = pairs.filter(many > min(PAIR_DISCOUNTS)).orderBy(F.desc(many), "h", "w").limit(MOST_BIGRAMS)
-    ph, pw, d0, d1 = (x.astype(np.int64) for x in _columns(chosen, "h", "w", "d0", "d1"))
-    of = spark.createDataFrame(pa.table({"h": np.unique(ph)})) if len(ph) else pairs.select("h").limit(0)
-    heads = (pairs.join(F.broadcast(of), "h").groupBy("h")
-             .agg(*[F.sum(f"d{c}").alias(f"n{c}") for c in (0, 1)], *taken("d", PAIR_DISCOUNTS)))
-    h, *rest = _columns(heads, "h", "n0", "n1", *[f"d{c}_{i}" for c in (0, 1) for i in range(len(PAIR_DISCOUNTS))])
-    order = np.argsort(h.view(U))
-    rest = [x.astype(float)[order] for x in rest]
-
-    most = F.greatest("k0", "k1")
-    of = spark.createDataFrame(pa.table({"w": np.unique(pw)})) if len(pw) else words.select("w").limit(0)
-    known = words.filter(most > min(WORD_DISCOUNTS)).orderBy(F.desc(most), "w").limit(MOST_WORDS)
-    known = known.unionByName(words.join(F.broadcast(of), "w", "left_semi")).distinct()
+    """The sample's models as sorted tables of evidence: ``words`` with ``word_llr``, ``pairs`` with ``pair_llr``
+    and those of :func:`spelling`."""
+    taught = texts.filter("fold <> 0")
+    pairs = keep(_pair_counts(taught), "pairs")
+    types = keep(_types(taught), "types")
+    grams = _columns(_gram_counts(types), "m", "gram", "ctx", "g0", "g1")
+    model = spelling(grams[0], grams[1].view(U), grams[2].view(U), np.stack(grams[3:]))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            raw, off = utf8(batch.column("word"))
+            yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(spelled(sent.value, raw, off[:-1], np.diff(off)))], ["w", "spell"])
+
+    counts = pairs.groupBy("w").agg(*[F.count_if(F.col(f"d{c}") > 0).alias(f"k{c}") for c in (0, 1)])
     corpus = keep(corpus_counts(docs), "corpus")
-    size = corpus.agg(F.count("*").alias("types"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
-    w, k0, k1, n = _columns(corpus.join(F.broadcast(known), "w"), "w", "k0", "k1", "n")
+    size = corpus.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first().words
+    known = counts.join(types.mapInArrow(run, "w long, spell double").groupBy("w").agg(F.max("spell").alias("spell")), "w").join(corpus, "w")
+    w, k0, k1, n, spell = _columns(known, "w", "k0", "k1", "n", "spell")
     by = np.argsort(w.view(U))
-    w, k = w.view(U)[by], np.stack([k0, k1]).astype(float)[:, by]
-    return {"words": w, "k": k, "total": total, "weight": weight, "shared": (n[by] + 1) / (size.words + size.types),
-            "heads": h.view(U)[order], "n": np.stack(rest[:2]), "taken": np.stack(rest[2:]).reshape(2, len(PAIR_DISCOUNTS), -1),
-            "pair_head": ph.view(U), "pair_word": pw.view(U), "d": np.stack([d0, d1]).astype(float)}
-
-
-def tables(counts: dict[str, np.ndarray], i: int, j: int) -> dict[str, np.ndarray]:
-    """Evidence by the i-th discount of words and the j-th of bigrams: ``words`` with ``word_llr``, ``heads``
-    with ``head_llr`` and ``pairs`` with ``pair_llr``, sorted.  A bigram that its discount takes whole has the
-    evidence of its word and of its head."""
-    own = counts["weight"][:, i, None]
-    weight = own.max()
-    left = np.maximum(counts["k"] - WORD_DISCOUNTS[i], 0) / counts["total"][:, None]
-    p = left * np.where(own < 1, (1 - weight) / np.maximum(1 - own, 1e-12), 0.0) + weight * counts["shared"]
-    # a class without the head hands everything down
-    n = counts["n"]
-    hand = np.where(n > 0, counts["taken"][:, j] / np.maximum(n, 1), 1.0)
-    at, _ = _find(counts["heads"], counts["pair_head"])
-    to, _ = _find(counts["words"], counts["pair_word"])
-    some = (counts["d"] > PAIR_DISCOUNTS[j]).any(axis=0)
-    at, to, d = at[some], to[some], counts["d"][:, some]
-    q = np.maximum(d - PAIR_DISCOUNTS[j], 0) / np.maximum(n[:, at], 1) + hand[:, at] * p[:, to]
-    key = _bigram(counts["pair_head"][some], counts["pair_word"][some])
-    order = np.argsort(key)
-    return {"words": counts["words"], "word_llr": np.log(p[1] / p[0]), "heads": counts["heads"], "head_llr": np.log(hand[1] / hand[0]),
-            "pairs": key[order], "pair_llr": np.log(q[1] / q[0])[order]}
+    w, p = w.view(U)[by], word_model(np.stack([k0, k1])[:, by], n[by], size, spell[by])
+    head, word, d0, d1 = _columns(pairs, "h", "w", "d0", "d1")
+    llr = pair_model(head.view(U), np.stack([d0, d1]), p[:, _find(w, word.view(U))[0]])
+    key = _bigram(head.view(U), word.view(U))
+    by = np.argsort(key)
+    return model | {"words": w, "word_llr": np.log(p[1] / p[0]), "pairs": key[by], "pair_llr": llr[by]}
 
 
 def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,57 +340,81 @@ def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == x
 
 
-def _looked_up(table: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    at, known = _find(table, x)
-    return np.where(known, values[at], 0.0) if len(table) else np.zeros(len(x))
-
-
-def evidence(model: dict[str, np.ndarray], column: pa.Array, windows: tuple[int, ...] = ()) -> np.ndarray:
-    """Per text, the highest mean difference of log-likelihoods in any window of words.
-
-    By the model's own window, or a row for each of ``windows``.
-    """
-    words, wo = word_hashes(column, ALNUM)
-    out = np.zeros((max(1, len(windows)), len(wo) - 1))
-    if len(words):
-        head = _heads(words, wo)
-        llr = _looked_up(model["words"], model["word_llr"], words)
-        if "heads" in model:
-            llr = llr + _looked_up(model["heads"], model["head_llr"], head)
-        at, pair = _find(model["pairs"], _bigram(head, words))
-        if pair.any():
-            llr = np.where(pair, model["pair_llr"][at], llr)
-        run = np.append(0.0, np.cumsum(np.clip(llr, -MOST_EVIDENCE, MOST_EVIDENCE)))
-        # windows that end at each word and begin in the same text
-        end, first = np.arange(1, len(words) + 1), np.repeat(wo[:-1], np.diff(wo))
-        full = np.flatnonzero(np.diff(wo))
-        for i, window in enumerate(windows or (int(model.get("window", 1)),)):
+def evidence(model: dict[str, np.ndarray], column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(difference of the two log-likelihoods of every word of every text, the words, word offsets of the texts)."""
+    raw, off = utf8(column)
+    h, wo, start, length = words(raw, off, ALNUM)
+    if not len(h):
+        return np.zeros(0), h, np.zeros(len(off), np.int64)
+    at, known = _find(model["words"], h)
+    llr = np.where(known, model["word_llr"][at] if len(model["words"]) else 0.0, 0.0)
+    new = np.flatnonzero(~known)
+    if len(new):
+        _, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+        llr[new] = spelled(model, raw, start[new[first]], length[new[first]])[back]
+    at, known = _find(model["pairs"], _bigram(_heads(h, wo), h))
+    if known.any():
+        llr = np.where(known, model["pair_llr"][at], llr)
+    return np.clip(llr, -MOST_EVIDENCE, MOST_EVIDENCE), h, wo
+
+
+def features(model: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
+    """Per text the mean evidence of a word: in the whole text, in the strongest window of each size and of the
+    strongest different words; and the logarithm of its length."""
+    llr, h, wo = evidence(model, column)
+    n = np.diff(wo)
+    out = np.zeros((len(n), 2 + len(WINDOWS) + len(STRONGEST)))
+    if len(llr):
+        full = np.flatnonzero(n)
+        run = np.append(0.0, np.cumsum(llr))
+        out[:, 0] = (run[wo[1:]] - run[wo[:-1]]) / np.maximum(n, WINDOWS[0])
+        row = np.repeat(np.arange(len(n)), n)
+        end, first = np.arange(1, len(llr) + 1), wo[row]
+        for i, window in enumerate(WINDOWS, 1):
             mean = (run[end] - run[np.maximum(end - window, first)]) / window
-            out[i, full] = np.maximum.reduceat(mean, wo[:-1][full])
-    return out if windows else out[0]
-
-
-def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope (not negative) of a weighted logistic fit, by halved Newton steps with a light ridge."""
-    a, b = 0.0, 0.0
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-        g = np.array([(weight * (y - p)).sum(), (weight * (y - p) * x).sum() - 1e-4 * b])
-        s = weight * p * (1 - p)
-        m = np.array([[s.sum() + 1e-6, (s * x).sum()], [(s * x).sum(), (s * x * x).sum() + 1e-4]])
-        step = np.linalg.solve(m, g)
-        here = log_loss(x, y, weight, a, b)
-        while np.abs(step).max() >= 1e-9 and log_loss(x, y, weight, a + step[0], b + step[1]) > here:
+            out[full, i] = np.maximum.reduceat(mean, wo[:-1][full])
+        strong = np.flatnonzero(llr > _STRONG)
+        e, r, w = llr[strong], row[strong], h[strong]
+        by = np.lexsort((-e, w, r))
+        e, r, w = e[by], r[by], w[by]
+        once = np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1])) if len(r) else np.zeros(0, bool)
+        e, r = e[once], r[once]
+        by = np.lexsort((-e, r))
+        e, r = e[by], r[by]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        for i, most in enumerate(STRONGEST, 1 + len(WINDOWS)):
+            out[:, i] = np.bincount(r[rank < most], weights=e[rank < most], minlength=len(n)) / most
+        out[:, -1] = np.log1p(n)
+    return out
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of the features (intercept first): a weighted logistic fit by halved Newton steps, with a ridge on
+    the features in units of their spread."""
+    centre, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    a = np.column_stack([np.ones(len(x)), (x - centre) / spread])
+    ridge = np.append(1e-6, np.full(x.shape[1], RIDGE))
+
+    def loss(b):
+        z = a @ b
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (ridge * b * b).sum()
+
+    b = np.zeros(a.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(ridge), a.T @ (weight * (y - p)) - ridge * b)
+        while np.abs(step).max() > 1e-9 and loss(b + step) > loss(b):
             step = step / 2
-        a, b = a + step[0], b + step[1]
-        if np.abs(step).max() < 1e-9:
+        b = b + step
+        if np.abs(step).max() <= 1e-9:
             break
-    return (float(a), float(b)) if b > 0 else (float(np.log((weight * y).sum() / (weight * (1 - y)).sum())), 0.0)
+    return np.append(b[0] - (b[1:] * centre / spread).sum(), b[1:] / spread)
 
 
-def log_loss(x: np.ndarray, y: np.ndarray, weight: np.ndarray, a: float, b: float) -> float:
-    z = a + b * x
-    return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5e-4 * b * b)
+def probability(model: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
+    x, line = features(model, column), model["line"]
+    x[:, -1] = np.minimum(x[:, -1], model["longest"])  # no claim beyond the lengths of the calibration
+    return 1 / (1 + np.exp(-np.clip(line[0] + x @ line[1:], -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame):
@@ -282,34 +424,27 @@ def train(docs: DataFrame, labels: DataFrame):
     texts = keep(texts, "sample")
     if texts.select("toxic").distinct().count() < 2:
         return None
-    counts = fit(docs, texts)
-    sent = spark.sparkContext.broadcast(counts)
-    grid = list(itertools.product(range(len(WORD_DISCOUNTS)), range(len(PAIR_DISCOUNTS))))
+    model = fit(docs, texts)
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        models = None
         for batch in batches:
             for b in chunks(batch, "text", _PART):
-                models = models or [tables(sent.value, *ij) for ij in grid]
-                x = np.concatenate([evidence(m, b.column("text"), WINDOWS) for m in models])
-                yield pa.RecordBatch.from_arrays([pa.array(list(x.T), pa.list_(pa.float64())), b.column("toxic").cast(pa.int64())], ["x", "toxic"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(features(sent.value, b.column("text"))), pa.list_(pa.float64())), b.column("toxic").cast(pa.int64())], ["x", "toxic"])
 
     rows = texts.filter("fold = 0").select("text", "toxic").mapInArrow(run, "x array<double>, toxic long").collect()
     y = np.array([r.toxic for r in rows], float)
-    if len(set(y)) < 2:
-        best, line = len(grid) * len(WINDOWS) - 1, (-1.0, 1.0)
-    else:
+    line = np.zeros(3 + len(WINDOWS) + len(STRONGEST))  # too few labels to calibrate by
+    line[[0, 1 + len(WINDOWS) + 1]] = -6.0, 1.5
+    longest = max((r.x[-1] for r in rows), default=0.0)
+    if len(set(y)) == 2:
         x = np.array([r.x for r in rows], float)
         order = np.lexsort((*x.T, y))
         x, y = x[order], y[order]
         share = {c: totals[c] / max(1, (y == c).sum()) for c in (0, 1)}
         weight = np.where(y == 1, share[1], share[0])
-        weight = weight * len(y) / weight.sum()
-        lines = [calibrate(column, y, weight) for column in x.T]
-        best = int(np.argmin([round(log_loss(column, y, weight, *ab), 9) for column, ab in zip(x.T, lines)]))
-        line = lines[best]
-    model = tables(counts, *grid[best // len(WINDOWS)]) | {"window": np.array(WINDOWS[best % len(WINDOWS)]), "line": np.array(line)}
-    return spark.sparkContext.broadcast(model)
+        line = calibrate(x, y, weight * len(y) / weight.sum())
+    return spark.sparkContext.broadcast(model | {"line": line, "longest": np.array(longest)})
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -321,11 +456,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def run(batches):
-        m = model.value
-        a, b = m["line"]
         for batch in batches:
             for part in chunks(batch, "text", _PART):
-                p = 1 / (1 + np.exp(-np.clip(a + b * evidence(m, part.column("text")), -30, 30)))
+                p = probability(model.value, part.column("text"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
 
     kept = docs.select(*names)
@@ -341,11 +474,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         rows = rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     else:
         def run(batches):
-            m = model.value
-            a, b = m["line"]
             for batch in batches:
                 for part in chunks(batch, "text", _PART):
-                    p = 1 / (1 + np.exp(-np.clip(a + b * evidence(m, part.column("text")), -30, 30)))
+                    p = probability(model.value, part.column("text"))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))],
                                                      ["doc_id", "score", "predicted"])
         rows = rows.mapInArrow(run, "doc_id long, score double, predicted int")

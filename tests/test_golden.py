@@ -9,7 +9,6 @@ from tonegauge.functions import text as tx
 from tonegauge.functions.scorers import mtld_value
 from tonegauge.operators import metrics as M
 from tonegauge.operators import probe as P
-from tonegauge.operators.flow import bleu_value
 
 G = ["reading_difficulty", "textual_diversity", "text_length", "formality"]
 N = None
@@ -92,15 +91,31 @@ def test_mtld_udf_matches_fold(spark):
     assert mtld_value([]) == 0.0
 
 
-def test_bleu_brute_force():
-    cand = "the cat is on the mat".split()
-    ref = "the cat sat on the mat".split()
-    # brute force: clipped n-gram precisions, method-1 smoothing, brevity penalty 1
+def bleu_brute(cand, ref):
+    """Clipped n-gram precisions, method-1 smoothing, brevity penalty, by counting."""
     p = []
     for n in range(1, 5):
         cg = [tuple(cand[i:i + n]) for i in range(len(cand) - n + 1)]
         rg = [tuple(ref[i:i + n]) for i in range(len(ref) - n + 1)]
         m = sum(min(cg.count(g), rg.count(g)) for g in set(cg))
+        if n == 1 and m == 0:
+            return 0.0
         p.append((m if m else 0.1) / max(1, len(cg)))
-    want = math.exp(sum(0.25 * math.log(x) for x in p))
-    assert bleu_value(cand, ref) == pytest.approx(want)
+    return math.exp(sum(0.25 * math.log(x) for x in p)) * (1 if len(cand) > len(ref) else math.exp(1 - len(ref) / len(cand)))
+
+
+def test_bleu_brute_force(spark):
+    from tonegauge.operators.flow import bleu_by_source, with_bleu
+    pairs = [("the cat is on the mat", "the cat sat on the mat"), ("a a a a", "a"), ("a", "a b c"), ("x y", "z"), ("", "a"), ("a", ""), ("a b c d e", "a b c d e"), ("the the cat", "the cat the the")]
+    rows = [(i, c, r, "s") for i, (c, r) in enumerate(pairs)] * 2 + [(90, None, "a", "s"), (91, "a", None, "t")]
+    df = spark.createDataFrame(rows, "i INT, llm_response STRING, text STRING, source STRING")
+    out = with_bleu(df)
+    got = [(r.i, r.bleu) for r in out.collect()]
+    assert len(got) == len(rows) and {i for i, b in got if b is None} == {90, 91}
+    for i, b in got:
+        if b is not None:
+            assert b == pytest.approx(bleu_brute(*(t.split() for t in pairs[i])), abs=1e-12), pairs[i]
+    by = {r.source: (r.mean_bleu, r.n) for r in bleu_by_source(out).collect()}
+    assert by["t"] == (None, 1) and by["all"][1] == len(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonegauge.functions import text as tx
@@ -97,46 +93,52 @@ def pairwise_fields(df: DataFrame, goals: list[str], n: int = 20, mode: str = "m
 # --------------------------------------------------------------------------------------------
 # M1 sentence BLEU
 
-def _clipped_counts(cand, ref, max_n=4):
-    out = []
-    for n in range(1, max_n + 1):
-        c = Counter(tuple(cand[i:i + n]) for i in range(len(cand) - n + 1))
-        r = Counter(tuple(ref[i:i + n]) for i in range(len(ref) - n + 1))
-        out.append(sum(min(k, r[g]) for g, k in c.items()))
-        out.append(max(1, len(cand) - n + 1))
-    return out
-
-
-def bleu_value(cand: list, ref: list, eps: float = 0.1) -> float:
-    """Sentence BLEU-4 with uniform weights, method-1 smoothing (a zero count becomes eps /
-    denominator), brevity penalty; 0 when no unigram matches."""
-    if len(cand) == 0:
-        return 0.0
-    cnt = _clipped_counts(cand, ref)
-    if cnt[0] == 0:
-        return 0.0
-    logs = 0.0
-    for n in range(4):
-        num, den = cnt[2 * n], cnt[2 * n + 1]
-        p = (num if num > 0 else eps) / den
-        logs += 0.25 * math.log(p)
-    c, r = len(cand), len(ref)
-    bp = 1.0 if c > r else math.exp(1 - r / c)
-    return bp * math.exp(logs)
-
-
-def _bleu_udf():
-    @F.pandas_udf("double")
-    def bleu(cand: pd.Series, ref: pd.Series) -> pd.Series:
-        return pd.Series([bleu_value(list(a), list(b)) if a is not None and b is not None else None for a, b in zip(cand, ref)])
-
-    return bleu
+def _grams(h: Column, top: int) -> Column:
+    """(n, g) of every n-gram of the token hashes ``h``; ``g`` is a 64-bit hash (one text has far too few for two to meet)."""
+    def of(n: int) -> Column:
+        starts = F.when(F.size(h) >= n, F.sequence(F.lit(1), F.size(h) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(*[F.element_at(h, i + k) for k in range(n)]).alias("g")))
+
+    return F.concat(*[of(n) for n in range(1, top + 1)])
+
+
+def pair_bleu(pairs: DataFrame, key: list[str], cand: str, ref: str, top: int = 4, eps: float = 0.1) -> DataFrame:
+    """(key, bleu): sentence BLEU of each pair of texts, as a multiset intersection.
+
+    The n-grams of both sides become rows (key, n, gram) with a count a side; the smaller count is what matches.  The
+    texts are dealt by ``key`` once, and all aggregates below keep that dealing: one shuffle, of the texts.
+    Uniform weights, method-1 smoothing (a zero count becomes eps), brevity penalty; 0 when no token matches, null when
+    a text is null.  ``key`` is not null; rows with equal keys hold equal texts and count once.
+    """
+    # the session's number of partitions: few bytes of text are many n-grams
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.filter(F.col(cand).isNotNull() & F.col(ref).isNotNull()).select(*key, F.col(cand).alias("_c"), F.col(ref).alias("_r")).repartition(parts, *key).dropDuplicates(key)
+    # the generator fixes the hashes: an expression inside the lambdas below would be evaluated once an n-gram
+    hashed = [F.struct(F.lit(c).alias("c"), F.transform(tx.tokens(F.col(t)), lambda x: F.xxhash64(x)).alias("t")) for c, t in ((1, "_c"), (0, "_r"))]
+    sides = rows.select(*key, F.explode(F.array(*hashed)).alias("s"))
+    # an entry of order 0 counts the tokens, so that texts without any stay
+    sized = F.concat(F.array(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("g"))), _grams(F.col("s.t"), top))
+    grams = sides.select(*key, F.col("s.c").alias("c"), F.size("s.t").alias("size"), F.explode(sized).alias("x"))
+    counted = grams.groupBy(*key, "x.n", "x.g").agg(F.sum("c").alias("cand"), F.sum(1 - F.col("c")).alias("ref"),
+                                                   F.max(F.when(F.col("c") == 1, F.col("size"))).alias("cs"), F.max(F.when(F.col("c") == 0, F.col("size"))).alias("rs"))
+    by = counted.groupBy(*key, "n").agg(F.sum(F.least("cand", "ref")).alias("hit"), F.max("cs").alias("cs"), F.max("rs").alias("rs"))
+    num = {n: F.coalesce(F.max(F.when(F.col("n") == n, F.col("hit"))), F.lit(0)) for n in range(1, top + 1)}
+    row = by.groupBy(*key).agg(*[v.alias(f"_h{n}") for n, v in num.items()], F.max("cs").alias("_cs"), F.max("rs").alias("_rs"))
+    logs = None
+    for n in range(1, top + 1):
+        p = F.when(F.col(f"_h{n}") > 0, F.col(f"_h{n}").cast("double")).otherwise(F.lit(eps)) / F.greatest(F.lit(1), F.col("_cs") - (n - 1))
+        logs = F.log(p) / top if logs is None else logs + F.log(p) / top
+    brief = F.when(F.col("_cs") > F.col("_rs"), 1.0).otherwise(F.exp(1 - F.col("_rs") / F.greatest(F.col("_cs"), F.lit(1))))
+    return row.select(*key, F.when(F.col("_h1") > 0, brief * F.exp(logs)).otherwise(0.0).alias("bleu"))
 
 
 def with_bleu(df: DataFrame, cand: str = "llm_response", ref: str = "text") -> DataFrame:
-    """M1 per row: both texts tokenised in the JVM (C4 tokens); the n-gram clipping of one pair is
-    local to the row, so it runs in an Arrow-batched UDF with no shuffle."""
-    return df.withColumn("bleu", _bleu_udf()(tx.tokens(F.col(cand)), tx.tokens(F.col(ref))))
+    """M1 per row: ``bleu`` of ``cand`` against ``ref`` (C4 tokens), null when either is null.
+
+    Rows with equal texts share one computation: a pair is known by two hashes of both texts (128 bits), and
+    the result comes back to the rows by that key."""
+    keyed = df.withColumns({"_p1": F.xxhash64(cand, ref), "_p2": F.xxhash64(F.lit(1), ref, cand)})
+    return keyed.join(pair_bleu(keyed, ["_p1", "_p2"], cand, ref), ["_p1", "_p2"], "left").drop("_p1", "_p2")
 
 
 def bleu_by_source(df: DataFrame, source: str = "source") -> DataFrame:

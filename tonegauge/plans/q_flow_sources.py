@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tonegauge.functions import text as tx
@@ -10,6 +12,7 @@ from tonegauge.operators import metrics as M
 from tonegauge.operators import probe as P
 from tonegauge.plans import fixtures as X
 from tonegauge.plans.registry import query, rounded
+from tonegauge.session import checkpoint_dir
 from tonegauge.sources import tables as TB
 
 G = X.GOALS
@@ -138,6 +141,21 @@ def a2_a3_collect_datasets(spark, sf):
     return seed.select("source", F.md5("text").alias("text_md5"))
 
 
+VERSIONS = [{"name": "docs", "version": v, "split": s, "feature_col": "text"} for v, s in (("1.1", "train"), ("1.10", "test"), ("2", "train"), ("2", "absent"))]
+
+
+@query("a2_versions", "SELECT 'Dataset: docs/' || CASE doc_id % 3 WHEN 0 THEN '1.1' WHEN 1 THEN '1.10' ELSE '2' END || '/' || "
+       "CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS source, md5(text) AS text_md5 FROM documents "
+       "WHERE (doc_id % 3 = 0 AND doc_id % 5 <> 0) OR (doc_id % 3 = 1 AND doc_id % 5 = 0) OR (doc_id % 3 = 2 AND doc_id % 5 <> 0)")
+def a2_versions(spark, sf):
+    """A2 / A3: datasets by version and split, pruned by folder; the split that does not exist is skipped."""
+    base = f"{checkpoint_dir(spark)}/datasets-{uuid.uuid4().hex}"
+    version = F.when(F.col("doc_id") % 3 == 0, "1.1").when(F.col("doc_id") % 3 == 1, "1.10").otherwise("2")
+    docs = X.read(spark, sf, "documents").select("text", version.alias("version"), F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split"))
+    docs.write.partitionBy("version", "split").parquet(f"{base}/docs.parquet")
+    return TB.collect_datasets(spark, base, VERSIONS).select("source", F.md5("text").alias("text_md5"))
+
+
 @query("b1_filter_counts", "SELECT count(*) AS n_in, count(*) FILTER (WHERE lang = 'en') AS n_after_lang, "
        "count(*) FILTER (WHERE lang = 'en' AND source = 'src1') AS n_after_source FROM documents")
 def b1_filter_counts(spark, sf):

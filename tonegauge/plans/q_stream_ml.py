@@ -31,6 +31,20 @@ def s2_stream_dedup(spark, sf):
     return rounded(ST.dedup_stream(spark, ST.text_stream(spark, sf), G))
 
 
+@query("s2_arrivals", "SELECT DISTINCT sha256(text) AS text_key, " + ", ".join(f"round({S.REGISTRY.sql(g)('text')}, 6) AS {g}" for g in G)
+       + " FROM documents WHERE doc_id IN (SELECT user_id FROM events)")
+def s2_arrivals(spark, sf):
+    """S2 over arrivals: every event asks for the text of its user's document again; each text is scored once."""
+    texts = X.read(spark, sf, "documents").select(F.col("doc_id").alias("user_id"), "text")
+    return rounded(ST.dedup_stream(spark, ST.event_stream(spark, sf).join(texts, "user_id"), G))
+
+
+@query("s2_drop_repeats", "SELECT DISTINCT user_id, event_type FROM events")
+def s2_drop_repeats(spark, sf):
+    """S2 by state: the first event of each user and type, repeats dropped within a watermark of 60 days."""
+    return ST.drop_repeats(spark, ST.event_stream(spark, sf), ["user_id", "event_type"], "ts", "60 days").select("user_id", "event_type")
+
+
 def _newton_sql(d: int, steps: int) -> list[tuple[str, str]]:
     """The fit as a chain of Newton steps: one aggregate a step, then Gaussian elimination column by column."""
     out = [("n0", "SELECT " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(d + 1)))]

@@ -52,27 +52,54 @@ def written(spark: SparkSession, path: str) -> bool:
     return exists(spark, os.path.join(path, "_SUCCESS"))
 
 
+def write_dataset(df: DataFrame, base: str, name: str, version: str, split: str) -> None:
+    """A2: one version and split of a dataset, a folder ``version=.../split=...`` of its table; others are left alone."""
+    df.write.mode("overwrite").parquet(os.path.join(base, f"{name}.parquet", f"version={version}", f"split={split}"))
+
+
+def read_dataset(spark: SparkSession, base: str, name: str, version: str | None = None, split: str | None = None) -> DataFrame | None:
+    """A2: a dataset by name, and by version and split where they are asked for; None if there is no such one.
+
+    Version and split are partition columns, kept as text (``1.10`` is not ``1.1``): the filter prunes
+    folders before anything is read.  A table without such folders has no versions."""
+    path = os.path.join(base, f"{name}.parquet")
+    if not exists(spark, path):
+        return None
+    df = spark.read.parquet(path)
+    wanted = {c: v for c, v in (("version", version), ("split", split)) if v is not None}
+    if not wanted:
+        return df
+    if not set(wanted) <= set(df.columns):
+        return None
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ("version", "split") else f for f in df.schema.fields])
+    df = spark.read.schema(schema).parquet(path)
+    for c, v in wanted.items():
+        df = df.filter(F.col(c) == v)
+    return None if df.isEmpty() else df
+
+
 def collect_datasets(spark: SparkSession, base: str, configs: list[dict], reload: list[str] | None = None,
                      checkpoint_dir: str | None = None) -> DataFrame:
     """A3: process every configured dataset and union them by name with a ``source`` label.
 
     With ``checkpoint_dir`` each processed dataset is written once as Parquet and reused unless
     its name is in ``reload`` (the per-dataset phase checkpoint of the original); a dataset
-    whose table does not exist is skipped; any other failure is raised, and so is finding none."""
+    whose table, version or split does not exist is skipped; any other failure is raised, and so is finding none."""
     from tonegauge.operators.seed import process_dataset
     parts = []
     for cfg in configs:
         name = cfg["name"]
         label = describe_dataset(name, cfg.get("version"), cfg.get("split"))
-        target = os.path.join(checkpoint_dir, f"_intermediate_{name.replace('/', '_')}") if checkpoint_dir else None
-        table = os.path.join(base, f"{name}.parquet")
+        kept = "_".join(x for x in (name, cfg.get("version"), cfg.get("split")) if x).replace("/", "_")
+        target = os.path.join(checkpoint_dir, f"_intermediate_{kept}") if checkpoint_dir else None
         done = target and name not in (reload or []) and written(spark, target)
-        if not done and not exists(spark, table):
-            print(f"skipping dataset {name}: no table {table}")
+        table = None if done else read_dataset(spark, base, name, cfg.get("version"), cfg.get("split"))
+        if not done and table is None:
+            print(f"skipping dataset {name}: there is no {label} under {base}")
             continue
 
         def compute(table=table, cfg=cfg, label=label):
-            part = process_dataset(spark.read.parquet(table), cfg["feature_col"], cfg.get("filters"), **cfg.get("kwargs", {}))
+            part = process_dataset(table, cfg["feature_col"], cfg.get("filters"), **cfg.get("kwargs", {}))
             return part.withColumn("source", F.lit(label))
 
         part = phase(spark, target, compute, redo=not done) if target else compute()

@@ -20,10 +20,23 @@ def test_quantiles_match_numpy(spark):
 
 
 def test_grouped_quantiles(spark):
+    from tonegauge.operators.ordered import group_quantiles
     rows = [("a", float(i)) for i in range(1001)] + [("b", float(i % 7)) for i in range(50)]
-    st = Q.describe_by(spark.createDataFrame(rows, "g STRING, v DOUBLE"), "g", "v", (0.5,))
-    assert st["a"]["quantiles"][0] == 500.0
-    assert st["b"]["quantiles"][0] == float(np.percentile([i % 7 for i in range(50)], 50))
+    st = {r.g: r.q for r in group_quantiles(spark.createDataFrame(rows, "g STRING, v DOUBLE"), ["g"], "v", (0.5,)).collect()}
+    assert st["a"][0] == 500.0
+    assert st["b"][0] == float(np.percentile([i % 7 for i in range(50)], 50))
+
+
+@pytest.mark.parametrize("margin", [0.004, 0.0, 0.6])
+def test_quantiles_of_extremes_and_missed_brackets(spark, monkeypatch, margin):
+    """A bracket that misses its rank is widened: the values do not depend on the sketch."""
+    monkeypatch.setattr(Q, "MARGIN", margin)
+    rng = np.random.default_rng(3)
+    vals = np.concatenate([rng.normal(size=3000), rng.normal(size=50) * 1e300, [np.inf] * 5, [-np.inf] * 5, np.zeros(40), [5e-324, 1.7e308, -1.7e308]])
+    df = spark.createDataFrame([(float(v),) for v in vals], "v0 DOUBLE").repartition(5)
+    ranks = {0, 4, 5, 6, 700, 1550, 1551, 2500, len(vals) - 6, len(vals) - 5, len(vals) - 1}
+    got = Q.order_statistics(df, ["v0"], {"v0": ranks}, {"v0": {"n": len(vals), "min": -np.inf, "max": np.inf}})
+    assert {r: got["v0", r] for r in ranks} == {r: float(np.sort(vals)[r]) for r in ranks}
 
 
 def test_split_exact_and_partition_invariant(spark):

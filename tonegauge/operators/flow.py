@@ -66,6 +66,41 @@ def field(vec: DataFrame, n: int = 51, group_cols: tuple[str, ...] = ()) -> Data
     return agg.select(*group_cols, "gx", "gy", x.alias("x"), y.alias("y"), "u", "v", "n")
 
 
+def idw_field(vec: DataFrame, n: int = 51, radius: int = 2, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """L5 by inverse-distance weighting: the field at each node of the ``n x n`` grid over the observed range, from
+    the arrows within ``radius`` cells of it, weighted by 1 / distance squared; arrows exactly on a node decide
+    alone.  Nodes without an arrow so near are dropped.
+
+    An arrow adds to at most ``(2 radius + 1) ** 2`` nodes around it, and the sums combine on the map side: the
+    work is the arrows times a constant, not times the grid, and what is shuffled is bounded by the grid.
+    """
+    b = vec.groupBy(*group_cols).agg(F.min("x1").alias("x1_min"), F.max("x1").alias("x1_max"),
+                                     F.min("x2").alias("x2_min"), F.max("x2").alias("x2_max"))
+    j = vec.join(F.broadcast(b), list(group_cols)) if group_cols else vec.crossJoin(F.broadcast(b))
+
+    def place(x: str) -> Column:
+        span = F.col(f"{x}_max") - F.col(f"{x}_min")
+        return F.when(span > 0, (F.col(x) - F.col(f"{x}_min")) / span * F.lit(n - 1)).otherwise(F.lit(0.0))
+
+    j = j.withColumns({"fx": place("x1"), "fy": place("x2")})
+
+    def nodes(f: str) -> Column:
+        at = F.round(f).cast("int")
+        return F.sequence(F.greatest(at - radius, F.lit(0)), F.least(at + radius, F.lit(n - 1)))
+
+    j = j.withColumn("gx", F.explode(nodes("fx"))).withColumn("gy", F.explode(nodes("fy")))
+    d2 = (F.col("fx") - F.col("gx")) * (F.col("fx") - F.col("gx")) + (F.col("fy") - F.col("gy")) * (F.col("fy") - F.col("gy"))
+    j = j.withColumn("d2", d2).filter(F.col("d2") <= float(radius * radius)).withColumn("w", F.when(F.col("d2") > 0, F.lit(1.0) / F.col("d2")))
+    on = F.col("d2") == 0
+    first = [F.first(c).alias(c) for c in ("x1_min", "x1_max", "x2_min", "x2_max")]
+    agg = j.groupBy(*group_cols, "gx", "gy").agg(
+        *first, F.count("*").alias("n"), F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(c)).alias(f"w{c}") for c in "uv"],
+        *[F.avg(F.when(on, F.col(c))).alias(f"on_{c}") for c in "uv"])
+    x = F.col("x1_min") + F.col("gx") * (F.col("x1_max") - F.col("x1_min")) / F.lit(n - 1)
+    y = F.col("x2_min") + F.col("gy") * (F.col("x2_max") - F.col("x2_min")) / F.lit(n - 1)
+    return agg.select(*group_cols, "gx", "gy", x.alias("x"), y.alias("y"), *[F.coalesce(f"on_{c}", F.col(f"w{c}") / F.col("w")).alias(c) for c in "uv"], "n")
+
+
 def scaled(fld: DataFrame, factor: float = 1.5) -> DataFrame:
     """Arrows x1.5, their magnitude, and the field's maximum magnitude (broadcast scalar)."""
     s = fld.withColumns({"u": F.col("u") * factor, "v": F.col("v") * factor}).withColumn("magnitude", F.hypot("u", "v"))

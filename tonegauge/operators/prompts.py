@@ -192,16 +192,34 @@ def instruction_for(strategy: str, goals: list[str], key_cols: list[str], seed:
     if strategy == "null":
         return null_instruction(no_explain, disambig)
     if strategy in ("direct+inst", "instruct"):
-        raise ValueError(f"{strategy} needs an instruction database: use with_sampled_instructions")
+        raise ValueError(f"{strategy} needs an instruction database: use with_instructions")
     raise ValueError(f"{strategy} is not an implemented instruction generator.")
 
 
+#: strategies that draw from an instruction database, and the prompt that the draws are appended to
+DATABASE_STRATEGIES = {"direct+inst": lambda goals, key_cols, seed: direct_instruction(goals, key_cols, seed, no_explain=False),
+                       "instruct": lambda goals, key_cols, seed: null_instruction(no_explain=False)}
+
+
+def with_instructions(df: DataFrame, strategy: str, goals: list[str], key_cols: list[str], seed: int = 42, no_explain: bool = True, disambig: bool = False,
+                      database: DataFrame | None = None, k: int = 3, missing: str = "raise") -> DataFrame:
+    """``df`` with ``instructions`` by any strategy, those with a database included; unknown names raise.
+
+    ``direct+inst`` appends up to ``k`` draws to the direct prompt (G6), ``instruct`` to the bare request (G5);
+    both need ``database`` and follow ``missing`` for rows whose deltas it lacks."""
+    if strategy not in DATABASE_STRATEGIES:
+        return df.withColumn("instructions", instruction_for(strategy, goals, key_cols, seed, no_explain, disambig))
+    if database is None:
+        raise ValueError(f"{strategy} needs an instruction database")
+    return with_sampled_instructions(df, database, goals, key_cols, DATABASE_STRATEGIES[strategy](goals, key_cols, seed), k, seed, missing)
+
+
 def prompt_columns(df: DataFrame, goals: list[str], key_cols: list[str], model_name: str, strategy: str = "direct",
-                   seed: int = 42, disambig: bool = True, chat: bool = False, text_col: str = "text") -> DataFrame:
+                   seed: int = 42, disambig: bool = True, chat: bool = False, text_col: str = "text", database: DataFrame | None = None) -> DataFrame:
     """B7 target fill, ``instructions``, ``prompt`` = instructions + blank line + text (C12),
     optionally chat-wrapped (C11), and ``model_name``."""
     from tonegauge.operators.metrics import fill_targets
-    out = fill_targets(df, goals).withColumn("instructions", instruction_for(strategy, goals, key_cols, seed, True, disambig))
+    out = with_instructions(fill_targets(df, goals), strategy, goals, key_cols, seed, True, disambig, database)
     prompt = tx.assemble_prompt(F.col("instructions"), F.col(text_col))
     out = out.withColumn("prompt", tx.wrap_chat(prompt) if chat else prompt)
     return out.withColumn("model_name", F.lit(model_name))

@@ -1,23 +1,25 @@
-"""Exact global quantiles without gathering a column into one task.
+"""Exact global quantiles without gathering a column into one task or the driver.
 
 Spark's exact ``percentile`` merges every distinct value of the column into one buffer in one
 task; ``percentile_approx`` is bounded but inexact.  The goal ranges (E1) and the summaries
 (H10) need exact order statistics that agree with NumPy / DuckDB linear interpolation, on
-inputs of any size, so we select order statistics by histogram refinement:
+inputs of any size, so a sketch guesses where a rank lies and exact counts confirm it:
 
 1. one pass: ``count, min, max`` (plus mean / population std for summaries) per column;
-2. per wanted rank, keep a value bracket ``[lo, hi]`` and the number of values below it; one
-   pass buckets only the values inside open brackets into ``BUCKETS`` equal-width buckets and
-   aggregates ``(target, bucket) -> count, min, max`` with map-side combine; the driver sees at
-   most ``targets x BUCKETS`` rows and narrows each bracket to the bucket holding its rank;
-3. once a bracket holds at most ``SMALL`` values (or a single distinct value) one pass gathers
-   those few values and the rank is read off directly.
-
-Each pass is a scan with a tiny aggregate; typical inputs finish in three passes.  Bracket ends
-are values of the column and fall in different buckets, so every pass narrows a bracket; a pass
-divides its width by ``BUCKETS``, which bounds the passes for any doubles.  NaN counts as null.
-The
-narrow projection is persisted (MEMORY_AND_DISK) for the passes and released after.
+2. one pass merges a KLL sketch per column; its quantiles a little below and above each wanted rank
+   bracket the rank's value;
+3. one pass counts the values below each bracket; a bracket that misses its rank is widened to the
+   whole column (the sketch's error is only likely, not certain);
+4. each further pass deals the values inside open brackets to ``BUCKETS`` equal-width buckets,
+   ``(target, bucket) -> count, min, max`` with map-side combine, and narrows each bracket to the
+   bucket holding its rank, until that holds one distinct value.
+
+The driver sees ``targets x BUCKETS`` rows a pass and never a value of its own choice; only values inside
+brackets (under one in a hundred rows) are dealt to buckets.  Bracket ends are values of the column and fall
+in different buckets, so every pass narrows a bracket, and divides its width by ``BUCKETS``, which bounds the
+passes for any doubles.  NaN counts as null.  For quantiles of many groups see
+:func:`ordered.group_quantiles`.  The narrow projection is persisted (MEMORY_AND_DISK) for the passes and
+released after.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
-SMALL = 4096
+#: size of the sketches, and how far from a wanted rank the bracket's ends are looked for (share of the values)
+SKETCH, MARGIN = 2048, 0.004
 LARGEST = sys.float_info.max
 
 
@@ -60,6 +63,28 @@ def _number(c: str) -> Column:
     return F.when(~F.isnan(v), v)
 
 
+def _brackets(df: DataFrame, columns: list[str], open_t: dict, stats: dict[str, dict]) -> None:
+    """Narrows the open targets to brackets from sketches, with the exact number of values below."""
+    idx = {c: i for i, c in enumerate(columns)}
+    keys = list(open_t)
+    guesses = []
+    for t, (c, r) in enumerate(keys):
+        n = stats[c]["n"]
+        sketch = F.kll_sketch_agg_double(F.col(f"v{idx[c]}"), F.lit(SKETCH))
+        for end, at in (("lo", max(0.0, (r + 0.5) / n - MARGIN)), ("hi", min(1.0, (r + 0.5) / n + MARGIN))):
+            guesses.append(F.kll_sketch_get_quantile_double(sketch, F.lit(at)).alias(f"{end}{t}"))
+    row = df.agg(*guesses).first()
+    ends = {k: (row[f"lo{t}"], row[f"hi{t}"]) for t, k in enumerate(keys)}
+    counts = []
+    for t, k in enumerate(keys):
+        v = F.col(f"v{idx[k[0]]}")
+        counts += [F.count_if(v < F.lit(ends[k][0])).alias(f"b{t}"), F.count_if((v >= F.lit(ends[k][0])) & (v <= F.lit(ends[k][1]))).alias(f"n{t}")]
+    row = df.agg(*counts).first()
+    for t, k in enumerate(keys):
+        if row[f"b{t}"] <= k[1] < row[f"b{t}"] + row[f"n{t}"]:
+            open_t[k] = [*k, *ends[k], row[f"b{t}"]]
+
+
 def order_statistics(df: DataFrame, columns: list[str], ranks: dict[str, set[int]],
                      stats: dict[str, dict]) -> dict[tuple[str, int], float]:
     """Values at 0-based ``ranks`` (ascending, nulls excluded) of each column."""
@@ -73,39 +98,17 @@ def order_statistics(df: DataFrame, columns: list[str], ranks: dict[str, set[int
             if st["min"] == st["max"]:
                 found[(c, r)] = st["min"]
             else:
-                open_t[(c, r)] = [c, r, st["min"], st["max"], 0, st["n"]]
+                open_t[(c, r)] = [c, r, st["min"], st["max"], 0]
+    if open_t:
+        _brackets(df, columns, open_t, stats)
     while open_t:
         keys = list(open_t)
-        small = {k for k in keys if open_t[k][5] <= SMALL}
-        if small:
-            # gather the few values inside each small bracket
-            structs = []
-            for t, k in enumerate(keys):
-                if k not in small:
-                    continue
-                c, r, lo, hi, below, cnt = open_t[k]
-                v = F.col(f"v{idx[c]}")
-                structs.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)),
-                                      F.struct(F.lit(t).alias("t"), v.alias("v"))))
-            rows = (df.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
-                    .select("s.t", "s.v").collect())
-            got: dict[int, list[float]] = {}
-            for row in rows:
-                got.setdefault(row["t"], []).append(row["v"])
-            for t, k in enumerate(keys):
-                if k not in small:
-                    continue
-                c, r, lo, hi, below, cnt = open_t.pop(k)
-                vals = sorted(got.get(t, []))
-                found[k] = vals[r - below]
-            continue
         structs = []
         for t, k in enumerate(keys):
-            c, r, lo, hi, below, cnt = open_t[k]
+            c, _, lo, hi, _ = open_t[k]
             v = F.col(f"v{idx[c]}")
-            b = _bucket(v, lo, hi)
             structs.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)),
-                                  F.struct(F.lit(t).alias("t"), b.alias("b"), v.alias("v"))))
+                                  F.struct(F.lit(t).alias("t"), _bucket(v, lo, hi).alias("b"), v.alias("v"))))
         hist = (df.select(F.explode(F.filter(F.array(*structs), lambda s: s.isNotNull())).alias("s"))
                 .groupBy("s.t", "s.b")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("s.v").alias("mn"), F.max("s.v").alias("mx"))
@@ -114,15 +117,14 @@ def order_statistics(df: DataFrame, columns: list[str], ranks: dict[str, set[int
         for row in hist:
             by_t.setdefault(row["t"], []).append((row["b"], row["n"], row["mn"], row["mx"]))
         for t, k in enumerate(keys):
-            c, r, lo, hi, below, cnt = open_t[k]
-            acc = below
+            c, r, lo, hi, acc = open_t[k]
             for b, n, mn, mx in sorted(by_t.get(t, [])):
                 if acc + n > r:
                     if mn == mx:
                         found[k] = mn
                         open_t.pop(k)
                     else:
-                        open_t[k] = [c, r, mn, mx, acc, n]
+                        open_t[k] = [c, r, mn, mx, acc]
                     break
                 acc += n
             else:  # pragma: no cover - rank always inside the bracket
@@ -181,36 +183,3 @@ def describe(df: DataFrame, columns: list[str], probs: tuple[float, ...] = (0.25
 def quantiles(df: DataFrame, columns: list[str], probs: tuple[float, ...]) -> dict[str, list]:
     st = describe(df, columns, probs, moments=False)
     return {c: st[c]["quantiles"] for c in columns}
-
-
-def describe_by(df: DataFrame, group: str, value: str, probs: tuple[float, ...] = (0.25, 0.5, 0.75)) -> dict:
-    """Exact per-group quantiles of ``value`` for a modest number of groups (runs, metrics).
-
-    The group keys and per-group counts come from one grouped aggregate; the order statistics
-    are then selected for all groups at once with the same histogram refinement, so no group's
-    values are ever gathered into one task, however large the group.
-    """
-    narrow = df.select(F.col(group).cast("string").alias("g"), _number(value).alias("v"))
-    narrow = narrow.filter(F.col("v").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        rows = narrow.groupBy("g").agg(F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
-                                       F.avg("v").alias("avg"), F.stddev_pop("v").alias("sd")).collect()
-        keys = sorted(r["g"] for r in rows)
-        info = {r["g"]: r for r in rows}
-        # one virtual column per group: the value where the row belongs to it, else null
-        wide = narrow.select(*[F.when(F.col("g") == F.lit(k), F.col("v")).alias(f"v{i}") for i, k in enumerate(keys)])
-        stats = {k: {"n": info[k]["n"], "min": info[k]["mn"], "max": info[k]["mx"]} for k in keys}
-        plan = {k: _rank_targets(stats[k]["n"], list(probs)) for k in keys}
-        ranks = {k: {r for _, lo, hi in plan[k] for r in (lo, hi)} for k in keys}
-        found = order_statistics(wide, keys, ranks, stats)
-        out = {}
-        for k in keys:
-            qs = []
-            for h, lo, hi in plan[k]:
-                a = found[(k, lo)]
-                qs.append(a if hi == lo else a + (h - lo) * (found[(k, hi)] - a))
-            out[k] = {"n": info[k]["n"], "min": info[k]["mn"], "max": info[k]["mx"], "mean": info[k]["avg"],
-                      "std": info[k]["sd"], "quantiles": qs}
-        return out
-    finally:
-        narrow.unpersist()

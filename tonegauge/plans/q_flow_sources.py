@@ -75,6 +75,26 @@ def l4_l5_l6_field(spark, sf):
     return rounded(FL.scaled(fld).select("gx", "gy", "x", "y", "u", "v", "n", "magnitude", "max_magnitude"))
 
 
+def _idw_sql(n=51, r=2):
+    place = lambda x: f"(CASE WHEN {x}_max - {x}_min > 0 THEN ({x} - {x}_min) / ({x}_max - {x}_min) * {n - 1} ELSE 0.0 END)"
+    off = f"SELECT unnest(range({-r}, {r + 1}))"
+    return _sub_sql(unspecified=False) + [
+        ("ib", "SELECT min(x1) AS x1_min, max(x1) AS x1_max, min(x2) AS x2_min, max(x2) AS x2_max FROM sub"),
+        ("ip", f"SELECT dx1 AS u, dx2 AS v, ib.*, {place('x1')} AS fx, {place('x2')} AS fy FROM sub CROSS JOIN ib"),
+        ("ig", f"SELECT ip.*, CAST(round(fx) AS INTEGER) + a.o AS gx, CAST(round(fy) AS INTEGER) + b.o AS gy FROM ip CROSS JOIN ({off} AS o) a CROSS JOIN ({off} AS o) b"),
+        ("iw", "SELECT *, (fx - gx) * (fx - gx) + (fy - gy) * (fy - gy) AS d2 FROM ig"),
+        ("ia", "SELECT gx, gy, any_value(x1_min) + gx * (any_value(x1_max) - any_value(x1_min)) / " + str(n - 1) + " AS x, "
+               "any_value(x2_min) + gy * (any_value(x2_max) - any_value(x2_min)) / " + str(n - 1) + " AS y, "
+               + ", ".join(f"coalesce(avg({c}) FILTER (WHERE d2 = 0), sum({c} / d2) FILTER (WHERE d2 > 0) / sum(1.0::DOUBLE / d2) FILTER (WHERE d2 > 0)) AS {c}" for c in "uv")
+               + f", count(*) AS n FROM iw WHERE d2 <= {r * r} AND gx BETWEEN 0 AND {n - 1} AND gy BETWEEN 0 AND {n - 1} GROUP BY gx, gy")]
+
+
+@query("l5_idw_field", W(_idw_sql(), "SELECT CAST(gx AS BIGINT) AS gx, CAST(gy AS BIGINT) AS gy, round(x, 6) AS x, round(y, 6) AS y, round(u, 6) AS u, round(v, 6) AS v, n FROM ia"))
+def l5_idw_field(spark, sf):
+    """L5 by inverse-distance weighting on the 51x51 grid: empty nodes within two cells of an arrow get a value."""
+    return rounded(FL.idw_field(FL.vectors(_sub(spark, sf, unspecified=False)), 51))
+
+
 def _pairs_sql():
     ctes = X.sql_result() + M.metrics_ctes("result", G, "m")
     parts = []

@@ -214,6 +214,20 @@ def g6_direct_grounded_prompt(spark, sf):
     return out.select(*PKEY, "instructions")
 
 
+_G8 = [f"SELECT '{name}' AS strategy, original_index, rep, md5(instructions) AS inst_md5 FROM ({sql})" for name, sql in (
+    ("direct+inst", _inst_sql(PR.direct_instruction_sql(G, PKEY, no_explain=False).replace("delta_", "p.delta_"))), ("instruct", _inst_sql(tx.sql_str(PR.NULL_BASE))),
+    ("underspecified", f"SELECT original_index, rep, {PR.underspecified_instruction_sql(PKEY, disambig=True)} AS instructions FROM probe"))]
+
+
+@query("g8_strategies", W(X.sql_probe() + _cot_sql(), " UNION ALL ".join(_G8)))
+def g8_strategies(spark, sf):
+    """One entry for all strategies, here the two that draw from the instruction database and a vague one."""
+    db = PR.build_instruction_db(cot_responses(spark, sf), G)
+    parts = [PR.with_instructions(X.probe(spark, sf), name, G, PKEY, disambig=True, database=db).select(F.lit(name).alias("strategy"), *PKEY, F.md5("instructions").alias("inst_md5"))
+             for name in ("direct+inst", "instruct", "underspecified")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("g9_prompt_columns", W(X.sql_probe(), f"SELECT original_index, rep, " + ", ".join(f"round(coalesce(target_{g}, source_{g}), 6) AS target_{g}" for g in G)
                               + f", md5({PR.direct_instruction_sql(G, PKEY, disambig=True)} || chr(10) || chr(10) || text) AS prompt_md5, "
                               f"'{MODEL}' AS model_name, 'user' AS role FROM probe"))
@@ -260,6 +274,13 @@ def r1_clean_responses(spark, sf):
                       (F.col("llm_response") == F.coalesce(F.col("raw_response"), F.lit(""))).alias("unchanged"))
 
 
+@query("r1_clean_cot", W(_raw_sql(), "SELECT conv_id, turn, md5("
+                         + tx.cot_extract_sql(tx.clean_model_output_sql(f"coalesce(raw_response, '{tx.ERROR_RESPONSE}')", "llm")) + ") AS response_md5 FROM raw"))
+def r1_clean_cot(spark, sf):
+    """R1 for chain-of-thought prompts: error string, reasoning strip, then the rewritten section."""
+    return PR.clean_responses(raw_responses(spark, sf), strategy="cot").select("conv_id", "turn", F.md5("llm_response").alias("response_md5"))
+
+
 @query("r2_assemble_result", W(X.sql_result(), f"SELECT {KEY_SQL}, md5(instruction || chr(10) || chr(10) || text) AS prompt_md5, "
                                + ", ".join(f"round(output_{g}, 6) AS output_{g}" for g in G)
                                + ", 'DirectTemplateInstruction' AS instruction_generator, 'stand-in' AS llm, 'chat' AS chat_type, 'local' AS endpoint "

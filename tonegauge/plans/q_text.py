@@ -9,6 +9,7 @@ from tonegauge.functions import text as tx
 from tonegauge.keys import text_key, text_key_b64, u, u_sql
 from tonegauge.operators import normalise as N
 from tonegauge.operators import goalspace as GS
+from tonegauge.operators import tagging as TG
 from tonegauge.plans import fixtures as X
 from tonegauge.plans.registry import query, rounded
 
@@ -226,6 +227,14 @@ def d4a_pos_percentages(spark, sf):
     return rounded(d.select("doc_id", *S.pos_percentages(F.col("text"))))
 
 
+@query("d4a_lexicon", "SELECT doc_id, " + ", ".join(
+    f"round(CASE WHEN len(tags) > 0 THEN len(list_filter(tags, lambda x: x = '{t}')) / len(tags) * 100.0 ELSE 0.0 END, 6) AS pct_{t.lower()}"
+    for t in S.POS_TAGS) + f" FROM (SELECT doc_id, list_transform({S.alpha_tokens_sql('text')}, lambda t: {S.pos_tag_sql('t')}) AS tags FROM documents)")
+def d4a_lexicon(spark, sf):
+    """D4a by a lexicon table with suffix rules as fallback: the same shares as the inline tagger's."""
+    return rounded(TG.lexicon_percentages(docs(spark, sf), ["doc_id"], TG.closed_classes(spark)))
+
+
 def _cache(spark, sf):
     """A stand-in score cache: the ``benchmark`` passages scored once (many reappear in documents)."""
     b = X.read(spark, sf, "benchmark").select("text")

@@ -143,17 +143,21 @@ def test_spelling_against_recursion():
         assert T.spelled(model, raw, np.array([0]), np.array([len(raw)]))[0] == pytest.approx(np.clip(want, -T.MOST_SPELLING, T.MOST_SPELLING))
 
 
-def test_words_and_pairs_hand_down_evenly():
-    k = np.array([[400, 1, 0, 3, 1] + [1, 2, 3, 4] * 20, [420, 0, 9, 3, 0] + [1, 2, 3, 4] * 20])
-    p = T.word_model(k, np.ones(85, int), 1000, np.zeros(85))
-    llr = np.log(p[1] / p[0])
-    assert abs(llr[3]) < 0.1 and llr[2] > 1.5 and -1.5 < llr[1] < 0 and llr[1] == llr[4]
-    assert np.log(np.divide(*T.word_model(k, np.ones(85, int), 1000, np.array([0.0, 2.0] + [0.0] * 83))[::-1]))[1] > llr[1] + 0.5
-    head = np.repeat(np.arange(20, dtype=np.uint64), 4)
-    d = np.array([[5, 1, 0, 0] * 20, [5, 0, 1, 12] * 20])
-    lower = np.full((2, 80), 1e-3)
-    got = T.pair_model(head, d, lower).reshape(20, 4)
-    assert np.allclose(got, got[0]) and got[0, 3] > 1 and abs(got[0, 1]) < 1.5 and abs(got[0, 2]) < 1.5
+def test_words_and_pairs_hand_down_evenly(spark):
+    k = [(400, 420), (1, 0), (0, 9), (3, 3), (1, 0)] + [(i, i) for i in (1, 2, 3, 4)] * 20
+
+    def words(spell):
+        df = spark.createDataFrame([(i, a, b, 1, spell if i == 1 else 0.0) for i, (a, b) in enumerate(k)], "w long, k0 long, k1 long, n long, spell double")
+        return {r.w: np.log(r.p1 / r.p0) for r in T.word_model(df, 1000).collect()}
+
+    llr = words(0.0)
+    assert abs(llr[3]) < 0.1 and llr[2] > 1.5 and -1.5 < llr[1] < 0 and llr[1] == pytest.approx(llr[4])
+    assert words(2.0)[1] > llr[1] + 0.5
+    pairs = spark.createDataFrame([(h, w, *d) for h in range(20) for w, d in enumerate([(5, 5), (1, 0), (0, 1), (0, 12)])], "h long, w long, d0 long, d1 long")
+    p = spark.createDataFrame([(w, 1e-3, 1e-3) for w in range(4)], "w long, p0 double, p1 double")
+    got = {(r.h, r.w): r.llr for r in T.pair_model(pairs, p).collect()}
+    assert len(got) == 80 and all(v == pytest.approx(got[0, w]) for (_, w), v in got.items())
+    assert got[0, 3] > 1 and abs(got[0, 1]) < 1.5 and abs(got[0, 2]) < 1.5
 
 
 def test_expressions_of_few_documents_count(spark):

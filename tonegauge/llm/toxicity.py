@@ -46,7 +46,7 @@ RIDGE = 0.3
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 _MINHASHES, _BAND, _ALIKE = 32, 4, 0.8
-_PART, _HELD = 1 << 20, 1 << 20
+_PART, _HELD = 1 << 18, 1 << 19
 
 
 def remainder():
@@ -114,6 +114,7 @@ def _pair_counts(texts: DataFrame) -> DataFrame:
                 toxic = b.column("toxic").to_numpy(zero_copy_only=False)
                 r, h, w = _distinct(np.repeat(np.arange(len(toxic)), np.diff(wo)), _heads(all_words, wo), all_words)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(w.view(np.int64)), pa.array(toxic[r].astype(np.int64))], ["h", "w", "toxic"])
+        pa.default_memory_pool().release_unused()
     rows = texts.mapInArrow(run, "h long, w long, toxic long")
     return rows.groupBy("h", "w").agg(*[F.count_if(F.col("toxic") == c).alias(f"d{c}") for c in (0, 1)])
 
@@ -267,39 +268,49 @@ def spelled(model: dict[str, np.ndarray], raw: np.ndarray, start: np.ndarray, le
     return np.clip(np.bincount(owner, weights=llr, minlength=len(start)), -MOST_SPELLING, MOST_SPELLING)
 
 
-def _even(left: np.ndarray, own: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Interpolation in which both classes (first axis) hand down the larger of their two weights."""
-    hand = own.max(axis=0)
-    return left * np.where(own < 1, (1 - hand) / np.maximum(1 - own, 1e-12), 0.0) + np.where(own < 1, hand, 1.0) * lower
+def _counts_of_counts(df: DataFrame, columns: list[str]) -> list[np.ndarray]:
+    """Discounts of each column of counts."""
+    n = df.agg(*[F.count_if(F.col(c) == i).alias(f"{c}_{i}") for c in columns for i in (1, 2, 3, 4)]).first()
+    return [discounts(np.repeat(np.arange(1, 5), [n[f"{c}_{i}"] for i in (1, 2, 3, 4)])) for c in columns]
 
 
-def word_model(k: np.ndarray, n: np.ndarray, size: int, spell: np.ndarray) -> np.ndarray:
-    """Probability of each known word by class: ``k`` continuation counts by class, ``n`` and ``size`` its and all
-    words' counts in the corpus, ``spell`` what its spelling says."""
-    total = np.maximum(k.sum(axis=1), 1)[:, None]
-    left = np.stack([_less(x, discounts(x)) for x in k]) / total
-    own = 1 - left.sum(axis=1, keepdims=True)
-    shared = ((k > 0).sum(axis=0) + n / max(size, 1)) / ((k > 0).sum() + 1)
-    tilt = 2 / (1 + np.exp(np.stack([spell, -spell])))
-    return _even(left, own, shared * tilt)
+def _left(column: str, d: np.ndarray):
+    """A count less its discount."""
+    c = F.col(column)
+    return F.when(c == 0, 0.0).otherwise(c - F.when(c == 1, float(d[1])).when(c == 2, float(d[2])).otherwise(float(d[3])))
 
 
-def pair_model(head: np.ndarray, d: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Evidence of each pair: ``d`` documents by class, ``lower`` its word's probability by class."""
-    heads, at = np.unique(head, return_inverse=True)
+def _evenly(left, own, lower):
+    """Interpolation of the two classes' columns that hands down the larger of their two weights."""
+    hand = F.greatest(*own)
+    return [F.when(o < 1, x * (1 - hand) / (1 - o) + hand * y).otherwise(y) for x, o, y in zip(left, own, lower)]
 
-    def per_head(x):
-        return np.bincount(at, weights=x, minlength=len(heads))[at]
 
-    classes = (d > 0).sum(axis=0)
-    cut = discounts(classes)[1:3].min()
-    common = (classes - cut) / per_head(classes) + cut * per_head(np.ones(len(head))) / per_head(classes) * lower
-    left = np.stack([_less(x, discounts(x)) for x in d])
-    total = np.stack([per_head(x) for x in d])
-    kept = np.stack([per_head(x) for x in left])
-    own = np.where(total > 0, 1 - kept / np.maximum(total, 1), 1.0)
-    p = _even(left / np.maximum(total, 1), own, common)
-    return np.log(p[1] / p[0])
+def word_model(words_: DataFrame, size: int) -> DataFrame:
+    """(w, p0, p1) of words with continuation counts ``k0`` and ``k1``, ``n`` of ``size`` corpus words and ``spell``."""
+    d = _counts_of_counts(words_, ["k0", "k1"])
+    kept = [_left(f"k{c}", d[c]) for c in (0, 1)]
+    sums = words_.agg(*[F.coalesce(F.sum(f"k{c}"), F.lit(0)).alias(f"k{c}") for c in (0, 1)], *[F.coalesce(F.sum(kept[c]), F.lit(0.0)).alias(f"l{c}") for c in (0, 1)],
+                      *[F.count_if(F.col(f"k{c}") > 0).alias(f"t{c}") for c in (0, 1)]).first()
+    total = [max(sums[f"k{c}"], 1) for c in (0, 1)]
+    shared = ((F.col("k0") > 0).cast("int") + (F.col("k1") > 0).cast("int") + F.col("n") / float(max(size, 1))) / float(sums.t0 + sums.t1 + 1)
+    lower = [shared * 2 / (1 + F.exp(x)) for x in (F.col("spell"), -F.col("spell"))]
+    p = _evenly([kept[c] / float(total[c]) for c in (0, 1)], [F.lit(1 - sums[f"l{c}"] / total[c]) for c in (0, 1)], lower)
+    return words_.select("w", *[p[c].alias(f"p{c}") for c in (0, 1)])
+
+
+def pair_model(pairs: DataFrame, probabilities: DataFrame) -> DataFrame:
+    """(h, w, llr): the evidence of each pair with ``d0`` and ``d1`` documents, ``probabilities`` those of its word."""
+    d = _counts_of_counts(pairs, ["d0", "d1"])
+    both = pairs.withColumn("classes", (F.col("d0") > 0).cast("int") + (F.col("d1") > 0).cast("int"))
+    cut = float(min(_counts_of_counts(both, ["classes"])[0][1:3]))
+    heads = both.groupBy("h").agg(*[F.sum(f"d{c}").alias(f"n{c}") for c in (0, 1)], *[F.sum(_left(f"d{c}", d[c])).alias(f"l{c}") for c in (0, 1)],
+                                  F.sum("classes").alias("all"), F.count("*").alias("types"))
+    rows = both.join(heads, "h").join(probabilities, "w")
+    lower = [(F.col("classes") - cut) / F.col("all") + cut * F.col("types") / F.col("all") * F.col(f"p{c}") for c in (0, 1)]
+    own = [F.when(F.col(f"n{c}") > 0, 1 - F.col(f"l{c}") / F.col(f"n{c}")).otherwise(1.0) for c in (0, 1)]
+    p = _evenly([_left(f"d{c}", d[c]) / F.greatest(F.col(f"n{c}"), F.lit(1)) for c in (0, 1)], own, lower)
+    return rows.select("h", "w", F.log(p[1] / p[0]).alias("llr"))
 
 
 def fit(docs: DataFrame, texts: DataFrame) -> dict[str, np.ndarray]:
@@ -310,25 +321,31 @@ def fit(docs: DataFrame, texts: DataFrame) -> dict[str, np.ndarray]:
     types = keep(_types(taught), "types")
     grams = _columns(_gram_counts(types), "m", "gram", "ctx", "g0", "g1")
     model = spelling(grams[0], grams[1].view(U), grams[2].view(U), np.stack(grams[3:]))
+    del grams
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def spell(batches):
         for batch in batches:
             raw, off = utf8(batch.column("word"))
             yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(spelled(sent.value, raw, off[:-1], np.diff(off)))], ["w", "spell"])
 
+    def key(batches):
+        for batch in batches:
+            h, w = (batch.column(c).to_numpy().view(U) for c in ("h", "w"))
+            yield pa.RecordBatch.from_arrays([pa.array(_bigram(h, w).view(np.int64)), batch.column("llr").cast(pa.float32())], ["key", "llr"])
+
     counts = pairs.groupBy("w").agg(*[F.count_if(F.col(f"d{c}") > 0).alias(f"k{c}") for c in (0, 1)])
     corpus = keep(corpus_counts(docs), "corpus")
     size = corpus.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first().words
-    known = counts.join(types.mapInArrow(run, "w long, spell double").groupBy("w").agg(F.max("spell").alias("spell")), "w").join(corpus, "w")
-    w, k0, k1, n, spell = _columns(known, "w", "k0", "k1", "n", "spell")
+    known = keep(counts.join(types.mapInArrow(spell, "w long, spell double").groupBy("w").agg(F.max("spell").alias("spell")), "w").join(corpus, "w"), "known")
+    sent.unpersist()
+    probabilities = keep(word_model(known, size), "words")
+    w, llr = _columns(probabilities.select("w", F.log(F.col("p1") / F.col("p0")).cast("float").alias("llr")), "w", "llr")
     by = np.argsort(w.view(U))
-    w, p = w.view(U)[by], word_model(np.stack([k0, k1])[:, by], n[by], size, spell[by])
-    head, word, d0, d1 = _columns(pairs, "h", "w", "d0", "d1")
-    llr = pair_model(head.view(U), np.stack([d0, d1]), p[:, _find(w, word.view(U))[0]])
-    key = _bigram(head.view(U), word.view(U))
-    by = np.argsort(key)
-    return model | {"words": w, "word_llr": np.log(p[1] / p[0]), "pairs": key[by], "pair_llr": llr[by]}
+    model |= {"words": w.view(U)[by], "word_llr": llr[by]}
+    k, llr = _columns(pair_model(pairs, probabilities).mapInArrow(key, "key long, llr float"), "key", "llr")
+    by = np.argsort(k.view(U))
+    return model | {"pairs": k.view(U)[by], "pair_llr": llr[by]}
 
 
 def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -411,21 +428,23 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.append(b[0] - (b[1:] * centre / spread).sum(), b[1:] / spread)
 
 
-def probability(model: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
-    x, line = features(model, column), model["line"]
-    x[:, -1] = np.minimum(x[:, -1], model["longest"])  # no claim beyond the lengths of the calibration
+def probability(fitted: tuple, column: pa.Array) -> np.ndarray:
+    """Score of each text by what :func:`train` gives."""
+    model, line, longest = fitted
+    x = features(model.value, column)
+    x[:, -1] = np.minimum(x[:, -1], longest)  # no claim beyond the lengths of the calibration
     return 1 / (1 + np.exp(-np.clip(line[0] + x @ line[1:], -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame):
-    """Evidence tables and calibration, broadcast; None without labels of both classes."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple | None:
+    """(evidence tables, broadcast once; weights of the features; longest calibrated length), or None without labels
+    of both classes."""
     spark = docs.sparkSession
     texts, totals = labelled_sample(docs, labels)
     texts = keep(texts, "sample")
     if texts.select("toxic").distinct().count() < 2:
         return None
-    model = fit(docs, texts)
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(fit(docs, texts))
 
     def run(batches):
         for batch in batches:
@@ -444,7 +463,7 @@ def train(docs: DataFrame, labels: DataFrame):
         share = {c: totals[c] / max(1, (y == c).sum()) for c in (0, 1)}
         weight = np.where(y == 1, share[1], share[0])
         line = calibrate(x, y, weight * len(y) / weight.sum())
-    return spark.sparkContext.broadcast(model | {"line": line, "longest": np.array(longest)})
+    return sent, line, longest
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -458,8 +477,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text", _PART):
-                p = probability(model.value, part.column("text"))
+                p = probability(model, part.column("text"))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
+        pa.default_memory_pool().release_unused()
 
     kept = docs.select(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
@@ -476,8 +496,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         def run(batches):
             for batch in batches:
                 for part in chunks(batch, "text", _PART):
-                    p = probability(model.value, part.column("text"))
+                    p = probability(model, part.column("text"))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))],
                                                      ["doc_id", "score", "predicted"])
+            pa.default_memory_pool().release_unused()
         rows = rows.mapInArrow(run, "doc_id long, score double, predicted int")
     return rows.select("doc_id", F.coalesce(remainder() == HELD_OUT, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -115,3 +115,27 @@ def test_parity_maps_bound_the_difference(n, m):
     x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
     y = np.unique(np.concatenate([x[: n // 2], r.integers(0, 2**63, m, dtype=np.uint64) * np.uint64(2)]))
     assert P._differ_in(P.parity_map(x), P.parity_map(y)) <= len(np.setxor1d(x, y))
+
+
+@pytest.mark.parametrize("n", [60])
+def test_candidates_grow_in_proportion_to_a_family(spark, monkeypatch, n):
+    """Pairs that leave a step, for n and 4 n near copies of one text: hubs and centres are linear."""
+    seen, verified = [], P._verified
+
+    def counted(pairs, nodes, percent):
+        seen[-1].append(pairs.count())
+        return verified(pairs, nodes, percent)
+
+    monkeypatch.setattr(P, "_verified", counted)
+    r = random.Random(1)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(4 * n):
+        w = list(base)
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    for m in (n, 4 * n):
+        seen.append([])
+        assert run(spark, rows[:m]) == brute(rows[:m])
+    assert sum(seen[1]) <= 6 * sum(seen[0]) and sum(seen[1]) < 4 * n * 8

@@ -52,7 +52,10 @@ FILTER_BITS = 24
 BUCKET = 250_000
 #: groups of this many documents are compared in blocks of about ``BLOCK`` documents.
 LARGE, BLOCK = 32, 256
-_FLUSH, _SLICE = 4_000_000, 1 << 15
+#: most turns in which each open group compares its members with one of them
+CENTRES = 2
+#: signatures held at once, map slots compared at once, bytes of text worked on at once
+_FLUSH, _SLICE, _PART = 1_000_000, 1 << 15, 1 << 19
 
 
 def shingle_sets(column, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +145,7 @@ def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, key): the size and a 64-bit key of each document's set."""
     def run(batches):
         for batch in batches:
-            for b in chunks(batch, "text"):
+            for b in chunks(batch, "text", _PART):
                 x, n = shingle_sets(b.column("text"), width)
                 owner = np.repeat(np.arange(len(n)), n)
                 key = np.zeros(len(n), U)
@@ -159,7 +162,7 @@ def frequent_shingles(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> np
 
     def run(batches):
         for batch in batches:
-            for b in chunks(batch, "text"):
+            for b in chunks(batch, "text", _PART):
                 x, _ = shingle_sets(b.column("text"), width)
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], ["f"])
 
@@ -218,7 +221,7 @@ def _signature_blocks(docs: DataFrame, frequent, bits: int, percent: int, width:
         for batch in batches:
             if leave_out is not None:
                 batch = batch.filter(pa.array(~_passes(leave_out.value, batch)))
-            for b in chunks(batch, "text"):
+            for b in chunks(batch, "text", _PART):
                 ids = b.column("doc_id").to_numpy(zero_copy_only=False)
                 x, full = shingle_sets(b.column("text"), width)
                 rare = ~_members(x, table)
@@ -319,7 +322,7 @@ def _node_table(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, map, x): parity map and sorted set (packed 64-bit hashes) of each document."""
     def run(batches):
         for batch in batches:
-            for b in chunks(batch, "text"):
+            for b in chunks(batch, "text", _PART):
                 x, n = shingle_sets(b.column("text"), width)
                 at = np.append(0, np.cumsum(n))
                 sets = [x[i:j] for i, j in zip(at[:-1], at[1:])]
@@ -341,7 +344,7 @@ def _joined(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and parity maps allow the similarity."""
-    sized = _joined(pairs, nodes, "n").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    sized = _joined(pairs, nodes, "n", "map").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
 
     def run(batches):
         for batch in batches:
@@ -349,7 +352,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             ok = [_differ_in(p.as_buffer(), q.as_buffer()) <= m for p, q, m in zip(batch.column("map_a"), batch.column("map_b"), most)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return _joined(sized, nodes, "n", "map").mapInArrow(run, "a long, b long").distinct()
+    return sized.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -397,9 +400,9 @@ def _open_groups(groups: DataFrame, comp: DataFrame) -> DataFrame:
     return g.join(wide.select("gid", "size"), "gid")
 
 
-def _centre_pairs(wide: DataFrame) -> DataFrame:
-    """Each member with one centre of its group that lies in another component."""
-    c = wide.groupBy("gid").agg(F.min(F.struct(F.xxhash64("node"), "node", "comp")).alias("c"))
+def _centre_pairs(wide: DataFrame, turn: int = 0) -> DataFrame:
+    """Each member with one centre of its group that lies in another component; another centre each turn."""
+    c = wide.groupBy("gid").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp")).alias("c"))
     return (wide.join(c, "gid").filter(F.col("comp") != F.col("c.comp"))
             .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct())
 
@@ -505,18 +508,25 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     # groups of two are settled; larger ones may hold links that miss their hub
     more = links.filter("links > 1")
     groups = keep(more.select("gid", F.col("hub").alias("node")).unionByName(more.select("gid", F.col("member").alias("node"))).distinct(), "groups")
-    for step in ("centre", "all"):
+    def grown(pairs):
+        """(edges, components) with the links that ``pairs`` hold, or None without any."""
+        found = keep(_verified(keep(pairs, "pairs"), nodes, percent), "edges")
+        if found.isEmpty():
+            return None
+        more_edges = edges.unionByName(found)
+        return more_edges, components(more_edges)
+
+    # turns of one centre a group, linear in the groups, as long as they join something; then what is left
+    for turn in range(CENTRES):
         wide = keep(_open_groups(groups, comp), "open")
-        if wide.isEmpty():
+        if wide.isEmpty() or not (now := grown(_possible(_centre_pairs(wide, turn), nodes, percent))):
             break
-        if step == "centre":
-            pairs = _possible(_centre_pairs(wide), nodes, percent)
-        else:
-            pairs = _possible(_small_group_pairs(wide), nodes, percent).unionByName(_family_pairs(wide, nodes, percent))
-        found = keep(_verified(keep(pairs, "pairs"), nodes, percent), "edges")
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            comp = components(edges)
+        edges, comp = now
+    else:
+        wide = keep(_open_groups(groups, comp), "open")
+    if not wide.isEmpty():
+        left = _possible(_small_group_pairs(wide), nodes, percent).unionByName(_family_pairs(wide, nodes, percent))
+        edges, comp = grown(left) or (edges, comp)
     by_rep = comp.select(F.col("node").alias("rep"), "comp")
     return (keys.select("doc_id", "n_shingles").join(copies, "doc_id", "left")
             .withColumn("rep", F.coalesce("rep", "doc_id")).join(by_rep, "rep", "left")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonegauge.keys import text_key
@@ -17,21 +19,31 @@ def _prepare(df: DataFrame, goals: list[str], compat: bool) -> DataFrame:
     return M.with_metrics(df, goals).withColumnRenamed("steering_error", "_err")
 
 
+def _narrow(scored: DataFrame, goals: list[str], key: list[str]) -> DataFrame:
+    """What the choice needs of a row: its group (text key and targets), its error and its key."""
+    return scored.select(text_key(F.col("text")).alias("_tk"), *[F.col(f"target_{g}").alias(f"_t_{g}") for g in goals], "_err", *key)
+
+
+def _rows_of(scored: DataFrame, chosen: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of ``scored`` whose key was chosen (null-safe; texts meet keys only)."""
+    keys = chosen.select(*[F.col(k).alias(f"_k_{k}") for k in key])
+    same = reduce(Column.__and__, [scored[k].eqNullSafe(F.col(f"_k_{k}")) for k in key])
+    return scored.join(keys, same, "left_semi").withColumnRenamed("_err", "steering_error")
+
+
 def oracle_pick(df: DataFrame, goals: list[str], order_key: list[str], mode: str = "best", compat: bool = False) -> DataFrame:
     """K1: per (text, targets) group the row with the lowest (``best``) or highest (``worst``)
-    steering error, first in ``order_key`` on ties.
+    steering error, first in ``order_key`` on ties; ``order_key`` names a row.
 
     Grouping uses ``sha2(text)`` plus the target columns (null targets group together, unlike
-    the notebook copy); ``min_by(struct(row), struct(err, key))`` is one partial/final hash
-    aggregate with no sort and no group gathered whole.  ``compat`` fills every null with -1 first.
+    the notebook copy).  Only errors and keys are aggregated; the chosen keys then pick their rows, so texts
+    and scores are shuffled at most once, and not at all when the caller does not ask for them.
+    ``compat`` fills every null with -1 first.
     """
     scored = _prepare(df, goals, compat)
-    group = [text_key(F.col("text")).alias("_tk")] + [F.col(f"target_{g}").alias(f"_t_{g}") for g in goals]
     err = F.col("_err") if mode == "best" else -F.col("_err")
-    order = F.struct(err.alias("e"), *[F.col(k) for k in order_key])
-    row = F.struct(*[F.col(c) for c in scored.columns])
-    best = scored.groupBy(*group).agg(F.min_by(row, order).alias("_r"))
-    return best.select("_r.*").withColumnRenamed("_err", "steering_error")
+    best = _narrow(scored, goals, order_key).groupBy("_tk", *[f"_t_{g}" for g in goals]).agg(F.min(F.struct(err.alias("e"), *order_key)).alias("_r"))
+    return _rows_of(scored, best.select("_r.*"), order_key)
 
 
 def oracle_median(df: DataFrame, goals: list[str], order_key: list[str], compat: bool = False) -> DataFrame:
@@ -43,15 +55,16 @@ def oracle_median(df: DataFrame, goals: list[str], order_key: list[str], compat:
     The middle values come from positions within a group (``row_number``), so no group is held in
     an array; the windows share one partitioning and spill.  (The original's median mode crashed;
     this is the fixed intent.)"""
-    scored = _prepare(df, goals, compat).withColumn("_tk", text_key(F.col("text")))
-    group = Window.partitionBy("_tk", *[f"target_{g}" for g in goals])
+    scored = _prepare(df, goals, compat)
+    rows = _narrow(scored, goals, order_key)
+    group = Window.partitionBy("_tk", *[f"_t_{g}" for g in goals])
     err = F.col("_err")
-    placed = scored.withColumns({"_pos": F.row_number().over(group.orderBy(err.asc_nulls_last(), *order_key)),
-                                 "_n": F.count(err).over(group)})
+    placed = rows.withColumns({"_pos": F.row_number().over(group.orderBy(err.asc_nulls_last(), *order_key)),
+                               "_n": F.count(err).over(group)})
     middle = [F.max(F.when(F.col("_pos") == F.floor((F.col("_n") + up) / 2), err)).over(group) for up in (1, 2)]
     near = placed.withColumns({"_lo": middle[0], "_hi": middle[1]}).filter((err == F.col("_lo")) | (err == F.col("_hi")))
     first = near.withColumn("_rn", F.row_number().over(group.orderBy(*order_key))).filter("_rn = 1")
-    return first.drop("_rn", "_lo", "_hi", "_pos", "_n", "_tk").withColumnRenamed("_err", "steering_error")
+    return _rows_of(scored, first, order_key)
 
 
 def undo_sentinel(df: DataFrame, goals: list[str]) -> DataFrame:

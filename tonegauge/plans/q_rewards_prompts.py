@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from tonegauge.functions import text as tx
 from tonegauge.keys import u, u_sql
+from tonegauge.functions import scorers as S
+from tonegauge.operators import goalspace as GS
+from tonegauge.operators import normalise as N
 from tonegauge.operators import prompts as PR
 from tonegauge.operators import rewards as RW
 from tonegauge.plans import fixtures as X
+from tonegauge.plans.q_text import RANGES
 from tonegauge.plans.registry import query, rounded
 
 G = X.GOALS
@@ -299,3 +303,27 @@ def r2_assemble_result(spark, sf):
                              {"instruction_generator": "DirectTemplateInstruction", "llm": "stand-in", "chat_type": "chat", "endpoint": "local"})
     out = out.withColumn("prompt_md5", F.md5(tx.assemble_prompt(F.col("instruction"), F.col("text"))))
     return rounded(out.select(*KEY, "prompt_md5", *[f"output_{g}" for g in G], "instruction_generator", "llm", "chat_type", "endpoint"))
+
+
+SCORED = ["text_length", "reading_difficulty"]
+
+
+def _scored_sql():
+    raw = ", ".join(f"{S.REGISTRY.sql(g)('llm_response')} AS output_raw_{g}" for g in SCORED)
+    norm = ", ".join(f"round({N.clip01_sql(f'(output_raw_{g} - {lo!r}::DOUBLE) / ({hi - lo!r}::DOUBLE)')}, 6) AS output_{g}" for g, (lo, hi) in
+                     ((g, RANGES[g]) for g in SCORED))
+    return (f"SELECT original_index, rep, generation, md5(instruction) AS instruction_md5, " + ", ".join(f"round(output_raw_{g}, 6) AS output_raw_{g}" for g in SCORED)
+            + f", {norm}, 'stand-in' AS llm FROM (SELECT *, {PR.direct_instruction_sql(G, PKEY)} AS instruction, {raw} FROM result)")
+
+
+@query("r2_generations", W(X.sql_result(generations=4), _scored_sql()))
+def r2_generations(spark, sf):
+    """R2 with four generations: raw scores of every response (D5) beside their normalised values."""
+    res = X.result(spark, sf, generations=4)
+    first = res.filter(F.col("generation") == 1)
+    responses = res.select(*KEY, "llm_response")
+    ranges = {g: RANGES[g] for g in SCORED}
+    scores = GS.score_endpoint(responses, SCORED, ranges, "llm_response")
+    raw, norm = (scores.select(*KEY, *[f"{p}{g}" for g in SCORED]) for p in ("output_raw_", "output_"))
+    out = PR.assemble_result(first.select(*PKEY), first.select(*PKEY, PR.direct_instruction(G, PKEY).alias("instruction")), responses, raw, norm, PKEY, {"llm": "stand-in"})
+    return rounded(out.select(*KEY, F.md5("instruction").alias("instruction_md5"), *[f"output_raw_{g}" for g in SCORED], *[f"output_{g}" for g in SCORED], "llm"))

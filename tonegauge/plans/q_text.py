@@ -112,15 +112,17 @@ TEMPLATE = "Turn $turn of $$conversation ${conv}:\n$text"
 
 
 @query("c13_c14_template_truncate", f"SELECT conv_id, turn, md5({tx.fill_template_sql(TEMPLATE, turn='CAST(turn AS VARCHAR)', conv='CAST(conv_id AS VARCHAR)', text=tx.truncate_tokens_sql('text', 64))}) AS filled_md5, "
-       f"CAST(len({tx.truncate_tokens_sql('text', 64)}) AS BIGINT) AS truncated_chars, md5({tx.truncate_tokens_sql('text')}) AS whole_md5 FROM conversations")
+       f"CAST(len({tx.truncate_tokens_sql('text', 64)}) AS BIGINT) AS truncated_chars, md5({tx.truncate_tokens_sql('text')}) AS whole_md5, "
+       f"md5({tx.fill_template_sql(TEMPLATE, turn='CAST(turn AS VARCHAR)', conv='CAST(conv_id AS VARCHAR)', text='text')}) AS filled_whole_md5 FROM conversations")
 def c13_c14_template_truncate(spark, sf):
     """C13 ``$name`` template substitution and C14 token truncation (64-token limit here so the
-    cut path is exercised on short turns), beside the default, which keeps texts whole."""
+    cut path is exercised on short turns), beside the default, which keeps texts whole, and the whole text filled in."""
     c = X.read(spark, sf, "conversations")
     t = tx.truncate_tokens(F.col("text"), 64)
-    filled = tx.fill_template(TEMPLATE, turn=F.col("turn").cast("string"), conv=F.col("conv_id").cast("string"), text=t)
+    names = {"turn": F.col("turn").cast("string"), "conv": F.col("conv_id").cast("string")}
+    filled, whole = tx.fill_template(TEMPLATE, **names, text=t), tx.fill_template(TEMPLATE, **names, text=F.col("text"))
     return c.select("conv_id", "turn", F.md5(filled).alias("filled_md5"), F.length(t).cast("bigint").alias("truncated_chars"),
-                    F.md5(tx.truncate_tokens(F.col("text"))).alias("whole_md5"))
+                    F.md5(tx.truncate_tokens(F.col("text"))).alias("whole_md5"), F.md5(whole).alias("filled_whole_md5"))
 
 
 def verdicts(spark, sf):

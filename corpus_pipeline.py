@@ -26,19 +26,27 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold."""
+    """Documents scored below the threshold.
+
+    Null and empty texts carry no evidence and stay (unless the labels make most documents toxic); rows with null or
+    repeated ids are scored one by one; without labels of both classes, or without rows, nothing goes."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.score(_columns(docs), labels).filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on many sites."""
+    """All documents, without lines that stand on many sites.
+
+    Null texts stay null and every row stays, repeated ones too; an emptied text stays as an empty one."""
     rows = line_spread.remove_spread_lines(_columns(docs))
     return rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one whose id names the group."""
+    """One document of each group of near copies: the one whose id names the group.
+
+    Null and empty texts are groups of their own and stay; of rows that repeat an id one stays; rows with a null id
+    belong to no group and stay."""
     docs = _columns(docs)
     groups = keep(partenum.jaccard_components(docs).select("doc_id", "component_id"), "components")
     left = docs.join(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
@@ -49,7 +57,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Documents without words (null or empty texts) pass once; a document whose share rounds to no copy goes; rows that
+    repeat id and text share their copies; a null source is a source."""
     docs = _columns(docs)
     taken = mixing.mix_sources(docs).groupBy("h").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     copies = taken.select("h", F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("copies")).filter("copies > 0")
@@ -58,7 +69,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token windows."""
+    """Pieces of token windows.
+
+    A null text counts as empty (its end token alone); every row is packed, repeated ones and those with null ids
+    too; no rows give no pieces."""
     return packing.pack(_columns(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -53,7 +53,7 @@ BUCKET = 250_000
 #: groups of this many documents are compared in blocks of about ``BLOCK`` documents.
 LARGE, BLOCK = 32, 256
 #: most turns in which each open group compares its members with one of them
-CENTRES = 2
+CENTRES = 1
 #: signatures held at once, map slots compared at once, bytes of text worked on at once
 _FLUSH, _SLICE, _PART = 1_000_000, 1 << 15, 1 << 19
 

@@ -153,3 +153,18 @@ def test_null_texts_are_scored_like_any_other(spark, with_cache):
     want = {r.id: (r.text_length, r.formality) for r in GS.map_goals(df, goals).collect()}
     assert {r.id: (r.text_length, r.formality) for r in out.collect()} == want and out.count() == 3
     assert new.count() == 2 and new.filter("text_key is null").count() == 1
+
+
+@pytest.mark.parametrize("as_folder", [False, True])
+def test_a_stream_reads_a_table_of_one_file_or_of_parts(spark, tmp_path, as_folder):
+    from tonegauge.plans.q_text import RANGES
+    if as_folder:
+        write(spark, tmp_path / "in" / "documents.parquet", [(1, "one text")])
+        write(spark, tmp_path / "in" / "documents.parquet", [(2, None)])
+    else:
+        write(spark, tmp_path / "parts", [(1, "one text"), (2, None)])
+        (tmp_path / "in").mkdir()
+        next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "in" / "documents.parquet")
+    write(spark, tmp_path / "in" / "other.parquet", [(3, "another table")])
+    out = ST.score_stream(spark, ST.text_stream(spark, str(tmp_path / "in")), list(RANGES), RANGES)
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2]

@@ -39,16 +39,25 @@ EVENTS = T.StructType([
 ])
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+def _table_stream(spark: SparkSession, schema: T.StructType, folder: str, pattern: str, files_per_trigger: int | None) -> DataFrame:
+    """The tables of ``folder`` that match ``pattern``, each one file or a folder of part files.
+
+    A trigger takes as many files as the cluster has slots unless told otherwise, so that a table of many parts
+    does not come one task at a time."""
+    # a name without wildcards becomes a pattern too: a source path that is one file is taken only as a pattern
+    names = pattern if any(c in pattern for c in "*?[{") else f"{pattern[:-1]}[{pattern[-1]}]"
+    files = files_per_trigger or spark.sparkContext.defaultParallelism
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{names}")
+
+
+def event_stream(spark: SparkSession, folder: str, files_per_trigger: int | None = None) -> DataFrame:
     """A file source of events, ``ts`` as a timestamp."""
-    events = (spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _table_stream(spark, EVENTS, folder, "events.parquet", files_per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def text_stream(spark: SparkSession, folder: str, pattern: str = "documents.parquet", files_per_trigger: int = 1) -> DataFrame:
+def text_stream(spark: SparkSession, folder: str, pattern: str = "documents.parquet", files_per_trigger: int | None = None) -> DataFrame:
     """A file source of text rows (explicit schema; new files are picked up as they land)."""
-    return (spark.readStream.schema(DOCUMENTS).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    return _table_stream(spark, DOCUMENTS, folder, pattern, files_per_trigger)
 
 
 def _work_dir(spark: SparkSession, name: str) -> str:
@@ -63,7 +72,7 @@ def score_stream(spark: SparkSession, stream: DataFrame, goals: list[str], range
     q = (scored.writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", out_dir + "-ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(out_dir)
+    return spark.read.schema(scored.schema).parquet(out_dir)
 
 
 #: digits of the key that name a folder of the cache, and the folder of the null text

@@ -168,3 +168,11 @@ def test_a_stream_reads_a_table_of_one_file_or_of_parts(spark, tmp_path, as_fold
     write(spark, tmp_path / "in" / "other.parquet", [(3, "another table")])
     out = ST.score_stream(spark, ST.text_stream(spark, str(tmp_path / "in")), list(RANGES), RANGES)
     assert sorted(r.doc_id for r in out.collect()) == [1, 2]
+
+
+def test_chunks_split_the_sentences_once(spark):
+    from tonegauge.functions import text as tx
+    df = spark.createDataFrame([("A b. C d! E f? G.",), ("",), (None,)], "t string")
+    out = df.select(tx.chunk_sentences(F.col("t"), 3).alias("c"))
+    assert [r.c for r in out.collect()] == [["A b. C d! E f?", "G."], [], []]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1

@@ -99,9 +99,12 @@ def sentences_sql(e: str) -> str:
 
 def chunk_sentences(text: Column, n: int) -> Column:
     """Array of paragraphs of ``n`` sentences joined by a space (last one may be short)."""
-    s = sentences(text)
-    starts = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1, F.lit(n))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(s, i + 1, n), " "))
+    def chunks(s):
+        starts = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1, F.lit(n))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(s, i + 1, n), " "))
+
+    # the outer lambda's variable holds the sentences: as an expression they would be split again for every chunk
+    return F.transform(F.array(sentences(text)), chunks)[0]
 
 
 # --------------------------------------------------------------------------------------------

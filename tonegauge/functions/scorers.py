@@ -17,15 +17,19 @@ the data (E1) instead of reusing fixed ranges made for the other scorers.
   over percentages of alphabetic tokens; tags come from a closed-class lexicon, then suffix
   rules, else noun.  50 for a text without tokens.
 
-Every scorer is a single expression per row (no explode, no shuffle).  Each has a DuckDB SQL
+Every scorer is a single expression per row (no explode, no shuffle); counting, tagging and MTLD run as
+Arrow-batched UDFs.  Each has a DuckDB SQL
 twin used by the oracle.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,11 +79,74 @@ POS_TAGS = ["NOUN", "ADJ", "ADP", "ARTICLE", "PRON", "VERB", "ADV", "INTJ"]
 DEICTIC = {"NOUN": 1, "ADJ": 1, "ADP": 1, "ARTICLE": 1, "PRON": -1, "VERB": -1, "ADV": -1, "INTJ": -1, "OTHER": 0}
 
 
+# --------------------------------------------------------------------------------------------
+# counts of one pass over the characters
+
+_LN, _MARK, _END, _VOWEL, _DOTTED = 1, 2, 4, 8, 16
+_VOWELS = set(VOWEL_GROUP[1:-2])
+#: characters of a slice that is counted at once
+_SLICE = 1 << 22
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """Flags of every code point: letter or number, other token, sentence end, vowel when lower-cased."""
+    out = np.zeros(0x110000, np.uint8)
+    for i in range(0x110000):
+        c = chr(i)
+        kind = unicodedata.category(c)[0]
+        out[i] = _LN if kind in "LN" else 0 if kind in "ZC" else _MARK
+        if kind == "L" and c.lower()[0] in _VOWELS:
+            out[i] |= _VOWEL
+    out[[ord(c) for c in ".!?"]] |= _END
+    out[0x130] |= _DOTTED  # lower-cased it is a vowel and a mark, which ends the group
+    return out
+
+
+def _counts_of(texts: list[str]) -> np.ndarray:
+    """(tokens, words, sentences, vowel groups) per text: the matches of ``tx.TOKEN``, ``tx.WORD``, ``SENTENCE_WITH_WORD``
+    and, lower-cased, ``VOWEL_GROUP``."""
+    sizes = np.array([len(t) + 1 for t in texts])
+    ends = np.cumsum(sizes)
+    flags = _classes()[np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), "<u4")]
+    flags[ends - 1] = _END  # the line feed behind each text keeps them apart
+    before = np.concatenate([[np.uint8(_END)], flags[:-1]])
+    words = (flags & ~before & _LN).astype(bool)
+    vowels = ((flags & _VOWEL) != 0) & (((before & _VOWEL) == 0) | ((before & _DOTTED) != 0))
+    at = np.flatnonzero(flags & (_LN | _END))
+    seen = flags[at]
+    sentences = np.zeros(len(flags), bool)
+    sentences[at[((seen & _LN) != 0) & (np.concatenate([[_END], seen[:-1]]) & _END != 0)]] = True
+    tokens = words | ((flags & _MARK) != 0)
+    return np.stack([np.add.reduceat(x, ends - sizes, dtype=np.int64) for x in (tokens, words, sentences, vowels)], axis=1)
+
+
+def text_counts(text: Column) -> Column:
+    """Struct (tokens, words, sentences, syllables) of a text, null for null: an Arrow-batched UDF, one pass per text."""
+    fields = ["tokens", "words", "sentences", "syllables"]
+
+    @F.arrow_udf(", ".join(f"{f} bigint" for f in fields))
+    def counts(texts: pa.Array) -> pa.Array:
+        parts, held, chars = [np.zeros((0, len(fields)), np.int64)], [], 0
+        for t in texts:
+            held.append(t.as_py() or "")
+            chars += len(held[-1])
+            if chars >= _SLICE:
+                parts.append(_counts_of(held))
+                held, chars = [], 0
+        if held:
+            parts.append(_counts_of(held))
+        found = np.concatenate(parts)
+        return pa.StructArray.from_arrays([pa.array(found[:, i]) for i in range(len(fields))], fields, mask=texts.is_null())
+
+    return counts(text)
+
+
 # --------------------------------------------------------------------------------------------
 # D1 text length
 
 def text_length(text: Column) -> Column:
-    return tx.token_count(text).cast("double")
+    return text_counts(text)["tokens"].cast("double")
 
 
 def text_length_sql(e: str) -> str:
@@ -89,23 +156,15 @@ def text_length_sql(e: str) -> str:
 # --------------------------------------------------------------------------------------------
 # D2 reading difficulty
 
-# One match per sentence piece holding a word character; linear in the text, and the same
-# count as ``size(sentences(text))`` (the match runs from the first word character to the
-# piece's terminator, so each piece yields at most one).
+# One match per sentence piece holding a word character, the same count as ``size(sentences(text))`` (the match
+# runs from the first word character to the piece's terminator, so each piece yields at most one).
 SENTENCE_WITH_WORD = r"[\p{L}\p{N}][^.!?]*"
 
 
-def reading_parts(text: Column) -> tuple[Column, Column, Column]:
-    words = F.size(tx.tokens(text, tx.WORD))
-    sents = F.greatest(F.size(F.regexp_extract_all(text, F.lit(SENTENCE_WITH_WORD), 0)), F.lit(1))
-    syll = F.size(F.regexp_extract_all(F.lower(text), F.lit(VOWEL_GROUP), 0))
-    return words, sents, syll
-
-
 def reading_difficulty(text: Column) -> Column:
-    w, s, y = reading_parts(text)
-    w = w.cast("double")
-    grade = F.lit(0.39) * (w / s) + F.lit(11.8) * (y / w) - F.lit(15.59)
+    x = text_counts(text)
+    w = x["words"].cast("double")
+    grade = F.lit(0.39) * (w / F.greatest(x["sentences"], F.lit(1))) + F.lit(11.8) * (x["syllables"] / w) - F.lit(15.59)
     return F.when(w > 0, grade).otherwise(F.lit(0.0))
 
 
@@ -181,10 +240,18 @@ def mtld_value(tokens, thr: float = MTLD_THRESHOLD) -> float:
     return (fwd + bwd) / 2.0
 
 
+def _coded(tokens: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct tokens, their places in the flat tokens, where each row ends) of a batch of token arrays."""
+    flat = tokens.flatten().dictionary_encode()
+    return flat.dictionary, flat.indices.to_numpy(zero_copy_only=False), np.cumsum(tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+
+
 def _mtld_udf(thr: float):
-    @F.pandas_udf("double")
-    def mtld_batch(tokens: pd.Series) -> pd.Series:
-        return tokens.map(lambda a: mtld_value(list(a), thr) if a is not None else None)
+    @F.arrow_udf("double")
+    def mtld_batch(tokens: pa.Array) -> pa.Array:
+        _, codes, ends = _coded(tokens)
+        rows = np.split(codes, ends[:-1])
+        return pa.array([mtld_value(row.tolist(), thr) if valid else None for row, valid in zip(rows, tokens.is_valid().to_pylist())], pa.float64())
 
     return mtld_batch
 
@@ -280,30 +347,59 @@ def alpha_tokens_sql(e: str) -> str:
     return f"regexp_extract_all(lower({e}), '{tx.ALPHA}')"
 
 
+#: suffix rules in the order of :func:`pos_tag`
+_SUFFIXES = [(tuple(ADV_SUFFIXES), "ADV"), (tuple(VERB_SUFFIXES), "VERB"), (tuple(ADJ_SUFFIXES), "ADJ")]
+_CLOSED = {w: tag for tag, words in reversed([("ARTICLE", ARTICLES), ("PRON", PRONOUNS), ("ADP", ADPOSITIONS), ("INTJ", INTERJECTIONS),
+                                              ("ADV", ADVERBS), ("VERB", VERBS), ("OTHER", OTHER)]) for w in words}
+_COUNTED = [*POS_TAGS, "OTHER"]
+
+
+def pos_tag_value(t: str) -> str:
+    """:func:`pos_tag` of one token (used inside the Arrow UDF and by tests)."""
+    if t in _CLOSED:
+        return _CLOSED[t]
+    if len(t) >= SUFFIX_MIN_LEN:
+        for suffixes, tag in _SUFFIXES:
+            if t.endswith(suffixes):
+                return tag
+    return "NOUN"
+
+
+def tag_counts(toks: Column) -> Column:
+    """Tokens of each tag (``POS_TAGS``, then OTHER) of a token array, null for a null array.
+
+    An Arrow-batched UDF: a batch's distinct tokens are tagged once and counted per row by their places."""
+    width = len(_COUNTED)
+
+    @F.arrow_udf("array<int>")
+    def counts(tokens: pa.Array) -> pa.Array:
+        words, codes, ends = _coded(tokens)
+        tags = np.array([_COUNTED.index(pos_tag_value(w)) for w in words.to_pylist()], np.int64)
+        rows = np.repeat(np.arange(len(tokens)), np.diff(ends, prepend=0))
+        per_row = np.bincount(rows * width + tags[codes], minlength=len(tokens) * width).astype(np.int32)
+        offsets = pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * width)
+        return pa.ListArray.from_arrays(offsets, pa.array(per_row), mask=tokens.is_null())
+
+    return counts(toks)
+
+
+def _counted(text: Column) -> tuple[list[Column], Column]:
+    """(tokens per tag of ``_COUNTED``, all alphabetic tokens) of a text."""
+    counts = tag_counts(alpha_tokens(text))
+    each = [counts[i] for i in range(len(_COUNTED))]
+    return each, sum(each[1:], each[0])
+
+
 def pos_percentages(text: Column) -> list[Column]:
     """Percentage of alphabetic tokens per tag (0 for a text without tokens)."""
-    tags = F.transform(alpha_tokens(text), pos_tag)
-    total = F.size(tags)
-    out = []
-    def equals(tag):
-        return lambda x: x == F.lit(tag)
-
-    for tag in POS_TAGS:
-        cnt = F.size(F.filter(tags, equals(tag)))
-        out.append(F.when(total > 0, cnt / total * F.lit(100.0)).otherwise(F.lit(0.0)).alias(f"pct_{tag.lower()}"))
-    return out
+    each, total = _counted(text)
+    return [F.when(total > 0, cnt / total * F.lit(100.0)).otherwise(F.lit(0.0)).alias(f"pct_{tag.lower()}") for tag, cnt in zip(POS_TAGS, each)]
 
 
 def formality(text: Column) -> Column:
     """D4b in one pass: the signed tag count over the token total equals the percentage formula."""
-    toks = alpha_tokens(text)
-    total = F.size(toks)
-
-    def sign(t):
-        tag = pos_tag(t)
-        return F.when(tag.isin("NOUN", "ADJ", "ADP", "ARTICLE"), 1).when(tag == "OTHER", 0).otherwise(-1)
-
-    signed = F.aggregate(toks, F.lit(0), lambda acc, t: acc + sign(t))
+    each, total = _counted(text)
+    signed = sum((F.lit(DEICTIC[tag]) * cnt for tag, cnt in zip(_COUNTED, each)), F.lit(0))
     return F.when(total > 0, (signed / total * F.lit(100.0) + F.lit(100.0)) / F.lit(2.0)).otherwise(F.lit(50.0))
 
 

@@ -85,8 +85,10 @@ def goalspace(spark: SparkSession, sf: str, goals=GOALS) -> DataFrame:
     return N.apply_bounds(s, _CACHE[key])
 
 
-def probe(spark: SparkSession, sf: str, goals=GOALS, reps: int = REPS, seed: int = SEED) -> DataFrame:
+def probe(spark: SparkSession, sf: str, goals=GOALS, reps: int = REPS, seed: int = SEED, response: bool = False) -> DataFrame:
     gs = goalspace(spark, sf, goals).withColumnRenamed("row_id", "original_index")
+    if response:
+        gs = gs.withColumn("llm_response", F.regexp_replace(F.col("text"), SWAP, "$2 $1"))
     return P.with_deltas(P.repeat_rows(gs, reps), goals, ["original_index", "rep"], seed, MAX_ACTIVE)
 
 
@@ -108,9 +110,10 @@ def with_outputs(df: DataFrame, goals: list[str], key_cols: list[str], seed: int
 
 
 def result(spark: SparkSession, sf: str, goals=GOALS, generations: int = 1) -> DataFrame:
-    p = probe(spark, sf, goals)
+    # the stand-in response hangs on the text alone: one replacement a text, below the repeats
+    p = probe(spark, sf, goals, response=True)
     p = P.repeat_rows(p, generations, "generation")
-    p = p.withColumn("llm_response", F.regexp_replace(F.col("text"), SWAP, "$2 $1"))
+    p = p.select(*[c for c in p.columns if c != "llm_response"], "llm_response")
     return with_outputs(p, goals, ["original_index", "rep", "generation"])
 
 
@@ -129,19 +132,20 @@ def judged(spark: SparkSession, sf: str, goals=GOALS, generations: int = 1) -> D
     )
 
 
-def numeric_goalspace(spark: SparkSession, sf: str) -> DataFrame:
-    li = spread(read(spark, sf, "lineitem"), "l_orderkey").select(
-        "l_orderkey", "l_linenumber",
-        F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("extendedprice"),
-        F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+def numeric_goalspace(spark: SparkSession, sf: str, extend=None) -> DataFrame:
+    """E1 over lineitem; ``extend`` adds columns to the narrow rows before the goal columns are derived."""
+    cols = ["l_orderkey", "l_linenumber", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("extendedprice"),
+            F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax")]
+    li = read(spark, sf, "lineitem").select(*cols)
     key = ("numbounds", id(spark), sf)
     if key not in _CACHE:
         _CACHE[key] = N.percentile_bounds(li, NUM_GOALS, 95)
+    li = spread(li, "l_orderkey") if extend is None else extend(li)
     return N.apply_bounds(li, _CACHE[key])
 
 
-def numeric_result(spark: SparkSession, sf: str) -> DataFrame:
-    gs = numeric_goalspace(spark, sf)
+def numeric_result(spark: SparkSession, sf: str, extend=None) -> DataFrame:
+    gs = numeric_goalspace(spark, sf, extend)
     keys = ["l_orderkey", "l_linenumber"]
     p = P.with_deltas(gs, NUM_GOALS, keys, SEED, MAX_ACTIVE)
     return with_outputs(p, NUM_GOALS, keys)

@@ -14,6 +14,7 @@ from tonegauge.operators import rewards as RW
 from tonegauge.plans import fixtures as X
 from tonegauge.plans.q_text import RANGES
 from tonegauge.plans.registry import query, rounded
+from tonegauge.store import written_once
 
 G = X.GOALS
 KEY = ["original_index", "rep", "generation"]
@@ -323,7 +324,9 @@ def r2_generations(spark, sf):
     first = res.filter(F.col("generation") == 1)
     responses = res.select(*KEY, "llm_response")
     ranges = {g: RANGES[g] for g in SCORED}
+    # written once: raw and normalised scores are two tables of one scoring
     scores = GS.score_endpoint(responses, SCORED, ranges, "llm_response")
+    scores = written_once(scores.select(*KEY, *[f"{p}{g}" for p in ("output_raw_", "output_") for g in SCORED]), "scores")
     raw, norm = (scores.select(*KEY, *[f"{p}{g}" for g in SCORED]) for p in ("output_raw_", "output_"))
     out = PR.assemble_result(first.select(*PKEY), first.select(*PKEY, PR.direct_instruction(G, PKEY).alias("instruction")), responses, raw, norm, PKEY, {"llm": "stand-in"})
     return rounded(out.select(*KEY, F.md5("instruction").alias("instruction_md5"), *[f"output_raw_{g}" for g in SCORED], *[f"output_{g}" for g in SCORED], "llm"))

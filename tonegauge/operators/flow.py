@@ -137,6 +137,10 @@ def _grams(h: Column, top: int) -> Column:
     return F.concat(*[of(n) for n in range(1, top + 1)])
 
 
+#: bytes of both texts, copies included, that a task of :func:`pair_bleu` takes
+PART_BYTES = 8 << 20
+
+
 def pair_bleu(pairs: DataFrame, key: list[str], cand: str, ref: str, top: int = 4, eps: float = 0.1) -> DataFrame:
     """(key, bleu): sentence BLEU of each pair of texts, as a multiset intersection.
 
@@ -145,9 +149,11 @@ def pair_bleu(pairs: DataFrame, key: list[str], cand: str, ref: str, top: int =
     Uniform weights, method-1 smoothing (a zero count becomes eps), brevity penalty; 0 when no token matches, null when
     a text is null.  ``key`` is not null; rows with equal keys hold equal texts and count once.
     """
-    # the session's number of partitions: few bytes of text are many n-grams
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pairs.filter(F.col(cand).isNotNull() & F.col(ref).isNotNull()).select(*key, F.col(cand).alias("_c"), F.col(ref).alias("_r")).repartition(parts, *key).dropDuplicates(key)
+    pairs = pairs.filter(F.col(cand).isNotNull() & F.col(ref).isNotNull())
+    # few bytes of text are many n-grams: at most PART_BYTES of texts a partition, so that no task's counts spill
+    size = pairs.agg(F.sum(F.octet_length(cand).cast("long") + F.octet_length(ref))).first()[0] or 0
+    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    rows = pairs.select(*key, F.col(cand).alias("_c"), F.col(ref).alias("_r")).repartition(parts, *key).dropDuplicates(key)
     # the generator fixes the hashes: an expression inside the lambdas below would be evaluated once an n-gram
     hashed = [F.struct(F.lit(c).alias("c"), F.transform(tx.tokens(F.col(t)), lambda x: F.xxhash64(x)).alias("t")) for c, t in ((1, "_c"), (0, "_r"))]
     sides = rows.select(*key, F.explode(F.array(*hashed)).alias("s"))

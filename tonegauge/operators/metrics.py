@@ -233,20 +233,17 @@ def evaluate(spark: SparkSession, df: DataFrame, goals=DEFAULT_GOALS, judged: bo
     from pyspark import StorageLevel
 
     if judged:
-        flagged = df.withColumn("_g", grounded())
-        counts = flagged.agg(
-            F.count(F.lit(1)).alias("n_total"),
-            F.count_if(F.col("_g")).alias("n_grounded"),
-            F.count_if(F.col("answer").eqNullSafe(F.lit("No"))).alias("n_flagged"),
-            F.count_if(~F.coalesce(F.col("rationale_approved"), F.lit(True))).alias("n_overruled"),
-        ).first()
-        rows = flagged.filter(F.col("_g")).drop("_g")
-    else:
-        counts = {"n_total": df.count(), "n_grounded": None, "n_flagged": None, "n_overruled": None}
-        rows = df
-    scored = with_metrics(rows, goals, cuts).select(*METRICS).persist(StorageLevel.MEMORY_AND_DISK)
+        df = df.withColumns({"_g": grounded(), "_no": F.col("answer").eqNullSafe(F.lit("No")), "_over": ~F.coalesce(F.col("rationale_approved"), F.lit(True))})
+    flags = ["_g", "_no", "_over"] if judged else []
+    # all rows, narrow and kept: counts and summaries read the same pass over the input
+    scored = with_metrics(df, goals, cuts).select(*METRICS, *flags).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        summ = summary_rows(scored, METRICS)
+        if judged:
+            counts = scored.agg(F.count(F.lit(1)).alias("n_total"), F.count_if("_g").alias("n_grounded"), F.count_if("_no").alias("n_flagged"),
+                                F.count_if("_over").alias("n_overruled")).first()
+        else:
+            counts = {"n_total": scored.count(), "n_grounded": None, "n_flagged": None, "n_overruled": None}
+        summ = summary_rows(scored.filter("_g").drop(*flags) if judged else scored, METRICS)
     finally:
         scored.unpersist()
     out = []

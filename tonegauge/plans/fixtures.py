@@ -139,7 +139,7 @@ def numeric_goalspace(spark: SparkSession, sf: str, extend=None) -> DataFrame:
     li = read(spark, sf, "lineitem").select(*cols)
     key = ("numbounds", id(spark), sf)
     if key not in _CACHE:
-        _CACHE[key] = N.percentile_bounds(li, NUM_GOALS, 95)
+        _CACHE[key] = N.percentile_bounds(spread(li, "l_orderkey"), NUM_GOALS, 95)
     li = spread(li, "l_orderkey") if extend is None else extend(li)
     return N.apply_bounds(li, _CACHE[key])
 

@@ -26,7 +26,7 @@ def test_bleu_deals_more_text_to_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(FL, "PART_BYTES", 100)
     small = FL.with_bleu(df)
     size = df.agg(F.sum(F.length("text") + F.length("llm_response"))).first()[0]
-    assert f", {-(-size // 100)}, REPARTITION" in small._jdf.queryExecution().executedPlan().toString()
+    assert f", {-(-size // 100)}), REPARTITION" in small._jdf.queryExecution().executedPlan().toString()
     assert {r.text: r.bleu for r in small.collect()} == want
 
 

@@ -37,3 +37,32 @@ def test_verdicts_meet_narrow_lines(spark):
     join = next(i for i, line in enumerate(lines) if "Join " in line)
     assert not any("output_" in line or "source_" in line for line in lines[join:])
     assert judged.columns[-2:] == ["answer", "rationale_approved"] and judged.count() == X.read(spark, SF, "lineitem").count()
+
+
+def test_a_single_row_group_is_dealt_to_many_tasks(spark, tmp_path):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some text"), F.md5(F.col("id").cast("string"))).alias("text"))
+    path = f"{tmp_path}/documents.parquet"
+    docs.coalesce(1).write.parquet(path)  # one file of one row group, in many splits
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4k")
+    try:
+        scan = spark.read.parquet(path)
+        splits = scan.rdd.getNumPartitions()
+        assert splits > spark.sparkContext.defaultParallelism
+
+        def largest(df):
+            return df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+
+        dealt = X.spread(scan, "doc_id")
+        assert largest(scan) == 2000 and largest(dealt) <= 2 * 2000 / splits + 40
+        assert sorted(dealt.collect()) == sorted(scan.collect())
+        even = X.spread(dealt, "doc_id")  # nothing to do for rows that arrive evenly
+        assert even is dealt
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_an_empty_table_is_left_alone(spark):
+    none = spark.range(0).withColumnRenamed("id", "doc_id")
+    assert X.spread(none, "doc_id") is none

@@ -54,12 +54,14 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy per-row text work all cores: hash-repartition on the key only when the scan
-    yields fewer partitions than the cluster has slots (a single small file in tests; large
-    inputs already arrive as many splits and are left alone)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots * 2, key)
+    """Give CPU-heavy per-row text work all cores: hash-repartition on the key when one of the scan's partitions holds
+    more than twice its share of the rows.  A row group is read by one task, so a file of few row groups leaves most of
+    its splits empty, however many they are.  The number of partitions follows the number of splits, i.e. the bytes read.
+    The count below reads no column; inputs that arrive evenly are left alone."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism * 2, df.rdd.getNumPartitions())
+    held = df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count").alias("most"), F.sum("count").alias("rows")).first()
+    if held.most is not None and held.most * parts > 2 * held.rows:
+        return df.repartition(parts, key)
     return df
 
 

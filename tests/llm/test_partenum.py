@@ -139,3 +139,13 @@ def test_candidates_grow_in_proportion_to_a_family(spark, monkeypatch, n):
         seen.append([])
         assert run(spark, rows[:m]) == brute(rows[:m])
     assert sum(seen[1]) <= 6 * sum(seen[0]) and sum(seen[1]) < 4 * n * 8
+
+
+def test_settled_components_take_one_turn(spark, monkeypatch):
+    written, keep = [], P.keep
+    monkeypatch.setattr(P, "keep", lambda df, name: written.append(name) or keep(df, name))
+    stars = spark.createDataFrame([(1, 2), (1, 3), (7, 9)], "a long, b long")
+    found = {r.node: r.comp for r in P.components(stars).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 7: 7, 9: 7} and written == ["cc", "cc"]
+    path = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    assert {r.node: r.comp for r in P.components(path).collect()} == {i: 0 for i in range(10)}

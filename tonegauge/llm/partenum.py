@@ -376,7 +376,11 @@ def components(edges: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
 
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    e, mark = keep(e, "cc"), None
+    def mark_of(e: DataFrame):
+        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+    e = keep(e, "cc")
+    mark = mark_of(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = low(both).withColumn("m", F.least("u", "m"))
@@ -385,7 +389,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = (e.join(m, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
              .filter("u <> v").distinct())
         e = keep(e, "cc")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = mark_of(e)
         if mark == now:
             break
         mark = now
@@ -509,24 +513,22 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     more = links.filter("links > 1")
     groups = keep(more.select("gid", F.col("hub").alias("node")).unionByName(more.select("gid", F.col("member").alias("node"))).distinct(), "groups")
     def grown(pairs):
-        """(edges, components) with the links that ``pairs`` hold, or None without any."""
+        """The components with the links that ``pairs`` hold, or None without any."""
         found = keep(_verified(keep(pairs, "pairs"), nodes, percent), "edges")
-        if found.isEmpty():
-            return None
-        more_edges = edges.unionByName(found)
-        return more_edges, components(more_edges)
+        # what is joined already is a star around its smallest document: few turns remain
+        return None if found.isEmpty() else components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found))
 
     # turns of one centre a group, linear in the groups, as long as they join something; then what is left
     for turn in range(CENTRES):
         wide = keep(_open_groups(groups, comp), "open")
         if wide.isEmpty() or not (now := grown(_possible(_centre_pairs(wide, turn), nodes, percent))):
             break
-        edges, comp = now
+        comp = now
     else:
         wide = keep(_open_groups(groups, comp), "open")
     if not wide.isEmpty():
         left = _possible(_small_group_pairs(wide), nodes, percent).unionByName(_family_pairs(wide, nodes, percent))
-        edges, comp = grown(left) or (edges, comp)
+        comp = grown(left) or comp
     by_rep = comp.select(F.col("node").alias("rep"), "comp")
     return (keys.select("doc_id", "n_shingles").join(copies, "doc_id", "left")
             .withColumn("rep", F.coalesce("rep", "doc_id")).join(by_rep, "rep", "left")

@@ -149,3 +149,23 @@ def test_settled_components_take_one_turn(spark, monkeypatch):
     assert found == {1: 1, 2: 1, 3: 1, 7: 7, 9: 7} and written == ["cc", "cc"]
     path = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
     assert {r.node: r.comp for r in P.components(path).collect()} == {i: 0 for i in range(10)}
+
+
+def python_nodes(plan):
+    """Most Python steps between two exchanges of a plan: each is a worker of its own in every task."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return python_nodes(plan.initialPlan())
+    kids = plan.children()
+    below = [python_nodes(kids.apply(i)) for i in range(kids.size())]
+    most, open_ = max((b[0] for b in below), default=0), max((b[1] for b in below), default=0)
+    found = 0 if "Exchange" in name else open_ + (name == "MapInArrow")
+    return max(most, found), found
+
+
+def test_one_python_worker_a_task(spark, monkeypatch):
+    seen, keep = {}, P.keep
+    monkeypatch.setattr(P, "keep", lambda df, name: (seen.setdefault(name, []).append(python_nodes(df._jdf.queryExecution().executedPlan())[0]), keep(df, name))[1])
+    rows = corpus()
+    assert run(spark, rows) == brute(rows)
+    assert {"sets", "stars", "nodes", "edges"} <= set(seen) and max(map(max, seen.values())) == 1

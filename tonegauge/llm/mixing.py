@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonegauge.llm.arrowtext import chunks, word_counts
+from tonegauge.llm.arrowtext import chunks, tidy, word_counts
 from tonegauge.llm.store import keep
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -38,7 +38,7 @@ def document_sizes(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(word_counts(b.column("text"))), b.column("h")],
                                                  ["doc_id", "source", "size", "h"])
     return (docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text").alias("h"))
-            .mapInArrow(run, "doc_id long, source string, size long, h long"))
+            .mapInArrow(tidy(run), "doc_id long, source string, size long, h long"))
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:

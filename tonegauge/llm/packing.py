@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tonegauge.llm.arrowtext import chunks, utf8
+from tonegauge.llm.arrowtext import chunks, tidy, utf8
 from tonegauge.llm.arrowtext import words as word_spans
 from tonegauge.llm.store import keep
 
@@ -206,7 +206,7 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "doc_tokens", "crcs", "tail", "width", "part", "class", "rank", "full"])
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, doc_tokens long, crcs array<long>, tail binary, width int, part int, class int, rank long, full long")
+        tidy(run), "doc_id long, doc_tokens long, crcs array<long>, tail binary, width int, part int, class int, rank long, full long")
 
 
 def combinations(units: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -319,6 +319,6 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                                              ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"])
 
     pieces = rows.select("doc_id", "doc_tokens", "crcs", "tail", "width", "class", "rank", "full").mapInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")
+        tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long")
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     return pieces.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))).drop("slot")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonegauge.llm.arrowtext import U, chunks, mix, run_hashes, word_hashes
+from tonegauge.llm.arrowtext import U, chunks, mix, run_hashes, tidy, word_hashes
 from tonegauge.llm.store import keep
 
 WIDTH = 5
@@ -153,7 +153,7 @@ def set_keys(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 key = mix(key ^ mix(n.astype(U)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(key.view(np.int64))],
                                                  ["doc_id", "n_shingles", "key"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, key long")
 
 
 def frequent_shingles(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> np.ndarray:
@@ -167,7 +167,7 @@ def frequent_shingles(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> np
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], ["f"])
 
     found = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi")
-             .mapInArrow(run, "f long").groupBy("f").count().filter(F.col("count") >= FREQUENT)
+             .mapInArrow(tidy(run), "f long").groupBy("f").count().filter(F.col("count") >= FREQUENT)
              .orderBy(F.desc("count"), "f").limit(MOST_FREQUENT))
     return np.sort(np.array([r.f for r in found.select("f").collect()], np.int64).view(U))
 
@@ -208,7 +208,7 @@ def possible_rows(docs: DataFrame, table) -> DataFrame:
     def run(batches):
         for batch in batches:
             yield batch.select(["doc_id", "text"]).filter(pa.array(_passes(table.value, batch)))
-    return _with_places(docs).mapInArrow(run, "doc_id long, text string")
+    return _with_places(docs).mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def _signature_blocks(docs: DataFrame, frequent, bits: int, percent: int, width: int, leave_out=None) -> DataFrame:
@@ -243,7 +243,7 @@ def _signature_blocks(docs: DataFrame, frequent, bits: int, percent: int, width:
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.string()))],
                     ["bucket", "sigs", "ids", "kind"])
     rows = docs.select("doc_id", "text") if leave_out is None else _with_places(docs)
-    return rows.mapInArrow(run, "bucket long, sigs binary, ids binary, kind string")
+    return rows.mapInArrow(tidy(run), "bucket long, sigs binary, ids binary, kind string")
 
 
 def _stars(blocks: DataFrame, parts: int) -> DataFrame:
@@ -291,7 +291,7 @@ def _stars(blocks: DataFrame, parts: int) -> DataFrame:
             yield collapse(now, sigs, ids, part)[2]
 
     return (blocks.repartition(parts, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(run, "gid long, hub long, member long, links long").distinct())
+            .mapInArrow(tidy(run), "gid long, hub long, member long, links long").distinct())
 
 
 def parity_map(x: np.ndarray) -> bytes:
@@ -318,18 +318,20 @@ def _differ_in(p: bytes, q: bytes) -> int:
     return int((u ^ v).sum())
 
 
-def _node_table(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, map, x): parity map and sorted set (packed 64-bit hashes) of each document."""
+def _node_table(docs: DataFrame, width: int, table) -> DataFrame:
+    """(doc_id, n, map, x): parity map and sorted set (packed 64-bit hashes) of each document that passes the filter.
+
+    One that passes without being linked is in no pair."""
     def run(batches):
         for batch in batches:
-            for b in chunks(batch, "text", _PART):
+            for b in chunks(batch.filter(pa.array(_passes(table.value, batch))), "text", _PART):
                 x, n = shingle_sets(b.column("text"), width)
                 at = np.append(0, np.cumsum(n))
                 sets = [x[i:j] for i, j in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), pa.array(n), pa.array([parity_map(z) for z in sets], pa.binary()),
                      pa.array([z.tobytes() for z in sets], pa.binary())], ["doc_id", "n", "map", "x"])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, map binary, x binary")
+    return _with_places(docs).mapInArrow(tidy(run), "doc_id long, n long, map binary, x binary")
 
 
 def _apart(percent: int, n):
@@ -352,7 +354,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             ok = [_differ_in(p.as_buffer(), q.as_buffer()) <= m for p, q, m in zip(batch.column("map_a"), batch.column("map_b"), most)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return sized.mapInArrow(run, "a long, b long").distinct()
+    return sized.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -367,7 +369,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return _joined(pairs, nodes.select("doc_id", "x").join(ids, "doc_id", "left_semi"), "x").mapInArrow(run, "a long, b long").distinct()
+    return _joined(pairs, nodes.select("doc_id", "x").join(ids, "doc_id", "left_semi"), "x").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -446,7 +448,7 @@ def _family_pairs(wide: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 a, b = _allowed(p.as_py(), q.as_py(), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return two.repartition("family", "i", "j").select("p", "q").mapInArrow(run, "a long, b long").distinct()
+    return two.repartition("family", "i", "j").select("p", "q").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _allowed(p: list[dict], q: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -500,12 +502,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = WID
     bits = max(4, int(np.ceil(np.log2(max(1, total * 0.7 / BUCKET)))))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 8)
     blocks = _signature_blocks(docs, frequent, bits, percent, width, again)
-    doubtful = possible_rows(docs, again).join(copies.select("doc_id"), "doc_id", "left_anti")
+    # by a shuffle at any size: a broadcast would put two Python workers into each task
+    doubtful = possible_rows(docs, again).join(copies.select("doc_id").hint("merge"), "doc_id", "left_anti")
     blocks = blocks.unionByName(_signature_blocks(doubtful, frequent, bits, percent, width))
     links = keep(_stars(blocks, parts), "stars")
-    ids = links.select(F.col("hub").alias("doc_id")).unionByName(links.select(F.col("member").alias("doc_id"))).distinct()
-    ids = keep(ids, "ids")
-    nodes = keep(_node_table(possible_rows(docs, id_filter(ids)).join(ids, "doc_id", "left_semi"), width), "nodes")
+    ids = links.select(F.col("hub").alias("doc_id")).unionByName(links.select(F.col("member").alias("doc_id")))
+    nodes = keep(_node_table(docs, width, id_filter(ids)), "nodes")
     first = keep(_possible(links.select(F.col("hub").alias("a"), F.col("member").alias("b")).distinct(), nodes, percent), "pairs")
     edges = keep(_verified(first, nodes, percent), "edges")
     comp = components(edges)

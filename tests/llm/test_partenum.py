@@ -151,6 +151,56 @@ def test_settled_components_take_one_turn(spark, monkeypatch):
     assert {r.node: r.comp for r in P.components(path).collect()} == {i: 0 for i in range(10)}
 
 
+def joined(edges):
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in root:
+        before = dict(root)
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    return root
+
+
+@pytest.mark.parametrize("held", [1 << 18, 3])
+def test_components_of_any_graph(spark, monkeypatch, held):
+    """Loops, repeated and reversed edges, negative ids, a hub above and one below its neighbours; also in stretches of few edges."""
+    monkeypatch.setattr(P, "_EDGES", held)
+    r = random.Random(held)
+    edges = [(r.randrange(-40, 160), r.randrange(-40, 160)) for _ in range(90)]
+    edges += [(300, 300), (301, 302), (302, 301), (302, 301)] + [(900, 500 + i) for i in range(60)] + [(1000, 1001 + i) for i in range(60)]
+    edges += [(2000 + i, 2000 + (i * 7 + 3) % 40) for i in range(40)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    assert {x.node: x.comp for x in P.components(df).collect()} == joined(edges)
+
+
+def test_components_take_few_tasks(spark):
+    """Chains of stars, as groups of near copies give them: tasks until all are settled."""
+    r = random.Random(5)
+    ids = list(range(1200))
+    r.shuffle(ids)
+    edges = [(ids[40 * (i // 40)], ids[i]) for i in range(1200)] + [(ids[40 * i + 39], ids[40 * i + 41]) for i in range(29)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    sc = spark.sparkContext
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "32"}
+    before = {name: spark.conf.get(name) for name in held}
+    try:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+        sc.setJobGroup("few-tasks", "components")
+        found = {x.node: x.comp for x in P.components(df).collect()}
+        sc.setJobGroup("other", "")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    seen = sc.statusTracker()
+    stages = {i for j in seen.getJobIdsForGroup("few-tasks") for i in seen.getJobInfo(j).stageIds}
+    tasks = sum(seen.getStageInfo(i).numCompletedTasks for i in stages if seen.getStageInfo(i))
+    assert found == joined(edges) and len(set(found.values())) == 1
+    assert tasks <= 600, tasks
+
+
 def python_nodes(plan):
     """Most Python steps between two exchanges of a plan: each is a worker of its own in every task."""
     name = plan.nodeName()

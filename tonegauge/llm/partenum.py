@@ -56,6 +56,8 @@ LARGE, BLOCK = 32, 256
 CENTRES = 1
 #: signatures held at once, map slots compared at once, bytes of text worked on at once
 _FLUSH, _SLICE, _PART = 1_000_000, 1 << 15, 1 << 19
+#: edges that a task turns into stars at once
+_EDGES = 1 << 18
 
 
 def shingle_sets(column, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -372,29 +374,75 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return _joined(pairs, nodes.select("doc_id", "x").join(ids, "doc_id", "left_semi"), "x").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node reachable) of the edges' nodes, without the smallest ones themselves."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u):]
+    low = np.arange(len(nodes))
+    while True:
+        x, y = low[a], low[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low != low[low]).any():
+            low = low[low]
+    other = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[other], nodes[low[other]]
+
+
+def _local_stars(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), ``u > v``, that join what ``edges`` join: stars in each stretch of about ``_EDGES`` rows of a task.
+
+    Each ``u`` has one row in a stretch."""
+    def run(batches):
+        us, vs, held = [], [], 0
+
+        def stars():
+            found = contracted(np.concatenate(us), np.concatenate(vs))
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["u", "v"])
+
+        for batch in batches:
+            us.append(batch.column("u").to_numpy())
+            vs.append(batch.column("v").to_numpy())
+            held += batch.num_rows
+            if held > _EDGES:
+                yield stars()
+                us, vs, held = [], [], 0
+        if us:
+            yield stars()
+
+    return edges.mapInArrow(tidy(run), "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp): the smallest node reachable, by alternating large-star and small-star steps."""
+    """(node, comp): the smallest node reachable, by alternating large-star and small-star steps.
+
+    Before each step tasks turn the edges they hold into stars, so few turns are needed and the small-star step is one
+    aggregate: a node gets no more rows of smaller neighbours than there are stretches.  No step adds edges or moves
+    one up, so when neither their number nor their sum fell in a turn, all are stars."""
     def low(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m"))
 
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     def mark_of(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        return e.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)") + F.col("v"))).first()
 
-    e = keep(e, "cc")
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
+    e = keep(_local_stars(e), "cc")
     mark = mark_of(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = low(both).withColumn("m", F.least("u", "m"))
-        e = both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        m = low(e)
-        e = (e.join(m, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-             .filter("u <> v").distinct())
-        e = keep(e, "cc")
+        e = both.filter("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = _local_stars(e).groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
+        e = keep(e.select(F.explode(F.array_append(F.array_remove("vs", F.col("m")), F.col("u"))).alias("u"), F.col("m").alias("v")), "cc")
         now = mark_of(e)
         if mark == now:
             break
         mark = now
+        # small tables are read by fewer tasks than wrote them, which hold more edges each
+        e = keep(_local_stars(e), "cc")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 

@@ -30,6 +30,38 @@ def test_bleu_deals_more_text_to_more_tasks(spark, monkeypatch):
     assert {r.text: r.bleu for r in small.collect()} == want
 
 
+def aggregated_rows(df):
+    """The rows that each hash aggregate of ``df`` gives out, as it runs."""
+    spark, name = df.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        df.collect()
+        found, todo = [], [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "HashAggregate":
+                found.append(node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        return found
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_bleu_counts_repeats_only(spark):
+    words = [f"w{i}" for i in range(500)]
+    rows = [("k", " ".join(words), " ".join(words[::-1])), ("l", "a a a b b c", "a a b b b c"), ("m", "", "a"), ("n", "a", "?!")]
+    df = spark.createDataFrame(rows, "k STRING, c STRING, r STRING")
+    small = FL.pair_bleu(df, ["k"], "c", "r")
+    found = aggregated_rows(small)
+    # of 8 x 500 n-grams of the first row none repeats; a, aa, b and bb and the 16 heads (4 pairs, 4 orders) are counted
+    assert found and max(found) <= 16 + 4
+    got = {r.k: r.bleu for r in small.collect()}
+    assert got["m"] == got["n"] == 0 and abs(got["k"] - (1.0 * (0.1 / 499) * (0.1 / 498) * (0.1 / 497)) ** 0.25) < 1e-12
+    # a 2, b 2, c 1 of 6; aa, ab, bb, bc of 5; aab, abb, bbc of 4; aabb of 3
+    assert abs(got["l"] - (5 / 6 * 4 / 5 * 3 / 4 * 1 / 3) ** 0.25) < 1e-12
+
+
 def test_verdicts_meet_narrow_lines(spark):
     X.reset()
     judged = q_metrics.numeric_judged(spark, SF)

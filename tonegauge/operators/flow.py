@@ -128,13 +128,17 @@ def pairwise_fields(df: DataFrame, goals: list[str], n: int = 20, mode: str = "m
 # --------------------------------------------------------------------------------------------
 # M1 sentence BLEU
 
-def _grams(h: Column, top: int) -> Column:
-    """(n, g) of every n-gram of the token hashes ``h``; ``g`` is a 64-bit hash (one text has far too few for two to meet)."""
-    def of(n: int) -> Column:
-        starts = F.when(F.size(h) >= n, F.sequence(F.lit(1), F.size(h) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(*[F.element_at(h, i + k) for k in range(n)]).alias("g")))
+def _fixed(df: DataFrame, keep: list[str], cols: dict[str, Column]) -> DataFrame:
+    """``keep`` and ``cols``, which a generator fixes: a merged projection would evaluate them once for every use, a lambda
+    once an entry."""
+    one = F.struct(*[c.alias(name) for name, c in cols.items()])
+    return df.select(*keep, F.explode(F.array(one)).alias("_x")).select(*keep, "_x.*")
 
-    return F.concat(*[of(n) for n in range(1, top + 1)])
+
+def _longer(g: Column, h: Column, n: int) -> Column:
+    """The n-grams of the tokens ``h`` from the n-grams ``g`` of one token less."""
+    many = F.greatest(F.size(h) - (n - 1), F.lit(0))
+    return F.zip_with(F.slice(g, 1, many), F.slice(h, n, many), lambda a, b: F.xxhash64(a, b))
 
 
 #: bytes of both texts, copies included, that a task of :func:`pair_bleu` takes
@@ -144,8 +148,10 @@ PART_BYTES = 8 << 20
 def pair_bleu(pairs: DataFrame, key: list[str], cand: str, ref: str, top: int = 4, eps: float = 0.1) -> DataFrame:
     """(key, bleu): sentence BLEU of each pair of texts, as a multiset intersection.
 
-    The n-grams of both sides become rows (key, n, gram) with a count a side; the smaller count is what matches.  The
-    texts are dealt by ``key`` once, and all aggregates below keep that dealing: one shuffle, of the texts.
+    An n-gram is a 64-bit hash (one text has far too few for two to meet).  What matches is the smaller count of both
+    sides: one for each n-gram that both have, found within the row, and the smaller count of its repeats.  In a sorted
+    array a repeat follows its equal, so only repeats become rows (key, n, gram) with a count a side.  The texts are dealt
+    by ``key`` once, and all aggregates below keep that dealing: one shuffle, of the texts.
     Uniform weights, method-1 smoothing (a zero count becomes eps), brevity penalty; 0 when no token matches, null when
     a text is null.  ``key`` is not null; rows with equal keys hold equal texts and count once.
     """
@@ -154,17 +160,23 @@ def pair_bleu(pairs: DataFrame, key: list[str], cand: str, ref: str, top: int =
     size = pairs.agg(F.sum(F.octet_length(cand).cast("long") + F.octet_length(ref))).first()[0] or 0
     parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     rows = pairs.select(*key, F.col(cand).alias("_c"), F.col(ref).alias("_r")).repartition(parts, *key).dropDuplicates(key)
-    # the generator fixes the hashes: an expression inside the lambdas below would be evaluated once an n-gram
-    hashed = [F.struct(F.lit(c).alias("c"), F.transform(tx.tokens(F.col(t)), lambda x: F.xxhash64(x)).alias("t")) for c, t in ((1, "_c"), (0, "_r"))]
-    sides = rows.select(*key, F.explode(F.array(*hashed)).alias("s"))
-    # an entry of order 0 counts the tokens, so that texts without any stay
-    sized = F.concat(F.array(F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("g"))), _grams(F.col("s.t"), top))
-    grams = sides.select(*key, F.col("s.c").alias("c"), F.size("s.t").alias("size"), F.explode(sized).alias("x"))
-    counted = grams.groupBy(*key, "x.n", "x.g").agg(F.sum("c").alias("cand"), F.sum(1 - F.col("c")).alias("ref"),
-                                                   F.max(F.when(F.col("c") == 1, F.col("size"))).alias("cs"), F.max(F.when(F.col("c") == 0, F.col("size"))).alias("rs"))
-    by = counted.groupBy(*key, "n").agg(F.sum(F.least("cand", "ref")).alias("hit"), F.max("cs").alias("cs"), F.max("rs").alias("rs"))
-    num = {n: F.coalesce(F.max(F.when(F.col("n") == n, F.col("hit"))), F.lit(0)) for n in range(1, top + 1)}
-    row = by.groupBy(*key).agg(*[v.alias(f"_h{n}") for n, v in num.items()], F.max("cs").alias("_cs"), F.max("rs").alias("_rs"))
+    grams = _fixed(rows, key, {f"{s}1": F.transform(tx.tokens(F.col(f"_{s}")), lambda x: F.xxhash64(x)) for s in "cr"})
+    for n in range(2, top + 1):
+        grams = _fixed(grams, grams.columns, {f"{s}{n}": _longer(F.col(f"{s}{n - 1}"), F.col(f"{s}1"), n) for s in "cr"})
+    orders = F.array(*[F.struct(F.lit(n).alias("n"), *[F.sort_array(f"{s}{n}").alias(s) for s in "cr"]) for n in range(1, top + 1)])
+    orders = grams.select(*key, F.explode(orders).alias("_x")).select(*key, "_x.*")
+    common = F.size(F.array_intersect("c", "r"))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("g"), hit.alias("hit")) for s, hit in (("c", common), ("r", F.lit(0)))])
+    sides = orders.select(*key, "n", F.explode(sides).alias("_x")).select(*key, "n", "_x.*")
+    # the first entry, or the null of an empty array, stays too: it brings the matches and counts the side's n-grams
+    first = F.coalesce(F.col("i"), F.lit(0)) == 0
+    entries = sides.select("*", F.posexplode_outer("g").alias("i", "x")).filter(first | (F.get("g", F.col("i") - 1) == F.col("x")))
+    many = F.when(first, F.size("g")).otherwise(1)
+    counted = entries.groupBy(*key, "n", F.when(~first, F.col("x")).alias("x")).agg(
+        *[F.sum(F.when(F.col("side") == s, many).otherwise(0)).alias(f"_{s}") for s in "cr"], F.sum(F.when(first, F.col("hit")).otherwise(0)).alias("hit"))
+    hit = F.when(F.col("x").isNull(), F.col("hit")).otherwise(F.least("_c", "_r"))
+    sizes = [F.max(F.when((F.col("n") == 1) & F.col("x").isNull(), F.col(f"_{s}"))).alias(f"_{s}s") for s in "cr"]
+    row = counted.groupBy(*key).agg(*[F.sum(F.when(F.col("n") == n, hit).otherwise(0)).alias(f"_h{n}") for n in range(1, top + 1)], *sizes)
     logs = None
     for n in range(1, top + 1):
         p = F.when(F.col(f"_h{n}") > 0, F.col(f"_h{n}").cast("double")).otherwise(F.lit(eps)) / F.greatest(F.lit(1), F.col("_cs") - (n - 1))

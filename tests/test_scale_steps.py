@@ -62,6 +62,12 @@ def test_bleu_counts_repeats_only(spark):
     assert abs(got["l"] - (5 / 6 * 4 / 5 * 3 / 4 * 1 / 3) ** 0.25) < 1e-12
 
 
+def test_bleu_makes_a_derived_text_once_a_side_of_the_join(spark):
+    df = spark.range(9).select(F.when(F.col("id") > 0, F.concat(F.lit("some text of row "), "id")).alias("text"), F.lit("s").alias("source"))
+    df = df.withColumn("llm_response", F.regexp_replace("text", r"(\w+) (\w+)", "$2 $1")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    assert optimized(FL.bleu_by_source(FL.with_bleu(df))).count("regexp_replace") == 2
+
+
 def test_verdicts_meet_narrow_lines(spark):
     X.reset()
     judged = q_metrics.numeric_judged(spark, SF)

@@ -155,11 +155,12 @@ def pair_bleu(pairs: DataFrame, key: list[str], cand: str, ref: str, top: int =
     Uniform weights, method-1 smoothing (a zero count becomes eps), brevity penalty; 0 when no token matches, null when
     a text is null.  ``key`` is not null; rows with equal keys hold equal texts and count once.
     """
-    pairs = pairs.filter(F.col(cand).isNotNull() & F.col(ref).isNotNull())
+    # fixed, as a derived text would be made once more for the filter, which goes below a projection
+    pairs = _fixed(pairs, key, {"_c": F.col(cand), "_r": F.col(ref)})
     # few bytes of text are many n-grams: at most PART_BYTES of texts a partition, so that no task's counts spill
-    size = pairs.agg(F.sum(F.octet_length(cand).cast("long") + F.octet_length(ref))).first()[0] or 0
+    size = pairs.agg(F.sum(F.octet_length("_c").cast("long") + F.octet_length("_r"))).first()[0] or 0
     parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    rows = pairs.select(*key, F.col(cand).alias("_c"), F.col(ref).alias("_r")).repartition(parts, *key).dropDuplicates(key)
+    rows = pairs.filter(F.col("_c").isNotNull() & F.col("_r").isNotNull()).repartition(parts, *key).dropDuplicates(key)
     grams = _fixed(rows, key, {f"{s}1": F.transform(tx.tokens(F.col(f"_{s}")), lambda x: F.xxhash64(x)) for s in "cr"})
     for n in range(2, top + 1):
         grams = _fixed(grams, grams.columns, {f"{s}{n}": _longer(F.col(f"{s}{n - 1}"), F.col(f"{s}1"), n) for s in "cr"})
